@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The pipeline this library reproduces is batch only (bounded directory reads,
+no triggers, watermarks or state), so there is no streaming operator.
+"""
