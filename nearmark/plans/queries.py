@@ -77,20 +77,22 @@ def item_pos(spark, sf, ids: DataFrame) -> DataFrame:
 def eval_inputs(spark, sf):
     """Positions for the users and train items of the supp split, and T1."""
     train, valid = train_valid(spark, sf, "supp")
-    test = prepare.test_with_used_items(train, valid)
-    return user_pos(spark, sf, train), item_pos(spark, sf, train), train, test
+    train = train.checkpoint()
+    test = prepare.test_with_used_items(train, valid).checkpoint()
+    # job boundary: positions and the test set are tables the scorer reads several times
+    return user_pos(spark, sf, train).checkpoint(), item_pos(spark, sf, train).checkpoint(), train, test
 
 
 def edges(spark, sf):
     """Training edges of the supp split: d = 1 - tfidf, shifted to min 0."""
     train, _ = train_valid(spark, sf, "supp")
-    return prepare.score_to_distance(similarity.tfidf_scores(train))
+    return prepare.score_to_distance(similarity.tfidf_scores(train)).checkpoint()
 
 
 def round_inputs(spark, sf):
     e = edges(spark, sf)
-    users = user_pos(spark, sf, e).withColumn("sg", F.lit(0.0))
-    items = item_pos(spark, sf, e).withColumn("sg", F.lit(0.0))
+    users = user_pos(spark, sf, e).withColumn("sg", F.lit(0.0)).checkpoint()
+    items = item_pos(spark, sf, e).withColumn("sg", F.lit(0.0)).checkpoint()
     idx = training.build_sample_index(e, items, ROUND["block_num"])
     return e, users, items, idx
 
@@ -281,19 +283,21 @@ def q_rank_gain(spark, sf):
     return evaluate.rank_gain_per_user(users, items, test)
 
 
-def q_pull_loss(spark, sf):
+def loss_inputs(spark, sf):
     e = edges(spark, sf)
-    return training.pull_loss(e, user_pos(spark, sf, e), item_pos(spark, sf, e))
+    return e, user_pos(spark, sf, e).checkpoint(), item_pos(spark, sf, e).checkpoint()
+
+
+def q_pull_loss(spark, sf):
+    return training.pull_loss(*loss_inputs(spark, sf))
 
 
 def q_push_loss(spark, sf):
-    e = edges(spark, sf)
-    return training.push_loss(e, user_pos(spark, sf, e), item_pos(spark, sf, e), MARGIN)
+    return training.push_loss(*loss_inputs(spark, sf), MARGIN)
 
 
 def q_train_objective(spark, sf):
-    e = edges(spark, sf)
-    return training.train_objective(e, user_pos(spark, sf, e), item_pos(spark, sf, e), LOSS_WEIGHT, MARGIN)
+    return training.train_objective(*loss_inputs(spark, sf), LOSS_WEIGHT, MARGIN)
 
 
 def q_sample_batches(spark, sf):
