@@ -62,6 +62,7 @@ _OUT = {
     "emit": "u long, j long",
     "count": "u long, key long, cnt long",
     "min": "u long, dmin double",
+    "countmin": "u long, key long, cnt long, dmin double",
 }
 
 VECTOR, EXCLUDED, PROBE = 0, 1, 2
@@ -122,20 +123,22 @@ def _make_block_fn(mode: str, k: int, offset: float, strict: bool):
             rr = np.repeat(np.arange(len(U)), kk).reshape(len(U), kk)
             return pd.DataFrame({"u": U[rr[keep]], "j": J[order[keep]], "d": vals[keep]})
 
-        if mode == "min":
+        if mode in ("min", "countmin"):
             has = valid.any(axis=1)
-            return pd.DataFrame({"u": U[has], "dmin": Dm[has].min(axis=1)})
+            mins = pd.DataFrame({"u": U[has], "dmin": Dm[has].min(axis=1)})
+            if mode == "min":
+                return mins
 
-        # count
+        # count (and countmin)
         pr = left[left["kind"] == PROBE]
         if pr.empty:
-            return empty()
+            return _with_mins(empty(), mins) if mode == "countmin" else empty()
         rows = urow.reindex(pr["u"].to_numpy()).to_numpy()
         okp = ~np.isnan(rows)
         pr = pr[okp]
         rows = rows[okp].astype(np.int64)
         if pr.empty:
-            return empty()
+            return _with_mins(empty(), mins) if mode == "countmin" else empty()
         thr = pr["thr"].to_numpy(dtype=np.float64)
         tid = pr["thr_id"].to_numpy(dtype=np.int64)
         cnt = np.zeros(len(pr), dtype=np.int64)
@@ -154,12 +157,30 @@ def _make_block_fn(mode: str, k: int, offset: float, strict: bool):
             else:
                 c = np.searchsorted(row, thr[sel], side="right").astype(np.int64)
             cnt[sel] = c
-        return pd.DataFrame({"u": pr["u"].to_numpy(dtype=np.int64),
-                             "key": pr["j"].to_numpy(dtype=np.int64), "cnt": cnt})
+        counts = pd.DataFrame({"u": pr["u"].to_numpy(dtype=np.int64),
+                               "key": pr["j"].to_numpy(dtype=np.int64), "cnt": cnt})
+        if mode == "countmin":
+            counts["dmin"] = np.nan
+            return _with_mins(counts, mins)
+        return counts
 
     return fn
 
 
+def _with_mins(counts: pd.DataFrame, mins: pd.DataFrame) -> pd.DataFrame:
+    """countmin output: probe rows (key, cnt) and one min row per user (key = cnt = null)."""
+    m = pd.DataFrame({"u": mins["u"].to_numpy(dtype=np.int64),
+                      "key": pd.array([None] * len(mins), dtype="Int64"),
+                      "cnt": pd.array([None] * len(mins), dtype="Int64"),
+                      "dmin": mins["dmin"].to_numpy(dtype=np.float64)})
+    c = counts.copy()
+    c["key"] = c["key"].astype("Int64")
+    c["cnt"] = c["cnt"].astype("Int64")
+    if "dmin" not in c:
+        c["dmin"] = np.nan
+    return pd.concat([c[["u", "key", "cnt", "dmin"]], m], ignore_index=True)
+
+
 def block_scan(users: DataFrame, items: DataFrame, mode: str, *, excluded: DataFrame | None = None,
                probes: DataFrame | None = None, k: int = 10, offset: float = 0.0, strict: bool = False,
                user_block: int = USER_BLOCK, item_block: int = ITEM_BLOCK,
@@ -168,7 +189,7 @@ def block_scan(users: DataFrame, items: DataFrame, mode: str, *, excluded: DataF
     ``probes`` (u, key, thr, thr_id). See the module doc for the modes."""
     if mode not in _OUT:
         raise ValueError(f"unknown block_scan mode {mode!r}")
-    if mode == "count" and probes is None:
+    if mode in ("count", "countmin") and probes is None:
         raise ValueError("count mode needs probes")
     spark = users.sparkSession
     parallelism = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -243,4 +264,7 @@ def block_scan(users: DataFrame, items: DataFrame, mode: str, *, excluded: DataF
         return out.groupBy("u", "key").agg(F.sum("cnt").alias("cnt"))
     if mode == "min":
         return out.groupBy("u").agg(F.min("dmin").alias("dmin"))
+    if mode == "countmin":
+        # one aggregate for both kinds of row: key is null on the per-user minimum rows
+        return out.groupBy("u", "key").agg(F.sum("cnt").alias("cnt"), F.min("dmin").alias("dmin"))
     return out

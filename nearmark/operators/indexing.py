@@ -21,8 +21,8 @@ def sorted_index(df: DataFrame, order_cols: list[str], name: str = "idx",
                  num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of each row in ``order_cols`` order.
 
-    ``order_cols`` must be unique per row, so positions are deterministic and
-    a recomputed partition (lost executor) gets the same numbers.
+    ``order_cols`` must be unique per row, so positions are deterministic.
+    Eager: the range-partitioned rows are checkpointed to the shared folder.
     """
     n = num_partitions or _num_partitions(df)
     ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
@@ -30,6 +30,11 @@ def sorted_index(df: DataFrame, order_cols: list[str], name: str = "idx",
               .withColumn("_mid", F.monotonically_increasing_id()))
     # monotonically_increasing_id = (partition << 33) + row position in the partition
     tagged = tagged.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
+    # Both the partition counts and the numbered rows must come from ONE range
+    # partitioning: two evaluations may sample different bounds (column pruning
+    # keeps Spark from reusing the exchange). A reliable checkpoint fixes the
+    # partition contents once, also across executor loss.
+    tagged = tagged.checkpoint()
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: a window over it is tiny, and so is the broadcast
     offsets = counts.select(
