@@ -50,7 +50,9 @@ def filter_items(df: DataFrame, min_degree: int = MIN_DEGREE) -> DataFrame:
 
 def interaction_filter(df: DataFrame, min_degree: int = MIN_DEGREE) -> DataFrame:
     """P1 then P2, one pass each (users first; not an iterated k-core)."""
-    return filter_items(filter_users(df, min_degree), min_degree)
+    p1 = filter_users(df, min_degree)  # distinct pairs already
+    keep = p1.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_degree).select("i")
+    return p1.join(keep, "i", "left_semi").select("u", "i")
 
 
 def renumber(df: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearmark.operators.prepare import item_degree, user_degree
+from nearmark.operators.prepare import user_degree
 
 PAIR_CHUNK = 1024
 METHODS = ("jaccard", "aa", "tfidf")
@@ -36,21 +36,40 @@ def _distinct(df: DataFrame) -> DataFrame:
     return df.select("u", "i").distinct()
 
 
+def _door(df: DataFrame, materialize: bool) -> DataFrame:
+    """Distinct pairs, written once to the checkpoint folder.
+
+    Every score reads its input several times (degrees, both sides of the
+    expansion); column pruning makes those branches differ, so Spark would
+    recompute the input for each. One reliable checkpoint replaces that (the
+    reference persists its input for the same reason).
+    """
+    d = _distinct(df)
+    return d.checkpoint() if materialize else d
+
+
+def _counts(d: DataFrame, key: str, name: str) -> DataFrame:
+    """Degree on already-distinct pairs (no second distinct)."""
+    return d.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+
+
 # ---- weights ---------------------------------------------------------------------
 
-def user_aa_weight(df: DataFrame, alpha: float = 1.0) -> DataFrame:
+def user_aa_weight(df: DataFrame, alpha: float = 1.0, distinct: bool = False) -> DataFrame:
     """wu = 1 / (alpha + ln nu); +inf when the denominator is 0 (guarded under ANSI)."""
     den = F.lit(float(alpha)) + F.log(F.col("nu").cast("double"))
     w = F.when(den == 0, F.lit(float("inf"))).otherwise(F.lit(1.0) / den)
-    return user_degree(df).select("u", w.alias("wu"))
+    nu = _counts(df, "u", "nu") if distinct else user_degree(df)
+    return nu.select("u", w.alias("wu"))
 
 
-def tfidf_scores(df: DataFrame) -> DataFrame:
+def tfidf_scores(df: DataFrame, materialize: bool = True) -> DataFrame:
     """G1: one row per distinct (u, i); NaN everywhere if every score is 0 (0/0)."""
-    d = _distinct(df)
-    n_items = d.select("i").distinct().agg(F.count(F.lit(1))).scalar()
-    wu = user_degree(d).select("u", F.log(n_items.cast("double") / F.col("nu")).alias("wu"))
-    wi = item_degree(d).select("i", (F.lit(1.0) / F.col("ni")).alias("wi"))
+    d = _door(df, materialize)
+    ni = _counts(d, "i", "ni")
+    n_items = ni.agg(F.count(F.lit(1))).scalar()
+    wu = _counts(d, "u", "nu").select("u", F.log(n_items.cast("double") / F.col("nu")).alias("wu"))
+    wi = ni.select("i", (F.lit(1.0) / F.col("ni")).alias("wi"))
     s = d.join(wu, "u").join(wi, "i").select("u", "i", (F.col("wu") * F.col("wi")).alias("s"))
     mx = s.agg(F.max("s")).scalar()
     sui = F.when(mx == 0, _nan()).otherwise(F.col("s") / mx)
@@ -59,12 +78,13 @@ def tfidf_scores(df: DataFrame) -> DataFrame:
 
 # ---- the half expansion ---------------------------------------------------------------
 
-def half_pairs(df: DataFrame, weights: DataFrame | None = None, chunk: int = PAIR_CHUNK) -> DataFrame:
+def half_pairs(df: DataFrame, weights: DataFrame | None = None, chunk: int = PAIR_CHUNK,
+               distinct: bool = False) -> DataFrame:
     """J3 (half): (u, a, b[, wu]) for each unordered pair a <= b of items of u.
 
     Each pair of distinct items appears once, each diagonal pair (i, i) once.
     """
-    d = _distinct(df)
+    d = df.select("u", "i") if distinct else _distinct(df)
     deg = d.groupBy("u").agg(F.count(F.lit(1)).alias("_du"))
     base = d.join(deg, "u")
     if weights is not None:
@@ -98,10 +118,11 @@ def _mirror(half: DataFrame, val: str) -> DataFrame:
 
 # ---- Jaccard -----------------------------------------------------------------------------
 
-def _jaccard_half(df: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
-    hp = half_pairs(df, chunk=chunk)
+def _jaccard_half(df: DataFrame, chunk: int, materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+    d = _door(df, materialize)
+    hp = half_pairs(d, chunk=chunk, distinct=True)
     cn = hp.groupBy("a", "b").agg(F.count(F.lit(1)).alias("cn"))
-    ni = item_degree(df)
+    ni = _counts(d, "i", "ni")
     na = ni.select(F.col("i").alias("a"), F.col("ni").alias("na"))
     nb = ni.select(F.col("i").alias("b"), F.col("ni").alias("nb"))
     den = F.col("na") + F.col("nb") - F.col("cn")
@@ -112,7 +133,7 @@ def _jaccard_half(df: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
 
 def item_cooccurrence(df: DataFrame, chunk: int = PAIR_CHUNK) -> DataFrame:
     """(i, j, cn) for every ordered pair with a common user, i = j included."""
-    hp = half_pairs(df, chunk=chunk)
+    hp = half_pairs(_door(df, True), chunk=chunk, distinct=True)
     cn = hp.groupBy("a", "b").agg(F.count(F.lit(1)).alias("cn"))
     return _mirror(cn, "cn")
 
@@ -132,10 +153,10 @@ def jaccard_scores(df: DataFrame, chunk: int = PAIR_CHUNK) -> DataFrame:
 
 # ---- Adamic-Adar --------------------------------------------------------------------------
 
-def _aa_half(df: DataFrame, alpha: float, chunk: int) -> tuple[DataFrame, DataFrame]:
-    d = _distinct(df)
-    wu = user_aa_weight(d, alpha)
-    hp = half_pairs(d, weights=wu, chunk=chunk)
+def _aa_half(df: DataFrame, alpha: float, chunk: int, materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+    d = _door(df, materialize)
+    wu = user_aa_weight(d, alpha, distinct=True)
+    hp = half_pairs(d, weights=wu, chunk=chunk, distinct=True)
     sab = hp.groupBy("a", "b").agg(F.sum("wu").alias("sab"))
     si = d.join(wu, "u").groupBy("i").agg(F.sum("wu").alias("si"))
     sa = si.select(F.col("i").alias("a"), F.col("si").alias("sa"))
