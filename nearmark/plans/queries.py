@@ -313,7 +313,8 @@ def _ranked(spark, sf):
     e, users, items, idx = round_inputs(spark, sf)
     draws, negs = training.sample_batches(idx, ROUND["batch_size"], ROUND["block_num"], ROUND["neg_num"],
                                           ROUND["seed"], ROUND["rnd"])
-    ranked = training.approx_rank(draws, negs, users, items, MARGIN, ROUND["neg_num"], idx.n_items)
+    ranked = training.approx_rank(draws, negs, users, items, MARGIN, ROUND["neg_num"], idx.n_items,
+                                  max_draws=ROUND["block_num"] * ROUND["batch_size"], n_dim=64)
     return ranked, users, items
 
 
