@@ -145,3 +145,14 @@ def test_user_with_every_item_has_no_candidates(spark):
     train = spark.createDataFrame([(1, 10), (1, 11), (2, 10)], "u bigint, i bigint")
     c = {tuple(r) for r in evaluate.unseen_candidates(users, items, train).collect()}
     assert c == {(2, 11)}
+
+
+def test_prefix_sums_match_python(spark):
+    import math
+    pref = {r.n: (r.hn, r.idcg) for r in evaluate.prefix_sums(spark, 1000).collect()}
+    assert pref[0] == (0.0, 0.0)
+    h = g = 0.0
+    for n in range(1, 1001):
+        h += 1.0 / n
+        g += math.log(2.0) / math.log(n + 1.0)
+        assert abs(pref[n][0] - h) < 1e-12 and abs(pref[n][1] - g) < 1e-12
