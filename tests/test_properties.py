@@ -156,3 +156,13 @@ def test_prefix_sums_match_python(spark):
         h += 1.0 / n
         g += math.log(2.0) / math.log(n + 1.0)
         assert abs(pref[n][0] - h) < 1e-12 and abs(pref[n][1] - g) < 1e-12
+
+
+def test_scans_read_only_needed_columns(spark):
+    """Column pruning reaches the parquet scans (ReadSchema)."""
+    plan = prepare.interaction_filter(fixtures.cust_part(spark, SF001))._jdf.queryExecution().executedPlan().toString()
+    schemas = [line.split("ReadSchema: ")[1] for line in plan.splitlines() if "ReadSchema: " in line]
+    assert schemas, plan
+    for sch in schemas:
+        assert "l_extendedprice" not in sch and "o_totalprice" not in sch and "l_comment" not in sch
+        assert sch.count(":") <= 2
