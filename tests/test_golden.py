@@ -112,3 +112,12 @@ def test_topk_and_rank_gain(spark):
     # unused = items minus {9, 3}: 1, 2 are at or below item 3's distance
     g = evaluate.rank_gain(users, items, test).first()[0]
     assert g == pytest.approx(1 / math.log2(4))
+
+
+def test_textbook_variants_golden(spark):
+    """Same list, hits [0, 1, 0]: textbook AP = (1/2)/3, first-hit MRR = 1/2."""
+    users, items = _line_positions(spark)
+    test = spark.createDataFrame([(7, "used", 9), (7, "target", 2), (7, "target", 4), (7, "target", 5)],
+                                 "u bigint, part string, i bigint")
+    m = evaluate.textbook_ranking_metrics(users, items, test).first()
+    assert (round(m["map"], 6), round(m["mrr"], 6)) == (0.166667, 0.5)
