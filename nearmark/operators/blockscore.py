@@ -3,7 +3,10 @@
 Users are hashed into ``UB`` blocks and items into ``IB`` blocks. Each
 (user block, item block) pair is one cogroup key, so a task holds at most
 ~user_block users x ~item_block items and the work is spread over UB*IB
-tasks. User rows travel to every item block and item rows to every user
+tasks. Shuffle volume is items x UB + users x IB, so blocks are large
+(16384 x 16384 by default); inside a group the distance matrix is built
+``row_chunk`` users at a time, which bounds worker memory at
+row_chunk x item_block doubles whatever the block size. User rows travel to every item block and item rows to every user
 block. Nothing is a cross join and no group grows with the data: user and
 item blocks have bounded expected size, and a user's excluded pairs land in
 the block of their item (at most item_block of them per group).
@@ -45,8 +48,8 @@ try:
 except Exception:  # pragma: no cover - older cloudpickle
     pass
 
-USER_BLOCK = 2048
-ITEM_BLOCK = 4096
+USER_BLOCK = 16384
+ITEM_BLOCK = 16384
 PROBE_CHUNK = 65536
 
 _USER_SIDE = T.StructType([
@@ -80,7 +83,7 @@ def _stack(col: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in col.to_numpy()])
 
 
-def _make_block_fn(mode: str, k: int, offset: float, strict: bool):
+def _make_block_fn(mode: str, k: int, offset: float, strict: bool, chunk: int = 256):
     cols = [c.split()[0] for c in _OUT[mode].split(", ")]
 
     def empty():
@@ -96,73 +99,89 @@ def _make_block_fn(mode: str, k: int, offset: float, strict: bool):
         H = _stack(right["h"])
         U = vec["u"].to_numpy(dtype=np.int64)
         W = _stack(vec["w"])
-        D = _distance_matrix(W, H)
-        if offset:
-            D = D - offset
-        valid = np.ones(D.shape, dtype=bool)
         urow = pd.Series(np.arange(len(U)), index=U)
         jcol = pd.Series(np.arange(len(J)), index=J)
         ex = left[left["kind"] == EXCLUDED]
+        ex_r = ex_c = np.zeros(0, dtype=np.int64)
         if not ex.empty:
             r = urow.reindex(ex["u"].to_numpy()).to_numpy()
             c = jcol.reindex(ex["j"].to_numpy()).to_numpy()
             ok = ~(np.isnan(r) | np.isnan(c))
-            valid[r[ok].astype(np.int64), c[ok].astype(np.int64)] = False
-
-        if mode == "emit":
-            rr, cc = np.nonzero(valid)
-            return pd.DataFrame({"u": U[rr], "j": J[cc]})
-
-        Dm = np.where(valid, D, np.inf)
-        if mode == "topk":
-            kk = min(k, Dm.shape[1])
-            # stable sort keeps item-id order among equal distances
-            order = np.argsort(Dm, axis=1, kind="stable")[:, :kk]
-            vals = np.take_along_axis(Dm, order, axis=1)
-            keep = np.isfinite(vals)
-            rr = np.repeat(np.arange(len(U)), kk).reshape(len(U), kk)
-            return pd.DataFrame({"u": U[rr[keep]], "j": J[order[keep]], "d": vals[keep]})
-
-        if mode in ("min", "countmin"):
-            has = valid.any(axis=1)
-            mins = pd.DataFrame({"u": U[has], "dmin": Dm[has].min(axis=1)})
-            if mode == "min":
-                return mins
-
-        # count (and countmin)
-        pr = left[left["kind"] == PROBE]
-        if pr.empty:
-            return _with_mins(empty(), mins) if mode == "countmin" else empty()
-        rows = urow.reindex(pr["u"].to_numpy()).to_numpy()
-        okp = ~np.isnan(rows)
-        pr = pr[okp]
-        rows = rows[okp].astype(np.int64)
-        if pr.empty:
-            return _with_mins(empty(), mins) if mode == "countmin" else empty()
-        thr = pr["thr"].to_numpy(dtype=np.float64)
-        tid = pr["thr_id"].to_numpy(dtype=np.int64)
-        cnt = np.zeros(len(pr), dtype=np.int64)
-        Ds = np.sort(Dm, axis=1)
-        for r in np.unique(rows):
-            sel = np.nonzero(rows == r)[0]
-            row = Ds[r]
-            if strict:
-                lo = np.searchsorted(row, thr[sel], side="left")
-                hi = np.searchsorted(row, thr[sel], side="right")
-                c = lo.astype(np.int64)
-                tie = np.nonzero(hi > lo)[0]
-                for t in tie:
-                    eq = valid[r] & (D[r] == thr[sel[t]]) & (J < tid[sel[t]])
-                    c[t] += int(eq.sum())
-            else:
-                c = np.searchsorted(row, thr[sel], side="right").astype(np.int64)
-            cnt[sel] = c
-        counts = pd.DataFrame({"u": pr["u"].to_numpy(dtype=np.int64),
-                               "key": pr["j"].to_numpy(dtype=np.int64), "cnt": cnt})
-        if mode == "countmin":
-            counts["dmin"] = np.nan
-            return _with_mins(counts, mins)
-        return counts
+            ex_r, ex_c = r[ok].astype(np.int64), c[ok].astype(np.int64)
+        pr_rows = pr_u = pr_key = thr = tid = None
+        if mode in ("count", "countmin"):
+            pr = left[left["kind"] == PROBE]
+            rows = urow.reindex(pr["u"].to_numpy()).to_numpy()
+            okp = ~np.isnan(rows)
+            pr = pr[okp]
+            pr_rows = rows[okp].astype(np.int64)
+            pr_u = pr["u"].to_numpy(dtype=np.int64)
+            pr_key = pr["j"].to_numpy(dtype=np.int64)
+            thr = pr["thr"].to_numpy(dtype=np.float64)
+            tid = pr["thr_id"].to_numpy(dtype=np.int64)
+
+        out = []
+        # Users are processed ``chunk`` rows at a time, so memory is chunk x items
+        # however large the block is.
+        for lo in range(0, len(U), chunk):
+            hi = min(lo + chunk, len(U))
+            D = _distance_matrix(W[lo:hi], H)
+            if offset:
+                D = D - offset
+            valid = np.ones(D.shape, dtype=bool)
+            sel = (ex_r >= lo) & (ex_r < hi)
+            valid[ex_r[sel] - lo, ex_c[sel]] = False
+            Uc = U[lo:hi]
+            if mode == "emit":
+                rr, cc = np.nonzero(valid)
+                out.append(pd.DataFrame({"u": Uc[rr], "j": J[cc]}))
+                continue
+            Dm = np.where(valid, D, np.inf)
+            if mode == "topk":
+                kk = min(k, Dm.shape[1])
+                # stable sort keeps item-id order among equal distances
+                order = np.argsort(Dm, axis=1, kind="stable")[:, :kk]
+                vals = np.take_along_axis(Dm, order, axis=1)
+                keep = np.isfinite(vals)
+                rr = np.repeat(np.arange(len(Uc)), kk).reshape(len(Uc), kk)
+                out.append(pd.DataFrame({"u": Uc[rr[keep]], "j": J[order[keep]], "d": vals[keep]}))
+                continue
+            if mode in ("min", "countmin"):
+                has = valid.any(axis=1)
+                mins = pd.DataFrame({"u": Uc[has], "dmin": Dm[has].min(axis=1)})
+                out.append(mins if mode == "min" else _with_mins(empty().iloc[:0], mins))
+                if mode == "min":
+                    continue
+            # count (and countmin): the chunk's probes against its sorted rows
+            psel = np.nonzero((pr_rows >= lo) & (pr_rows < hi))[0]
+            if len(psel) == 0:
+                continue
+            Ds = np.sort(Dm, axis=1)
+            cnt = np.zeros(len(psel), dtype=np.int64)
+            prow = pr_rows[psel] - lo
+            for r in np.unique(prow):
+                at = np.nonzero(prow == r)[0]
+                row = Ds[r]
+                t = thr[psel[at]]
+                if strict:
+                    c_lo = np.searchsorted(row, t, side="left")
+                    c_hi = np.searchsorted(row, t, side="right")
+                    c = c_lo.astype(np.int64)
+                    for q in np.nonzero(c_hi > c_lo)[0]:
+                        eq = valid[r] & (D[r] == t[q]) & (J < tid[psel[at[q]]])
+                        c[q] += int(eq.sum())
+                else:
+                    c = np.searchsorted(row, t, side="right").astype(np.int64)
+                cnt[at] = c
+            counts = pd.DataFrame({"u": pr_u[psel], "key": pr_key[psel], "cnt": cnt})
+            if mode == "countmin":
+                counts["dmin"] = np.nan
+                counts = _with_mins(counts, pd.DataFrame({"u": [], "dmin": []}))
+            out.append(counts)
+        if not out:
+            return empty()
+        res = pd.concat(out, ignore_index=True)
+        return res[cols]
 
     return fn
 
@@ -184,7 +203,7 @@ def _with_mins(counts: pd.DataFrame, mins: pd.DataFrame) -> pd.DataFrame:
 def block_scan(users: DataFrame, items: DataFrame, mode: str, *, excluded: DataFrame | None = None,
                probes: DataFrame | None = None, k: int = 10, offset: float = 0.0, strict: bool = False,
                user_block: int = USER_BLOCK, item_block: int = ITEM_BLOCK,
-               probe_chunk: int = PROBE_CHUNK) -> DataFrame:
+               probe_chunk: int = PROBE_CHUNK, row_chunk: int = 256) -> DataFrame:
     """Run one scan. ``users`` (u, w), ``items`` (j, h), ``excluded`` (u, j),
     ``probes`` (u, key, thr, thr_id). See the module doc for the modes."""
     if mode not in _OUT:
@@ -251,7 +270,7 @@ def block_scan(users: DataFrame, items: DataFrame, mode: str, *, excluded: DataF
     else:
         item_rows = item_rows.withColumn("tb", F.lit(0))
 
-    fn = _make_block_fn(mode, k, float(offset), strict)
+    fn = _make_block_fn(mode, k, float(offset), strict, row_chunk)
     keys = ["ub", "tb", "ib"]
     out = left.groupBy(*keys).cogroup(item_rows.select(*keys, "j", "h").groupBy(*keys)) \
         .applyInPandas(fn, schema=_OUT[mode])

@@ -12,7 +12,7 @@ from nearmark.functions.vectors import sqdist
 from nearmark.operators.blockscore import block_scan
 from nearmark.plans import queries as Q
 
-SMALL = dict(user_block=7, item_block=3, probe_chunk=1)
+SMALL = dict(user_block=7, item_block=3, probe_chunk=1, row_chunk=2)
 
 
 @pytest.fixture(scope="module")
