@@ -166,3 +166,22 @@ def test_scans_read_only_needed_columns(spark):
     for sch in schemas:
         assert "l_extendedprice" not in sch and "o_totalprice" not in sch and "l_comment" not in sch
         assert sch.count(":") <= 2
+
+
+def test_missing_input_fails_and_bad_csv_cell_fails(spark):
+    with pytest.raises(Exception):
+        text.read_pairs(spark, scratch_path(spark, "does-not-exist")).collect()
+    p = scratch_path(spark, "badcsv")
+    spark.createDataFrame([("1", "2", "0.5"), ("3", "x", "0.1")], "a string, b string, c string") \
+        .write.option("sep", "|").csv(p)
+    with pytest.raises(Exception):
+        text.read_scored_csv(spark, p).collect()
+
+
+def test_test_set_text_roundtrip(spark):
+    rows = spark.createDataFrame([(1, [3, 2], [5]), (2, [7], [8, 9])],
+                                 "u bigint, used array<bigint>, target array<bigint>")
+    p = scratch_path(spark, "testset")
+    text.write_test_set(rows, p, num_files=2)
+    back = {r.u: (r.used, r.target) for r in text.read_test_set(spark, p).collect()}
+    assert back == {1: ([2, 3], [5]), 2: ([7], [8, 9])}
