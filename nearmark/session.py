@@ -35,11 +35,17 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "nearm
     return spark
 
 
+def single_machine(master: str) -> bool:
+    """True for the masters that run everything in one process (``local``, ``local[n]``, ``local[n,m]``)."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting points at shared storage and is only read here.
-    Where it is unset (local tests) a folder is created once and registered.
+    Where it is unset, a local master gets a temporary folder; any other
+    master raises, since executors could not see one machine's disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,12 +53,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not single_machine(sc.master):
+            raise ValueError(f"set spark.checkpoint.dir to a shared folder (master is {sc.master})")
         conf_dir = tempfile.mkdtemp(prefix="nearmark-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder (never a local temp dir)."""
+    """A fresh path under the checkpoint folder that ``ensure_checkpoint_dir`` names."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/nearmark-{name}-{uuid.uuid4().hex}"
