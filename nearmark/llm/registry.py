@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearmark.llm import secrets, wordbpe
+from nearmark.llm import linededup, packing, secrets, wordbpe
 from nearmark.llm.common import load
 
 
@@ -14,6 +14,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(load(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
+
+
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(linededup.dedup_lines(load(spark, sf_dir, "documents")))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.digest(load(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -22,5 +30,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(load(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op7_bpe, op10_secrets)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op5_pack, op6_lines, op7_bpe, op10_secrets)}
+
+ORACLE_SQL = {
+    "op6_lines": r"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), keyed AS (
+  SELECT doc_id, pos, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS stripped FROM lines
+), low AS (
+  SELECT doc_id, pos, line, translate(stripped, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM keyed
+), shared AS (
+  SELECT k, min(doc_id) AS owner FROM low WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2
+), marked AS (
+  SELECT low.doc_id, low.pos, low.line, shared.k IS NOT NULL AND shared.owner <> low.doc_id AS gone FROM low LEFT JOIN shared ON low.k = shared.k
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""",
+}
