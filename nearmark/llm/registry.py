@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearmark.llm import divergence, linededup, packing, secrets, wordbpe
+from nearmark.llm import divergence, linededup, neardup, packing, secrets, wordbpe
 from nearmark.llm.common import load
 
 
@@ -30,11 +30,15 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.digest(load(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(load(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality, op5_pack, op6_lines, op7_bpe, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op4_quality, op5_pack, op6_lines, op7_bpe, op8_neardup, op10_secrets)}
 
 ORACLE_SQL = {
     "op6_lines": r"""
