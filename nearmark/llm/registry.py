@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearmark.llm import divergence, linededup, neardup, packing, secrets, wordbpe
+from nearmark.llm import bytecnn, divergence, linededup, neardup, packing, secrets, wordbpe
 from nearmark.llm.common import load
 
 
@@ -14,6 +14,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytecnn.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.digest(load(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(load(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality, op5_pack, op6_lines, op7_bpe, op8_neardup, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op2_classifier, op4_quality, op5_pack, op6_lines, op7_bpe, op8_neardup, op10_secrets)}
 
 ORACLE_SQL = {
     "op6_lines": r"""
