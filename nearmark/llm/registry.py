@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearmark.llm import bytecnn, divergence, linededup, neardup, packing, secrets, wordbpe
+from nearmark.llm import bytecnn, divergence, linededup, neardup, packing, secrets, vptree, wordbpe
 from nearmark.llm.common import load
 
 
@@ -38,13 +38,30 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(load(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(load(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_classifier, op4_quality, op5_pack, op6_lines, op7_bpe, op8_neardup, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op2_classifier, op4_quality, op5_pack, op6_lines, op7_bpe, op8_neardup, op9_neighbours, op10_secrets)}
 
 ORACLE_SQL = {
+    "op9_neighbours": """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), n AS (
+  SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS norm FROM v
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) / (q.norm * c.norm) AS score
+  FROM n q JOIN n c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+""",
     "op6_lines": r"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
