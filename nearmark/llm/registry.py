@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearmark.llm import bytecnn, divergence, linededup, neardup, packing, secrets, vptree, wordbpe
+from nearmark.llm import bytecnn, divergence, katz, linededup, neardup, packing, secrets, vptree, warc, wordbpe
 from nearmark.llm.common import load
 
 
@@ -14,10 +14,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.resolve(warc.parse(warc.captures(load(spark, sf_dir, "pages")))))
+
+
 def op2_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytecnn.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(load(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.digest(load(spark, sf_dir, "documents"))
 
@@ -46,9 +54,40 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(load(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_classifier, op4_quality, op5_pack, op6_lines, op7_bpe, op8_neardup, op9_neighbours, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_revisits, op2_classifier, op3_katz, op4_quality, op5_pack, op6_lines, op7_bpe, op8_neardup, op9_neighbours, op10_secrets)}
 
 ORACLE_SQL = {
+    "op1_revisits": r"""
+WITH a AS (
+  SELECT page_id AS n, coalesce(html, '') AS html, regexp_replace(regexp_replace(trim(coalesce(url, '')), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u
+  FROM pages WHERE page_id IS NOT NULL
+), b AS (
+  SELECT n, html, lower(regexp_extract(u, '^([^/?]*)', 1)) AS host, u FROM a
+), c AS (
+  SELECT n, html, regexp_replace(regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':(80|443)$', ''), '^www[.]', '')
+    || regexp_replace(regexp_replace(regexp_replace(substr(u, length(host) + 1), '([?&])((utm_[a-z]+|ref|fbclid|gclid)=[^&]*(&|$))+', '\1', 'g'), '[?&]+$', ''), '/+$', '') AS url
+  FROM b
+), d AS (
+  SELECT n, html, url, md5(html) AS tag, n * 60 AS ts, n * 60 + CASE WHEN n % 11 = 0 THEN -30 ELSE 86400 END AS late,
+         strftime(to_timestamp(1704067200 + n * 60) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day,
+         n % 5 <> 0 AND n % 13 <> 0 AS has_tag, n % 13 <> 0 AS has_day FROM c
+), m AS (
+  SELECT r.n, r.url, r.has_tag, r.has_day, CASE WHEN r.n % 7 = 0 THEN '"other"' ELSE 'W/"' || r.tag || '"' END AS tag, r.day, max(f.n) AS found
+  FROM d r LEFT JOIN d f ON r.url = f.url AND f.ts < r.late GROUP BY ALL
+), v AS (
+  SELECT m.*, f.html, f.tag AS then_tag, f.day AS then_day,
+         CASE WHEN found IS NULL THEN 'no_response'
+              WHEN m.has_tag THEN CASE WHEN replace(m.tag, 'W/', '') = '"' || f.tag || '"' THEN 'resolved' ELSE 'validator_mismatch' END
+              WHEN m.has_day THEN CASE WHEN m.day = f.day THEN 'resolved' ELSE 'validator_mismatch' END
+              ELSE 'no_validator' END AS status
+  FROM m LEFT JOIN d f ON f.n = m.found
+)
+SELECT n AS page_id, url, status, coalesce(found, -1) AS response_page,
+       CASE WHEN status = 'resolved' THEN sha256('cache-control=max-age=600;content-length=' || octet_length(encode(html)) || ';content-type=text/html; charset=utf-8;etag='
+         || CASE WHEN has_tag THEN tag ELSE '"' || then_tag || '"' END || ';last-modified=' || CASE WHEN has_day THEN day ELSE then_day END || ';server=cache') END AS headers_sha256,
+       CASE WHEN status = 'resolved' THEN sha256(html) END AS body_sha256
+FROM v
+""",
     "op9_neighbours": """
 WITH v AS (
   SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
