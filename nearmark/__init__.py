@@ -6,7 +6,6 @@ Layers:
   operators/  DataFrame -> DataFrame operators (prepare, similarity, scoring,
               evaluation, training)
   plans/      the three end-to-end jobs and the registered queries
-  streaming/  (empty: the pipeline is batch only)
 """
 
 __version__ = "0.1.0"

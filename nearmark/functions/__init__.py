@@ -2,7 +2,6 @@
 
 from nearmark.functions.vectors import (  # noqa: F401
     clip,
-    dot,
     log2,
     minus,
     norm2,

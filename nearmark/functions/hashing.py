@@ -2,7 +2,7 @@
 
 Every random draw in the library is a pure function of its key, so results do
 not depend on partitioning, task retries or executor loss. The uniform is the
-first 32 bits of an md5 digest, which DuckDB can reproduce for oracle checks.
+first 52 bits of an md5 digest, which DuckDB can reproduce for oracle checks.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TWO32 = 4294967296.0
+_DIGITS, _RANGE = 13, float(1 << 52)  # hex digits of the digest: every double step in [0, 1) of 2**-52
 
 
 def hash_key(*parts) -> Column:
@@ -24,7 +24,7 @@ def hash_key(*parts) -> Column:
 
 def uniform(*parts) -> Column:
     """Uniform double in [0, 1) keyed by ``parts``."""
-    return F.conv(F.substring(F.md5(hash_key(*parts)), 1, 8), 16, 10).cast("double") / F.lit(_TWO32)
+    return F.conv(F.substring(F.md5(hash_key(*parts)), 1, _DIGITS), 16, 10).cast("double") / F.lit(_RANGE)
 
 
 def gaussian(*parts, mu: float = 0.0, sigma: float = 1.0) -> Column:

@@ -50,11 +50,6 @@ def norm2(a) -> Column:
                        F.lit(0.0), lambda acc, v: acc + v)
 
 
-def dot(a, b) -> Column:
-    a, b = _col(a), _col(b)
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-
-
 def clip(a, radius: float | Column) -> Column:
     """Project onto the ball of ``radius``: unchanged when the norm is <= radius."""
     a = _col(a)

@@ -1,32 +1,20 @@
 """Exact user x item scoring in bounded blocks (the nested loop of J11, distributed).
 
-Users are hashed into ``UB`` blocks and items into ``IB`` blocks. Each
-(user block, item block) pair is one cogroup key, so a task holds at most
-~user_block users x ~item_block items and the work is spread over UB*IB
-tasks. Shuffle volume is items x UB + users x IB, so blocks are large
-(16384 x 16384 by default); inside a group the distance matrix is built
-``row_chunk`` users at a time, which bounds worker memory at
-row_chunk x item_block doubles whatever the block size. User rows travel to every item block and item rows to every user
-block. Nothing is a cross join and no group grows with the data: user and
-item blocks have bounded expected size, and a user's excluded pairs land in
-the block of their item (at most item_block of them per group).
-
-The probes of one user (thresholds to rank against, e.g. that user's test
-items) are split over ``TB_u`` sub-blocks when the user has many of them, so
-a user holding a third of all rows does not put all its probes in one task.
-
-Inside a group NumPy builds the squared-distance matrix by a left fold over
-dimensions (bit-identical to ``functions.vectors.sqdist``) and:
-
-* ``topk``   keeps each user's k nearest candidates (ties by item id); the
-  global merge is a ``row_number() <= k`` window that Spark plans as a
-  partial ``WindowGroupLimit`` before the shuffle;
-* ``emit``   emits every candidate (u, j);
-* ``count``  counts, per probe (u, key, thr, thr_id), candidates with
-  ``d - offset <= thr`` (or, with ``strict``, ``(d, j) < (thr, thr_id)``);
-* ``min``    the smallest ``d - offset`` over a user's candidates.
-
-Candidates of u = items minus the pairs in ``excluded``.
+Users are hashed into ``UB`` blocks and items into ``IB`` blocks; each (user block, item block) pair is one cogroup key, so a
+task holds at most ~user_block users x ~item_block items. Both numbers follow from how many users and items there are (see
+``layout``), not from a session setting. User rows travel to every item block and item rows to every user block. Nothing is a
+cross join and no group grows with the data. The probes of one user (thresholds to rank against, e.g. that user's test items)
+are split over sub-blocks when the user has many of them; a user's excluded pairs go to the first sub-block only.
+
+Inside a group distances come from a matrix product, ``row_chunk`` users by ``item_tile`` items at a time. A product distance
+is off by less than a known bound, so it only selects: what lies within the bound of a threshold (or of the k-th distance) is
+folded again over the dimensions, bit for bit as ``functions.vectors.sqdist`` does, and decides ties exactly. Modes:
+
+* ``topk``   each user's k nearest candidates (ties by item id); the global merge is a ``row_number() <= k`` window that Spark
+             plans as a partial ``WindowGroupLimit`` before the shuffle. Candidates of u = items minus the pairs in ``excluded``;
+* ``count``  per probe (u, key, thr, thr_id) how many of all items have ``d - offset <= thr`` (or, with ``strict``,
+             ``(d, j) < (thr, thr_id)``). Excluded pairs count too: take them off with ``indexing.flagged_before``;
+* ``countmin`` as ``count``, and with key null the smallest ``d - offset`` over each user's candidates.
 """
 
 from __future__ import annotations
@@ -42,15 +30,15 @@ from pyspark.sql import types as T
 
 # Ship this module's functions to the Python workers by value, so executors
 # need NumPy and pandas but not this package on their path.
-try:
-    from pyspark import cloudpickle as _cloudpickle
-    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
-except Exception:  # pragma: no cover - older cloudpickle
-    pass
+from pyspark import cloudpickle as _cloudpickle
+
+_cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 USER_BLOCK = 16384
 ITEM_BLOCK = 16384
 PROBE_CHUNK = 65536
+ITEM_TILE = 2048
+TASK_PAIRS, FEW_TASKS = 1 << 20, 256
 
 _USER_SIDE = T.StructType([
     T.StructField("ub", T.IntegerType()), T.StructField("tb", T.IntegerType()),
@@ -62,171 +50,186 @@ _USER_SIDE = T.StructType([
 
 _OUT = {
     "topk": "u long, j long, d double",
-    "emit": "u long, j long",
     "count": "u long, key long, cnt long",
-    "min": "u long, dmin double",
     "countmin": "u long, key long, cnt long, dmin double",
 }
 
 VECTOR, EXCLUDED, PROBE = 0, 1, 2
 
 
-def _distance_matrix(W: np.ndarray, H: np.ndarray) -> np.ndarray:
-    D = np.zeros((W.shape[0], H.shape[0]), dtype=np.float64)
-    for k in range(W.shape[1]):
-        diff = W[:, k][:, None] - H[:, k][None, :]
-        D += diff * diff
-    return D
+def layout(n_users: int, n_items: int, user_block: int = USER_BLOCK, item_block: int = ITEM_BLOCK) -> tuple[int, int]:
+    """(UB, IB) with the least copying, items x UB + users x IB, for the wanted number of tasks.
+
+    Small inputs get a task per TASK_PAIRS pairs, FEW_TASKS at most; large ones as many as the block sizes ask for.
+    """
+    least_u, least_i = max(1, math.ceil(n_users / user_block)), max(1, math.ceil(n_items / item_block))
+    tasks = max(least_u * least_i, min(FEW_TASKS, math.ceil(n_users * n_items / TASK_PAIRS)), 1)
+    ub = max(least_u, min(round(math.sqrt(tasks * max(n_users, 1) / max(n_items, 1))), math.ceil(tasks / least_i)), 1)
+    return ub, max(least_i, math.ceil(tasks / ub))
+
+
+def exact_sqdist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, folded from the first dimension to the last."""
+    if not len(a):
+        return np.zeros(0)
+    x = a - b
+    return np.add.accumulate(x * x, axis=1)[:, -1]
+
+
+def product_sqdist(w: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by matrix product, and per row a bound on their error and the fold's together."""
+    ww, hh = (w * w).sum(axis=1), (h * h).sum(axis=1)
+    d = ww[:, None] + hh[None, :] - 2 * (w @ h.T)
+    return d, (ww + hh.max(initial=0.0)) * (4 * (w.shape[1] + 8) * np.finfo(float).eps)
+
+
+def position(rows: np.ndarray, which: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """How many values of the sorted ``rows[which]`` are below x, all searches at once."""
+    lo, hi = np.zeros(len(x), np.int64), np.full(len(x), rows.shape[1], np.int64)
+    while (lo < hi).any():
+        mid = (lo + hi) // 2
+        below = (lo < hi) & (rows[which, np.minimum(mid, rows.shape[1] - 1)] < x)
+        lo, hi = np.where(below, mid + 1, lo), np.where(below | (lo >= hi), hi, mid)
+    return lo
+
+
+def spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each range lo[k]:hi[k] its number k, and its members, one after the other."""
+    n = hi - lo
+    k = np.repeat(np.arange(len(n)), n)
+    return k, np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n) + lo[k]
 
 
 def _stack(col: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in col.to_numpy()])
 
 
-def _make_block_fn(mode: str, k: int, offset: float, strict: bool, chunk: int = 256):
-    cols = [c.split()[0] for c in _OUT[mode].split(", ")]
+def nearest_in_block(W, H, J, ex_r, ex_c, k):
+    """(row, column, exact distance) of each row's k nearest columns that aren't excluded."""
+    d, err = product_sqdist(W, H)
+    d[ex_r, ex_c] = np.inf
+    k = min(k, d.shape[1])
+    last = np.partition(d, k - 1, axis=1)[:, k - 1]
+    r, c = np.nonzero((d <= (last + 2 * err)[:, None]) & np.isfinite(d))
+    exact = exact_sqdist(W[r], H[c])
+    order = np.lexsort((J[c], exact, r))
+    r, c, exact = r[order], c[order], exact[order]
+    rank = np.arange(len(r)) - np.searchsorted(r, r, "left")
+    keep = rank < k
+    return r[keep], c[keep], exact[keep]
+
+
+def counts_in_block(W, H, J, rows, thr, tid, offset, strict):
+    """For each probe (row of W, threshold, item id) the number of columns under it."""
+    d, err = product_sqdist(W, H)
+    order = np.argsort(d, axis=1)
+    d = np.take_along_axis(d, order, axis=1)
+    slack = err[rows] + 4 * np.finfo(float).eps * (np.abs(thr) + abs(offset))
+    lo, hi = position(d, rows, thr + offset - slack), position(d, rows, thr + offset + slack)
+    probe, at = spans(lo, hi)
+    col = order[rows[probe], at]
+    exact = exact_sqdist(W[rows[probe]], H[col])
+    if offset:
+        exact = exact - offset
+    t = thr[probe]
+    under = (exact < t) | ((exact == t) & (J[col] < tid[probe])) if strict else exact <= t
+    return lo + np.bincount(probe[under], minlength=len(rows))
+
+
+def minima_in_block(W, H, ex_r, ex_c, offset):
+    """Each row's smallest exact distance minus offset over the columns that aren't excluded, inf without one."""
+    d, err = product_sqdist(W, H)
+    d[ex_r, ex_c] = np.inf
+    r, c = np.nonzero((d <= (d.min(axis=1) + 2 * err)[:, None]) & np.isfinite(d))
+    exact = exact_sqdist(W[r], H[c])
+    out = np.full(len(W), np.inf)
+    np.minimum.at(out, r, exact - offset if offset else exact)
+    return out
+
 
-    def empty():
-        return pd.DataFrame({c: pd.Series(dtype="int64" if c in ("u", "j", "key", "cnt") else "float64")
-                             for c in cols})
+def _make_block_fn(mode: str, k: int, offset: float, strict: bool, chunk: int, tile: int):
+    cols = [c.split() for c in _OUT[mode].split(", ")]
+
+    def frame(**data):
+        n = len(next(iter(data.values())))
+        return pd.DataFrame({c: (pd.Series(data[c]).astype("Int64" if kind == "long" else "float64") if c in data
+                                 else pd.Series([None] * n, dtype="Int64" if kind == "long" else "float64")) for c, kind in cols})
 
     def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         vec = left[left["kind"] == VECTOR]
         if vec.empty or right.empty:
-            return empty()
-        right = right.sort_values("j", kind="stable")
+            return frame(u=[])
         J = right["j"].to_numpy(dtype=np.int64)
         H = _stack(right["h"])
         U = vec["u"].to_numpy(dtype=np.int64)
         W = _stack(vec["w"])
         urow = pd.Series(np.arange(len(U)), index=U)
         jcol = pd.Series(np.arange(len(J)), index=J)
-        ex = left[left["kind"] == EXCLUDED]
-        ex_r = ex_c = np.zeros(0, dtype=np.int64)
-        if not ex.empty:
-            r = urow.reindex(ex["u"].to_numpy()).to_numpy()
-            c = jcol.reindex(ex["j"].to_numpy()).to_numpy()
-            ok = ~(np.isnan(r) | np.isnan(c))
-            ex_r, ex_c = r[ok].astype(np.int64), c[ok].astype(np.int64)
-        pr_rows = pr_u = pr_key = thr = tid = None
-        if mode in ("count", "countmin"):
-            pr = left[left["kind"] == PROBE]
-            rows = urow.reindex(pr["u"].to_numpy()).to_numpy()
-            okp = ~np.isnan(rows)
-            pr = pr[okp]
-            pr_rows = rows[okp].astype(np.int64)
-            pr_u = pr["u"].to_numpy(dtype=np.int64)
-            pr_key = pr["j"].to_numpy(dtype=np.int64)
-            thr = pr["thr"].to_numpy(dtype=np.float64)
-            tid = pr["thr_id"].to_numpy(dtype=np.int64)
-
-        out = []
-        # Users are processed ``chunk`` rows at a time, so memory is chunk x items
-        # however large the block is.
+
+        def places(part, *columns):
+            at = [s.reindex(part[c].to_numpy()).to_numpy() for c, s in columns]
+            ok = ~np.any([np.isnan(x) for x in at], axis=0)
+            return part[ok], *[x[ok].astype(np.int64) for x in at]
+
+        _, ex_r, ex_c = places(left[left["kind"] == EXCLUDED], ("u", urow), ("j", jcol))
+        probes, pr_row = places(left[left["kind"] == PROBE], ("u", urow))
+        thr, tid = probes["thr"].to_numpy(dtype=np.float64), probes["thr_id"].to_numpy(dtype=np.int64)
+        cnt = np.zeros(len(probes), np.int64)
+        smallest = np.full(len(U), np.inf)
+        near = []
         for lo in range(0, len(U), chunk):
-            hi = min(lo + chunk, len(U))
-            D = _distance_matrix(W[lo:hi], H)
-            if offset:
-                D = D - offset
-            valid = np.ones(D.shape, dtype=bool)
-            sel = (ex_r >= lo) & (ex_r < hi)
-            valid[ex_r[sel] - lo, ex_c[sel]] = False
-            Uc = U[lo:hi]
-            if mode == "emit":
-                rr, cc = np.nonzero(valid)
-                out.append(pd.DataFrame({"u": Uc[rr], "j": J[cc]}))
-                continue
-            Dm = np.where(valid, D, np.inf)
-            if mode == "topk":
-                kk = min(k, Dm.shape[1])
-                # stable sort keeps item-id order among equal distances
-                order = np.argsort(Dm, axis=1, kind="stable")[:, :kk]
-                vals = np.take_along_axis(Dm, order, axis=1)
-                keep = np.isfinite(vals)
-                rr = np.repeat(np.arange(len(Uc)), kk).reshape(len(Uc), kk)
-                out.append(pd.DataFrame({"u": Uc[rr[keep]], "j": J[order[keep]], "d": vals[keep]}))
-                continue
-            if mode in ("min", "countmin"):
-                has = valid.any(axis=1)
-                mins = pd.DataFrame({"u": Uc[has], "dmin": Dm[has].min(axis=1)})
-                out.append(mins if mode == "min" else _with_mins(empty().iloc[:0], mins))
-                if mode == "min":
+            w = W[lo:lo + chunk]
+            mine = np.flatnonzero((pr_row >= lo) & (pr_row < lo + chunk))
+            out_r = (ex_r >= lo) & (ex_r < lo + chunk)
+            for c0 in range(0, len(J), tile):
+                h, j = H[c0:c0 + tile], J[c0:c0 + tile]
+                out = out_r & (ex_c >= c0) & (ex_c < c0 + tile)
+                gone = ex_r[out] - lo, ex_c[out] - c0
+                if mode == "topk":
+                    r, c, d = nearest_in_block(w, h, j, *gone, k)
+                    near.append((r + lo, j[c], d))
                     continue
-            # count (and countmin): the chunk's probes against its sorted rows
-            psel = np.nonzero((pr_rows >= lo) & (pr_rows < hi))[0]
-            if len(psel) == 0:
-                continue
-            Ds = np.sort(Dm, axis=1)
-            cnt = np.zeros(len(psel), dtype=np.int64)
-            prow = pr_rows[psel] - lo
-            for r in np.unique(prow):
-                at = np.nonzero(prow == r)[0]
-                row = Ds[r]
-                t = thr[psel[at]]
-                if strict:
-                    c_lo = np.searchsorted(row, t, side="left")
-                    c_hi = np.searchsorted(row, t, side="right")
-                    c = c_lo.astype(np.int64)
-                    for q in np.nonzero(c_hi > c_lo)[0]:
-                        eq = valid[r] & (D[r] == t[q]) & (J < tid[psel[at[q]]])
-                        c[q] += int(eq.sum())
-                else:
-                    c = np.searchsorted(row, t, side="right").astype(np.int64)
-                cnt[at] = c
-            counts = pd.DataFrame({"u": pr_u[psel], "key": pr_key[psel], "cnt": cnt})
-            if mode == "countmin":
-                counts["dmin"] = np.nan
-                counts = _with_mins(counts, pd.DataFrame({"u": [], "dmin": []}))
-            out.append(counts)
-        if not out:
-            return empty()
-        res = pd.concat(out, ignore_index=True)
-        return res[cols]
+                if len(mine):  # only the rows with a probe are sorted
+                    own, row = np.unique(pr_row[mine] - lo, return_inverse=True)
+                    cnt[mine] += counts_in_block(w[own], h, j, row, thr[mine], tid[mine], offset, strict)
+                if mode == "countmin" and left["tb"].iloc[0] == 0:
+                    smallest[lo:lo + chunk] = np.minimum(smallest[lo:lo + chunk], minima_in_block(w, h, *gone, offset))
+        if mode == "topk":
+            r, j, d = (np.concatenate(x) for x in zip(*near, strict=True))
+            order = np.lexsort((j, d, r))
+            r, j, d = r[order], j[order], d[order]
+            keep = np.arange(len(r)) - np.searchsorted(r, r, "left") < k
+            return frame(u=U[r[keep]], j=j[keep], d=d[keep])
+        counted = frame(u=probes["u"].to_numpy(), key=probes["j"].to_numpy(), cnt=cnt)
+        if mode == "count":
+            return counted
+        some = np.isfinite(smallest)
+        return pd.concat([x for x in (counted, frame(u=U[some], dmin=smallest[some])) if len(x)] or [counted], ignore_index=True)
 
     return fn
 
 
-def _with_mins(counts: pd.DataFrame, mins: pd.DataFrame) -> pd.DataFrame:
-    """countmin output: probe rows (key, cnt) and one min row per user (key = cnt = null)."""
-    m = pd.DataFrame({"u": mins["u"].to_numpy(dtype=np.int64),
-                      "key": pd.array([None] * len(mins), dtype="Int64"),
-                      "cnt": pd.array([None] * len(mins), dtype="Int64"),
-                      "dmin": mins["dmin"].to_numpy(dtype=np.float64)})
-    c = counts.copy()
-    c["key"] = c["key"].astype("Int64")
-    c["cnt"] = c["cnt"].astype("Int64")
-    if "dmin" not in c:
-        c["dmin"] = np.nan
-    return pd.concat([c[["u", "key", "cnt", "dmin"]], m], ignore_index=True)
-
-
 def block_scan(users: DataFrame, items: DataFrame, mode: str, *, excluded: DataFrame | None = None,
                probes: DataFrame | None = None, k: int = 10, offset: float = 0.0, strict: bool = False,
                user_block: int = USER_BLOCK, item_block: int = ITEM_BLOCK,
-               probe_chunk: int = PROBE_CHUNK, row_chunk: int = 256) -> DataFrame:
+               probe_chunk: int = PROBE_CHUNK, row_chunk: int = 256, item_tile: int = ITEM_TILE) -> DataFrame:
     """Run one scan. ``users`` (u, w), ``items`` (j, h), ``excluded`` (u, j),
     ``probes`` (u, key, thr, thr_id). See the module doc for the modes."""
     if mode not in _OUT:
         raise ValueError(f"unknown block_scan mode {mode!r}")
     if mode in ("count", "countmin") and probes is None:
         raise ValueError("count mode needs probes")
-    spark = users.sparkSession
-    parallelism = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Block counts come from two scalar counts; the data never visits the driver.
-    n_users = users.count()
-    n_items = items.count()
-    ub_n = max(parallelism, math.ceil(n_users / user_block), 1)
-    ib_n = max(1, math.ceil(n_items / item_block))
+    ub_n, ib_n = layout(users.count(), items.count(), user_block, item_block)
 
     ub = F.pmod(F.xxhash64("u"), F.lit(ub_n)).cast("int")
     ib_of_j = F.pmod(F.xxhash64("j"), F.lit(ib_n)).cast("int")
     all_ib = F.explode(F.sequence(F.lit(0), F.lit(ib_n - 1)))
 
+    per_user = None
     if probes is not None:
         per_user = probes.groupBy("u").agg(
             F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(probe_chunk)).cast("int")).alias("_tbn"))
-    else:
-        per_user = None
 
     def with_tbn(df: DataFrame) -> DataFrame:
         if per_user is None:
@@ -240,37 +243,31 @@ def block_scan(users: DataFrame, items: DataFrame, mode: str, *, excluded: DataF
     uvec = (uvec.withColumn("ub", ub)
             .withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("_tbn") - 1)))
             .withColumn("ib", all_ib))
-    parts = [uvec.select("ub", "tb", "ib", F.lit(VECTOR).alias("kind"), "u", null_l.alias("j"),
-                         "w", null_d.alias("thr"), null_l.alias("thr_id"))]
-    if excluded is not None:
-        ex = with_tbn(excluded.select("u", "j"))
-        ex = (ex.withColumn("ub", ub).withColumn("ib", ib_of_j)
-              .withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("_tbn") - 1))))
-        parts.append(ex.select("ub", "tb", "ib", F.lit(EXCLUDED).alias("kind"), "u", "j",
-                               null_w.alias("w"), null_d.alias("thr"), null_l.alias("thr_id")))
+    left = uvec.select("ub", "tb", "ib", F.lit(VECTOR).alias("kind"), "u", null_l.alias("j"),
+                       "w", null_d.alias("thr"), null_l.alias("thr_id"))
+    if excluded is not None and mode != "count":
+        ex = excluded.select("u", "j").withColumn("ub", ub).withColumn("ib", ib_of_j)
+        left = left.unionByName(ex.select("ub", F.lit(0).alias("tb"), "ib", F.lit(EXCLUDED).alias("kind"), "u", "j",
+                                          null_w.alias("w"), null_d.alias("thr"), null_l.alias("thr_id")))
     if probes is not None:
         pr = probes.select("u", "key", "thr", "thr_id").join(per_user, "u")
         pr = (pr.withColumn("ub", ub)
               .withColumn("tb", F.pmod(F.xxhash64("u", "key"), F.col("_tbn")).cast("int"))
               .withColumn("ib", all_ib))
-        parts.append(pr.select("ub", "tb", "ib", F.lit(PROBE).alias("kind"), "u",
-                               F.col("key").alias("j"), null_w.alias("w"), "thr", "thr_id"))
-    left = parts[0]
-    for p in parts[1:]:
-        left = left.unionByName(p)
+        left = left.unionByName(pr.select("ub", "tb", "ib", F.lit(PROBE).alias("kind"), "u",
+                                          F.col("key").alias("j"), null_w.alias("w"), "thr", "thr_id"))
 
     # items go to every (user block, sub-block) that exists; ub_tb is one row per user block
     item_rows = items.select("j", "h").withColumn("ib", ib_of_j) \
         .withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(ub_n - 1))))
     if per_user is not None:
-        ub_tb = with_tbn(users.select("u")).withColumn("ub", ub).groupBy("ub") \
-            .agg(F.max("_tbn").alias("_ntb"))
-        item_rows = item_rows.join(F.broadcast(ub_tb), "ub") \
+        ub_tb = with_tbn(users.select("u")).withColumn("ub", ub).groupBy("ub").agg(F.max("_tbn").alias("_ntb"))
+        item_rows = item_rows.join(ub_tb, "ub") \
             .withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("_ntb") - 1))).drop("_ntb")
     else:
         item_rows = item_rows.withColumn("tb", F.lit(0))
 
-    fn = _make_block_fn(mode, k, float(offset), strict, row_chunk)
+    fn = _make_block_fn(mode, k, float(offset), strict, row_chunk, item_tile)
     keys = ["ub", "tb", "ib"]
     out = left.groupBy(*keys).cogroup(item_rows.select(*keys, "j", "h").groupBy(*keys)) \
         .applyInPandas(fn, schema=_OUT[mode])
@@ -281,9 +278,5 @@ def block_scan(users: DataFrame, items: DataFrame, mode: str, *, excluded: DataF
             .select("u", "rank", "j", "d")
     if mode == "count":
         return out.groupBy("u", "key").agg(F.sum("cnt").alias("cnt"))
-    if mode == "min":
-        return out.groupBy("u").agg(F.min("dmin").alias("dmin"))
-    if mode == "countmin":
-        # one aggregate for both kinds of row: key is null on the per-user minimum rows
-        return out.groupBy("u", "key").agg(F.sum("cnt").alias("cnt"), F.min("dmin").alias("dmin"))
-    return out
+    # one aggregate for both kinds of row: key is null on the per-user minimum rows
+    return out.groupBy("u", "key").agg(F.sum("cnt").alias("cnt"), F.min("dmin").alias("dmin"))

@@ -24,25 +24,47 @@ def sorted_index(df: DataFrame, order_cols: list[str], name: str = "idx",
     ``order_cols`` must be unique per row, so positions are deterministic.
     Eager: the range-partitioned rows are checkpointed to the shared folder.
     """
+    tagged = _ranged(df, order_cols, num_partitions)
+    # monotonically_increasing_id = (partition << 33) + row position in the partition
+    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
+    out = tagged.join(F.broadcast(_offsets(tagged, F.lit(1))), "_pid")
+    return out.withColumn(name, F.col("_off") + local).drop("_pid", "_mid", "_off")
+
+
+def _ranged(df: DataFrame, order_cols: list[str], num_partitions: int | None = None) -> DataFrame:
+    """df sorted over the cluster, with _pid (partition) and _mid (rising within it), written once.
+
+    What is counted per partition and the rows themselves must come from ONE range partitioning: two evaluations may sample
+    different bounds (column pruning keeps Spark from reusing the exchange). A reliable checkpoint fixes the partition contents
+    once, also across executor loss.
+    """
     n = num_partitions or _num_partitions(df)
     ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    tagged = (ranged.withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    # monotonically_increasing_id = (partition << 33) + row position in the partition
-    tagged = tagged.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
-    # Both the partition counts and the numbered rows must come from ONE range
-    # partitioning: two evaluations may sample different bounds (column pruning
-    # keeps Spark from reusing the exchange). A reliable checkpoint fixes the
-    # partition contents once, also across executor loss.
-    tagged = tagged.checkpoint()
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per partition: a window over it is tiny, and so is the broadcast
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))
-    offsets = offsets.fillna(0, subset=["_off"])
-    out = tagged.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(name, F.col("_off") + F.col("_local")).drop("_pid", "_mid", "_local", "_off")
+    return ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()).checkpoint()
+
+
+def _offsets(tagged: DataFrame, weight) -> DataFrame:
+    """(_pid, _off): the weight of all partitions before each. One row per partition: a window over it is tiny, and so is its
+    broadcast."""
+    counts = tagged.groupBy("_pid").agg(F.sum(weight).cast("bigint").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
+    return counts.select("_pid", F.coalesce(before, F.lit(0)).alias("_off"))
+
+
+def flagged_before(df: DataFrame, group_col: str, order_cols: list[str], flag: str, name: str) -> DataFrame:
+    """The rows without ``flag``, with ``name`` = how many flagged rows of their group stand before them in the order.
+
+    A running count over one sorted table: inside each sorted part by a window, across parts by their totals. No group needs
+    to fit into a task.
+    """
+    tagged = _ranged(df, [group_col, *order_cols])
+    one = F.col(flag).cast("bigint")
+    inside = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = tagged.withColumn("_in", F.sum(one).over(inside)).join(F.broadcast(_offsets(tagged, one)), "_pid")
+    run = run.withColumn("_run", F.col("_off") + F.col("_in"))
+    starts = run.groupBy(group_col).agg(F.min(F.col("_run") - one).alias("_start"))
+    return run.where(~F.col(flag)).join(starts, group_col).withColumn(name, F.col("_run") - F.col("_start")) \
+        .drop("_pid", "_mid", "_in", "_off", "_run", "_start", flag)
 
 
 def ordinal_within(df: DataFrame, group_col: str, order_cols: list[str], name: str = "ord",

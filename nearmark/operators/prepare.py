@@ -41,13 +41,6 @@ def filter_users(df: DataFrame, min_degree: int = MIN_DEGREE) -> DataFrame:
     return d.join(keep, "u", "left_semi")
 
 
-def filter_items(df: DataFrame, min_degree: int = MIN_DEGREE) -> DataFrame:
-    """Item side of P1 on distinct pairs."""
-    d = df.select("u", "i").distinct()
-    keep = d.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_degree).select("i")
-    return d.join(keep, "i", "left_semi").select("u", "i")
-
-
 def interaction_filter(df: DataFrame, min_degree: int = MIN_DEGREE) -> DataFrame:
     """P1 then P2, one pass each (users first; not an iterated k-core)."""
     p1 = filter_users(df, min_degree)  # distinct pairs already
@@ -59,9 +52,10 @@ def renumber(df: DataFrame) -> DataFrame:
     """W1 + J1: dense 0-based ids for users and items in key order.
 
     Returns (u_key, i_key, u, i): the original keys and the new ids. The id
-    tables are built by a distributed ``sorted_index`` and joined back.
+    tables are built by a distributed ``sorted_index`` and joined back. The pairs
+    are read three times, so they are written once.
     """
-    d = df.select("u", "i").distinct()
+    d = df.select("u", "i").distinct().checkpoint()
     uidx = sorted_index(d.select("u").distinct(), ["u"], name="u_new")
     iidx = sorted_index(d.select("i").distinct(), ["i"], name="i_new")
     out = d.join(uidx, "u").join(iidx, "i")
@@ -130,16 +124,6 @@ def test_with_used_items(train: DataFrame, test: DataFrame) -> DataFrame:
     return used.unionByName(target)
 
 
-def test_rows(long_form: DataFrame) -> DataFrame:
-    """Nested form of T1: (u, used ARRAY, target ARRAY), arrays sorted.
-
-    Only for the text sink and small outputs: a user's arrays are one row.
-    """
-    return long_form.groupBy("u").agg(
-        F.array_sort(F.collect_list(F.when(F.col("part") == "used", F.col("i")))).alias("used"),
-        F.array_sort(F.collect_list(F.when(F.col("part") == "target", F.col("i")))).alias("target"))
-
-
 def used_items_union(train: DataFrame, test: DataFrame) -> DataFrame:
     """Per user, the union of train and test items (distinct pairs)."""
     return train.select("u", "i").unionByName(test.select("u", "i")).distinct()

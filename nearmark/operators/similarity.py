@@ -109,11 +109,9 @@ def _spread(pairs_scored: DataFrame, val: str) -> DataFrame:
     return pairs_scored.select("u", F.explode(both).alias("i"), val)
 
 
-def _mirror(half: DataFrame, val: str) -> DataFrame:
-    """(a, b, val) with a <= b -> ordered (i, j, val) rows in both directions."""
-    fwd = half.select(F.col("a").alias("i"), F.col("b").alias("j"), val)
-    back = half.where(F.col("a") != F.col("b")).select(F.col("b").alias("i"), F.col("a").alias("j"), val)
-    return fwd.unionByName(back)
+def _named(half: DataFrame, val: str) -> DataFrame:
+    """(a, b, val) -> (i, j, val) with i <= j: each unordered pair once."""
+    return half.select(F.col("a").alias("i"), F.col("b").alias("j"), val)
 
 
 # ---- Jaccard -----------------------------------------------------------------------------
@@ -132,16 +130,16 @@ def _jaccard_half(df: DataFrame, chunk: int, materialize: bool = True) -> tuple[
 
 
 def item_cooccurrence(df: DataFrame, chunk: int = PAIR_CHUNK) -> DataFrame:
-    """(i, j, cn) for every ordered pair with a common user, i = j included."""
+    """(i, j, cn) for every pair i <= j with a common user, i = j included."""
     hp = half_pairs(_door(df, True), chunk=chunk, distinct=True)
     cn = hp.groupBy("a", "b").agg(F.count(F.lit(1)).alias("cn"))
-    return _mirror(cn, "cn")
+    return _named(cn, "cn")
 
 
 def item_jaccard(df: DataFrame, chunk: int = PAIR_CHUNK) -> DataFrame:
-    """(i, j, sij) for every ordered co-occurring pair."""
+    """(i, j, sij) for every co-occurring pair i <= j."""
     _, s = _jaccard_half(df, chunk)
-    return _mirror(s.select("a", "b", "sij"), "sij")
+    return _named(s.select("a", "b", "sij"), "sij")
 
 
 def jaccard_scores(df: DataFrame, chunk: int = PAIR_CHUNK) -> DataFrame:
@@ -168,9 +166,9 @@ def _aa_half(df: DataFrame, alpha: float, chunk: int, materialize: bool = True)
 
 
 def item_aa(df: DataFrame, alpha: float = 1.0, chunk: int = PAIR_CHUNK) -> DataFrame:
-    """(i, j, sij) cosine-normalised Adamic-Adar, every ordered co-occurring pair."""
+    """(i, j, sij) cosine-normalised Adamic-Adar, every co-occurring pair i <= j."""
     _, s = _aa_half(df, alpha, chunk)
-    return _mirror(s, "sij")
+    return _named(s, "sij")
 
 
 def aa_scores(df: DataFrame, alpha: float = 1.0, chunk: int = PAIR_CHUNK) -> DataFrame:

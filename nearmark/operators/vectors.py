@@ -11,15 +11,16 @@ from nearmark.functions.hashing import gaussian, uniform
 from nearmark.functions.vectors import clip
 
 
-def vector_sum(df: DataFrame, key: str, vec: str, out: str | None = None) -> DataFrame:
-    """A10: element-wise sum of ``vec`` per ``key``.
+def vector_sum(df: DataFrame, key: str | list[str], vec: str, out: str | None = None) -> DataFrame:
+    """A10: element-wise sum of ``vec`` per ``key`` (a column or several).
 
     A JVM aggregate with a partial (map-side) step, so a key with very many
     rows is pre-summed in every task before the shuffle.
     """
     out = out or vec
-    s = df.groupBy(key).agg(Summarizer.sum(array_to_vector(F.col(vec))).alias("_s"))
-    return s.select(key, vector_to_array(F.col("_s"), "float64").alias(out))
+    keys = [key] if isinstance(key, str) else key
+    s = df.groupBy(*keys).agg(Summarizer.sum(array_to_vector(F.col(vec))).alias("_s"))
+    return s.select(*keys, vector_to_array(F.col("_s"), "float64").alias(out))
 
 
 def clip_vectors(df: DataFrame, vec: str, radius: float) -> DataFrame:

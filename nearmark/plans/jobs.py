@@ -20,8 +20,8 @@ from nearmark.sources import text
 def prepare_job(spark: SparkSession, log_dir: str, pairs_dir: str, cv_dir: str, seed: int = 42,
                 num_files: int | None = None) -> dict:
     """Job 1. Returns the reported (users, items, rows) counts of each stage."""
-    raw = text.read_log(spark, log_dir)
-    clean = prepare.interaction_filter(raw)
+    raw = text.read_log(spark, log_dir).checkpoint()  # read again for each stage and statistic
+    clean = prepare.interaction_filter(raw).checkpoint()
     ids = prepare.renumber(clean).select("u", "i")
     text.write_pairs(ids, pairs_dir, num_files)
     inter = text.read_pairs(spark, pairs_dir)
@@ -67,11 +67,3 @@ def train_eval_job(spark: SparkSession, scores_dir: str, test_dir: str, pos_dir:
     text.write_positions(users, f"{pos_dir.rstrip('/')}/user", "u", "w")
     text.write_positions(items, f"{pos_dir.rstrip('/')}/item", "i", "h")
     return report
-
-
-def score_and_train(pairs: DataFrame, test: DataFrame, settings: training.Settings, method: str = "tfidf",
-                    seed: int = 0):
-    """Jobs 2 and 3 on frames, without the text round trips."""
-    edges = prepare.score_to_distance(similarity.score(pairs, method))
-    test_long = prepare.test_with_used_items(edges.select("u", "i"), test)
-    return training.train(edges, test_long, settings, seed)

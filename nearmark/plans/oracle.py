@@ -17,7 +17,7 @@ def sqd(a: str, b: str) -> str:
 
 
 def unif(key: str) -> str:
-    return f"(('0x' || substr(md5({key}), 1, 8))::UBIGINT::DOUBLE / 4294967296e0)"
+    return f"(('0x' || substr(md5({key}), 1, 13))::UBIGINT::DOUBLE / 4503599627370496e0)"
 
 
 def key(*parts: str) -> str:
@@ -161,16 +161,27 @@ def _sampling() -> list[str]:
             ]
 
 
-def _gradients() -> list[str]:
-    s = Q.ROUND_SETTINGS
+def _dropped(vec: str, rate: float, part: str) -> str:
+    """The vector with the components dropped whose uniform, keyed by the round, the draw and the part, is under the rate."""
+    if rate <= 0:
+        return vec
+    r = Q.ROUND
+    u = unif(key(str(r["seed"]), str(r["rnd"]), "b", "n", f"'{part}'", "q_ - 1"))
+    return f"list_transform({vec}, lambda x_, q_: CASE WHEN {u} < {rate}e0 THEN 0e0 ELSE x_ END)"
+
+
+def _gradients(s=Q.ROUND_SETTINGS) -> list[str]:
     alpha, bsz = s.loss_weight, float(s.batch_size)
+    t = "list_transform(range(1, len(r.w) + 1), lambda p_: r.w[p_] * 1e0 + r.h[p_] * -1e0)"
+    tj = "list_transform(range(1, len(w) + 1), lambda p_: w[p_] * 1e0 + hj[p_] * -1e0)"
     return [
         *_sampling(),
-        "g0 AS (SELECT r.*, log2(r.rank + 2e0) AS kui, hj.h AS hj, "
-        "list_transform(range(1, len(r.w) + 1), lambda q_: r.w[q_] * 1e0 + r.h[q_] * -1e0) AS t FROM ranked r LEFT JOIN ip hj ON hj.i = r.j_near)",
+        "g0 AS (SELECT r.*, log2(r.rank + 2e0) AS rank_weight, hj.h AS hj, "
+        f"{t} AS t0 FROM ranked r LEFT JOIN ip hj ON hj.i = r.j_near)",
+        f"gt AS (SELECT *, {_dropped('t0', s.drop_rate, 'pull')} AS t, CASE WHEN nk > 0 THEN {tj} END AS tj0 FROM g0)",
         f"g1 AS (SELECT *, -4e0 * {alpha} * (d - list_reduce(list_transform(t, lambda z_: (z_ - 0e0) * (z_ - 0e0)), lambda acc_, v_: acc_ + v_)) / {bsz} AS pc, "
-        "CASE WHEN nk > 0 THEN list_transform(range(1, len(w) + 1), lambda q_: w[q_] * 1e0 + hj[q_] * -1e0) END AS tj, "
-        f"CASE WHEN nk > 0 THEN -2e0 * (1e0 - {alpha}) * kui / {bsz} END AS q FROM g0)",
+        f"CASE WHEN nk > 0 THEN {_dropped('tj0', s.drop_rate, 'push')} END AS tj, "
+        f"CASE WHEN nk > 0 THEN -2e0 * (1e0 - {alpha}) * rank_weight / {bsz} END AS q FROM gt)",
         "gl AS ("
         "SELECT 'u' AS side, u AS id, k, t[k + 1] * pc AS g FROM g1, range(0, len(t)) r(k) "
         "UNION ALL SELECT 'u', u, k, (tj[k + 1] * 1e0 + t[k + 1] * -1e0) * q FROM g1, range(0, len(t)) r(k) WHERE nk > 0 "
@@ -207,40 +218,44 @@ SQL: dict[str, str] = {
     "item_degree": w(_prep("part")) + "SELECT i, count(*) AS ni FROM kc_part GROUP BY i",
     "user_aa_weight": w(_prep("part")) + f"SELECT u, round(1e0 / ({Q.ALPHA_AA}e0 + ln(count(*))), 6) AS wu FROM kc_part GROUP BY u",
     "tfidf_scores": w(_prep("part"), _tfidf("kc_part")) + "SELECT u, i, round(sui, 6) AS sui FROM tf",
-    "item_cooccurrence": w(_prep("part")) + "SELECT x.i, y.i AS j, count(*) AS cn FROM kc_part x JOIN kc_part y ON x.u = y.u GROUP BY x.i, y.i",
-    "item_jaccard": w(_prep("part"), _jaccard_sim()) + "SELECT i, j, round(sij, 6) AS sij FROM sim",
-    "item_aa": w(_prep("part"), _aa_sim(Q.ALPHA_AA)) + "SELECT i, j, round(sij, 6) AS sij FROM sim",
+    "item_cooccurrence": w(_prep("part")) + "SELECT x.i, y.i AS j, count(*) AS cn FROM kc_part x JOIN kc_part y ON x.u = y.u AND x.i <= y.i GROUP BY x.i, y.i",
+    "item_jaccard": w(_prep("part"), _jaccard_sim()) + "SELECT i, j, round(sij, 6) AS sij FROM sim WHERE i <= j",
+    "item_aa": w(_prep("part"), _aa_sim(Q.ALPHA_AA)) + "SELECT i, j, round(sij, 6) AS sij FROM sim WHERE i <= j",
     "jaccard_scores": w(_prep("part"), _jaccard_sim()) + (
         "SELECT x.u, x.i, round(avg(s.sij), 6) AS sui FROM kc_part x JOIN kc_part y ON x.u = y.u "
         "JOIN sim s ON s.i = x.i AND s.j = y.i GROUP BY x.u, x.i"),
     "aa_scores": w(_prep("part"), _aa_sim(Q.ALPHA_AA)) + (
         "SELECT x.u, x.i, round(avg(s.sij), 6) AS sui FROM kc_part x JOIN kc_part y ON x.u = y.u "
         "JOIN sim s ON s.i = x.i AND s.j = y.i GROUP BY x.u, x.i"),
+    "score_methods": w(_prep("part"), _tfidf("kc_part"), [c.replace("sim AS (", "jsim AS (", 1) if c.startswith("sim AS") else c for c in _jaccard_sim()],
+                       _aa_sim(Q.ALPHA_AA)) + "".join(
+        f"SELECT '{name}' AS method, x.u, x.i, round(avg(s.sij), 6) AS sui FROM kc_part x JOIN kc_part y ON x.u = y.u "
+        f"JOIN {sim} s ON s.i = x.i AND s.j = y.i GROUP BY x.u, x.i UNION ALL " for name, sim in (("jaccard", "jsim"), ("aa", "sim"))) + (
+        "SELECT 'tfidf', u, i, round(sui, 6) FROM tf"),
     "used_items_union": w(_prep("part")) + "SELECT DISTINCT u, i FROM (SELECT u, i FROM tr_part UNION ALL SELECT u, i FROM va_part)",
     "test_with_used_items": w(_prep("supp")) + "SELECT u, part, i FROM tl_supp",
-    "vector_arithmetic": w(_prep("supp"), VEC, _upos("up", "va_supp"), _ipos("ip", "va_supp"),
-                           "vp AS (SELECT v.u, v.i, p.w, it.h FROM va_supp v JOIN up p ON p.u = v.u JOIN ip it ON it.i = v.i)") + (
+    "vector_arithmetic": w(_prep("supp"), VEC, _upos("up", "kc_supp"), _ipos("ip", "kc_supp"),
+                           "vp AS (SELECT v.u, v.i, p.w, it.h FROM kc_supp v JOIN up p ON p.u = v.u JOIN ip it ON it.i = v.i)") + (
         "SELECT u, i, CAST(k AS INTEGER) AS k, round(w[k + 1] * 1e0 + h[k + 1] * -1e0, 6) AS diff, "
         "round(w[k + 1] * 0.5e0 + h[k + 1] * 2e0, 6) AS comb FROM vp, range(0, len(w)) r(k)"),
-    "pairwise_distance": w(_prep("supp"), VEC, _upos("up", "va_supp"), _ipos("ip", "va_supp")) + (
+    "pairwise_distance": w(_prep("supp"), VEC, _upos("up", "kc_supp"), _ipos("ip", "kc_supp")) + (
         f"SELECT v.u, v.i, round({sqd('p.w', 'it.h')}, 6) AS d2, round(sqrt({sqd('p.w', 'it.h')}), 6) AS dist, "
         "round(list_reduce(list_transform(p.w, lambda z_: (z_ - 0e0) * (z_ - 0e0)), lambda acc_, v_: acc_ + v_), 6) AS w_norm2 "
-        "FROM va_supp v JOIN up p ON p.u = v.u JOIN ip it ON it.i = v.i"),
+        "FROM kc_supp v JOIN up p ON p.u = v.u JOIN ip it ON it.i = v.i"),
     "clip_vectors": w(_prep("supp"), VEC, _upos("up", "kc_supp"),
                       "nr AS (SELECT u, w, sqrt(list_reduce(list_transform(w, lambda z_: (z_ - 0e0) * (z_ - 0e0)), lambda acc_, v_: acc_ + v_)) AS nrm FROM up)",
                       f"cl AS (SELECT u, CASE WHEN nrm <= {Q.CLIP_RADIUS}e0 THEN w ELSE list_transform(w, lambda z_: z_ * ({Q.CLIP_RADIUS}e0 / nrm)) END AS w FROM nr)") + _long("cl", "u", "w"),
     "dropout_vectors": w(_prep("supp"), VEC, _upos("up", "kc_supp")) + (
         f"SELECT u, CAST(k AS INTEGER) AS k, round(CASE WHEN {unif(key(str(Q.DROP_SEED), 'u', 'k'))} < {Q.DROP_RATIO}e0 "
         "THEN 0e0 ELSE w[k + 1] END, 6) AS x FROM up, range(0, len(w)) r(k)"),
-    "init_positions": w(_prep("supp")) + (
-        f"SELECT i, CAST(k AS INTEGER) AS k, round(sqrt(-2e0 * ln(1e0 - {unif(key(str(Q.INIT_SEED), chr(39) + 'i' + chr(39), 'i', 'k', chr(39) + 'a' + chr(39)))})) "
-        f"* cos(6.283185307179586e0 * {unif(key(str(Q.INIT_SEED), chr(39) + 'i' + chr(39), 'i', 'k', chr(39) + 'b' + chr(39)))}) * 0.1e0 + 0e0, 6) AS x "
-        f"FROM (SELECT DISTINCT i FROM tr_supp), range(0, {Q.INIT_DIM}) r(k)"),
+    "init_positions": w(_prep("supp"), "ids AS (SELECT DISTINCT 'u' AS side, u AS id FROM tr_supp UNION ALL SELECT DISTINCT 'i', i FROM tr_supp)") + (
+        f"SELECT side, id, CAST(k AS INTEGER) AS k, round(sqrt(-2e0 * ln(1e0 - {unif(key(str(Q.INIT_SEED), 'side', 'id', 'k', chr(39) + 'a' + chr(39)))})) "
+        f"* cos(6.283185307179586e0 * {unif(key(str(Q.INIT_SEED), 'side', 'id', 'k', chr(39) + 'b' + chr(39)))}) * 0.1e0 + 0e0, 6) AS x "
+        f"FROM ids, range(0, {Q.INIT_DIM}) r(k)"),
     "vector_sum": w(_prep("supp"), VEC, _upos("up", "tr_supp")) + (
         "SELECT t.i, CAST(r.k AS INTEGER) AS k, round(sum(p.w[r.k + 1]), 6) AS x FROM tr_supp t JOIN up p ON p.u = t.u, "
         "range(0, 64) r(k) GROUP BY t.i, r.k"),
     "topk_unseen": w(EVAL) + f"SELECT u, CAST(rn AS INTEGER) AS rank, i, round(d, 6) AS d FROM rk WHERE rn <= {Q.TOP_K}",
-    "unseen_candidates": w(EVAL) + "SELECT u, i FROM cand",
     "precision_recall_at_k": w(EVAL) + (
         "SELECT k, round(avg(hits * 1e0 / k), 6) AS precision, round(avg(hits * 1e0 / m), 6) AS recall FROM ("
         "SELECT ev.u, CAST(ks.k AS INTEGER) AS k, ev.m, count(t.i) AS hits FROM ev CROSS JOIN (VALUES (5), (10), (15), (20)) ks(k) "
@@ -267,7 +282,8 @@ SQL: dict[str, str] = {
         "SELECT b, n, u, i, round(d, 6) AS d, -1 AS c, CAST(NULL AS BIGINT) AS j FROM draws "
         "UNION ALL SELECT g.b, g.n, d.u, d.i, round(d.d, 6), g.c, g.j FROM negs g JOIN draws d ON d.b = g.b AND d.n = g.n"),
     "approx_rank": w(_sampling()) + (
-        "SELECT b, n, u, i, nk, j_near, rank, round(log2(rank + 2e0), 6) AS kui FROM ranked"),
+        "SELECT b, n, u, i, nk, j_near, rank, round(log2(rank + 2e0), 6) AS rank_weight FROM ranked"),
+    "gradient_round_dropout": w(_gradients(Q.DROPOUT_SETTINGS)) + "SELECT side, id, CAST(k AS INTEGER) AS k, round(g, 6) AS g FROM gs",
     "gradient_round": w(_gradients()) + "SELECT side, id, CAST(k AS INTEGER) AS k, round(g, 6) AS g FROM gs",
 }
 

@@ -9,6 +9,7 @@ form (id, k, x) so that they compare as plain rows.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,7 @@ ROUND = dict(batch_size=200, block_num=4, neg_num=5, seed=5, rnd=0)
 ROUND_SETTINGS = training.Settings(learning_rate=0.1, drop_rate=0.0, clip=1.0, margin=MARGIN,
                                    neg_num=ROUND["neg_num"], batch_size=ROUND["batch_size"],
                                    block_num=ROUND["block_num"], loss_weight=LOSS_WEIGHT)
+DROPOUT_SETTINGS = dataclasses.replace(ROUND_SETTINGS, drop_rate=0.3)
 
 
 def round6(df: DataFrame) -> DataFrame:
@@ -79,7 +81,7 @@ def eval_inputs(spark, sf):
     train, valid = train_valid(spark, sf, "supp")
     train = train.checkpoint()
     test = prepare.test_with_used_items(train, valid).checkpoint()
-    # job boundary: positions and the test set are tables the scorer reads several times
+    # positions and the test set are tables the scorer reads several times
     return user_pos(spark, sf, train).checkpoint(), item_pos(spark, sf, train).checkpoint(), train, test
 
 
@@ -99,21 +101,29 @@ def round_inputs(spark, sf):
 
 # ---- queries -----------------------------------------------------------------------------
 
+def _as_file(spark, lines: DataFrame, name: str) -> str:
+    path = scratch_path(spark, name)
+    lines.select("value").write.text(path)
+    return path
+
+
 def q_scan_log(spark, sf):
-    return text.parse_log(fixtures.log_lines(spark, sf))
+    return text.read_log(spark, _as_file(spark, fixtures.log_lines(spark, sf), "log"))
 
 
 def q_scan_pairs(spark, sf):
     lines = fixtures.cust_part(spark, sf).select(F.concat_ws("|", "u", "i").alias("value"))
-    return text.parse_pairs(lines)
+    return text.read_pairs(spark, _as_file(spark, lines, "pairs"))
 
 
 def q_scan_scores(spark, sf):
-    return text.parse_scores(fixtures.score_lines(spark, sf))
+    return text.read_scores(spark, _as_file(spark, fixtures.score_lines(spark, sf), "scores"))
 
 
 def q_pairs_roundtrip(spark, sf):
+    """Written twice to one path: the second write takes the place of the first."""
     path = scratch_path(spark, "pairs")
+    text.write_pairs(fixtures.cust_part(spark, sf), path, num_files=2)
     text.write_pairs(kc(spark, sf), path, num_files=4)
     return text.read_pairs(spark, path)
 
@@ -133,11 +143,8 @@ def q_positions_roundtrip(spark, sf):
 def q_test_set_roundtrip(spark, sf):
     path = scratch_path(spark, "testset")
     train, valid = train_valid(spark, sf, "supp")
-    text.write_test_set(prepare.test_rows(prepare.test_with_used_items(train, valid)), path)
-    t = text.read_test_set(spark, path)
-    used = t.select("u", F.lit("used").alias("part"), F.explode("used").alias("i"))
-    target = t.select("u", F.lit("target").alias("part"), F.explode("target").alias("i"))
-    return used.unionByName(target)
+    text.write_test_set(prepare.test_with_used_items(train, valid), path)
+    return text.read_test_set(spark, path)
 
 
 def q_user_degree_filter(spark, sf):
@@ -219,21 +226,17 @@ def q_test_with_used_items(spark, sf):
     return prepare.test_with_used_items(train, valid)
 
 
-def _valid_pairs_with_positions(spark, sf):
-    _, valid = train_valid(spark, sf, "supp")
-    return valid.join(user_pos(spark, sf, valid), "u").join(item_pos(spark, sf, valid), "i")
-
-
 def q_vector_arithmetic(spark, sf):
-    p = _valid_pairs_with_positions(spark, sf)
+    p = kc(spark, sf, "supp").checkpoint()
+    p = p.join(user_pos(spark, sf, p), "u").join(item_pos(spark, sf, p), "i")
     p = p.select("u", "i", minus("w", "h").alias("diff"), plus("w", "h", 0.5, 2.0).alias("comb"))
     return p.select("u", "i", F.posexplode(F.arrays_zip("diff", "comb")).alias("k", "z")) \
         .select("u", "i", "k", F.col("z.diff").alias("diff"), F.col("z.comb").alias("comb"))
 
 
 def q_pairwise_distance(spark, sf):
-    _, valid = train_valid(spark, sf, "supp")
-    return evaluate.pairwise_distance(valid, user_pos(spark, sf, valid), item_pos(spark, sf, valid))
+    p = kc(spark, sf, "supp").checkpoint()
+    return evaluate.pairwise_distance(p, user_pos(spark, sf, p), item_pos(spark, sf, p))
 
 
 def q_clip_vectors(spark, sf):
@@ -248,8 +251,10 @@ def q_dropout_vectors(spark, sf):
 
 def q_init_positions(spark, sf):
     train, _ = train_valid(spark, sf, "supp")
-    p = vectors.init_positions(train.select("i"), "i", INIT_DIM, INIT_SEED, "i", out="h")
-    return long_form(p, ["i"], "h")
+    users = vectors.init_positions(train.select("u"), "u", INIT_DIM, INIT_SEED, "u", out="p").withColumnRenamed("u", "id")
+    items = vectors.init_positions(train.select("i"), "i", INIT_DIM, INIT_SEED, "i", out="p").withColumnRenamed("i", "id")
+    both = users.withColumn("side", F.lit("u")).unionByName(items.withColumn("side", F.lit("i")))
+    return long_form(both, ["side", "id"], "p")
 
 
 def q_vector_sum(spark, sf):
@@ -263,11 +268,6 @@ def q_topk_unseen(spark, sf):
     return evaluate.topk_unseen(users, items, train, TOP_K)
 
 
-def q_unseen_candidates(spark, sf):
-    users, items, train, _ = eval_inputs(spark, sf)
-    return evaluate.unseen_candidates(users, items, train)
-
-
 def q_precision_recall_at_k(spark, sf):
     users, items, _, test = eval_inputs(spark, sf)
     return evaluate.precision_recall_at_k(users, items, test)
@@ -311,48 +311,63 @@ def q_sample_batches(spark, sf):
 
 def _ranked(spark, sf):
     e, users, items, idx = round_inputs(spark, sf)
-    draws, negs = training.sample_batches(idx, ROUND["batch_size"], ROUND["block_num"], ROUND["neg_num"],
-                                          ROUND["seed"], ROUND["rnd"])
-    ranked = training.approx_rank(draws, negs, users, items, MARGIN, ROUND["neg_num"], idx.n_items,
-                                  max_draws=ROUND["block_num"] * ROUND["batch_size"], n_dim=64)
-    return ranked, users, items
+    return training.ranked_draws(idx, users, items, ROUND_SETTINGS, ROUND["seed"], ROUND["rnd"]), users, items
 
 
 def q_approx_rank(spark, sf):
     ranked, _, _ = _ranked(spark, sf)
-    return ranked.select("b", "n", "u", "i", "nk", "j_near", "rank", "kui")
+    return ranked.select("b", "n", "u", "i", "nk", "j_near", "rank", "rank_weight")
 
 
-def q_gradient_round(spark, sf):
-    ranked, users, items = _ranked(spark, sf)
-    gu, gi = training.gradient_round(ranked, users, items, ROUND_SETTINGS, ROUND["seed"], ROUND["rnd"])
+def _gradients(spark, sf, settings):
+    ranked, _, _ = _ranked(spark, sf)
+    gu, gi = training.gradient_round(ranked, settings, ROUND["seed"], ROUND["rnd"])
     a = long_form(gu.select(F.lit("u").alias("side"), F.col("u").alias("id"), "g"), ["side", "id"], "g", "g")
     b = long_form(gi.select(F.lit("i").alias("side"), F.col("i").alias("id"), "g"), ["side", "id"], "g", "g")
     return a.unionByName(b)
 
 
+def q_gradient_round(spark, sf):
+    return _gradients(spark, sf, ROUND_SETTINGS)
+
+
+def q_gradient_round_dropout(spark, sf):
+    return _gradients(spark, sf, DROPOUT_SETTINGS)
+
+
 def q_adagrad_round(spark, sf):
     ranked, users, items = _ranked(spark, sf)
-    gu, gi = training.gradient_round(ranked, users, items, ROUND_SETTINGS, ROUND["seed"], ROUND["rnd"])
+    gu, gi = training.gradient_round(ranked, ROUND_SETTINGS, ROUND["seed"], ROUND["rnd"])
     u2, i2 = training.adagrad_round(users, items, gu, gi, ROUND_SETTINGS)
     a = long_form(u2.select(F.lit("u").alias("side"), F.col("u").alias("id"), "sg", "w"), ["side", "id", "sg"], "w")
     b = long_form(i2.select(F.lit("i").alias("side"), F.col("i").alias("id"), "sg", "h"), ["side", "id", "sg"], "h")
     return a.unionByName(b)
 
 
+def q_score_methods(spark, sf):
+    """The method choice: the scores of all three names."""
+    pairs = kc(spark, sf).checkpoint()
+    parts = [similarity.score(pairs, m, ALPHA_AA).select(F.lit(m).alias("method"), "u", "i", "sui") for m in similarity.METHODS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 TRAIN_SETTINGS = training.Settings(learning_rate=0.1, drop_rate=0.1, clip=1.0, n_dim=16, margin=MARGIN,
                                    neg_num=5, max_iter_times=2, batch_size=200, block_num=4,
-                                   batch_per_iter=3, loss_weight=LOSS_WEIGHT, report=False)
+                                   batch_per_iter=3, loss_weight=LOSS_WEIGHT)
 
 
 def q_train_model(spark, sf):
+    """Training with the report of every step: the positions, and as side 'report' the step's objective (norm) and gain (p)."""
     ensure_checkpoint_dir(spark)
     e = edges(spark, sf)
-    users, items, _ = training.train(e, None, TRAIN_SETTINGS, seed=3)
+    _, valid = train_valid(spark, sf, "supp")
+    test = prepare.test_with_used_items(e.select("u", "i"), valid).checkpoint()
+    users, items, history = training.train(e, test, TRAIN_SETTINGS, seed=3)
+    report = spark.createDataFrame([("report", s, o, [g]) for s, o, g in history], "side string, id bigint, norm double, p array<double>")
     a = users.select(F.lit("u").alias("side"), F.col("u").alias("id"), F.col("w").alias("p"))
     b = items.select(F.lit("i").alias("side"), F.col("i").alias("id"), F.col("h").alias("p"))
     return a.unionByName(b).select("side", "id", F.sqrt(F.aggregate(
-        F.transform("p", lambda x: x * x), F.lit(0.0), lambda s, v: s + v)).alias("norm"), "p")
+        F.transform("p", lambda x: x * x), F.lit(0.0), lambda s, v: s + v)).alias("norm"), "p").unionByName(report)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -380,6 +395,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "item_aa": q_item_aa,
     "jaccard_scores": q_jaccard_scores,
     "aa_scores": q_aa_scores,
+    "score_methods": q_score_methods,
     "used_items_union": q_used_items_union,
     "test_with_used_items": q_test_with_used_items,
     "vector_arithmetic": q_vector_arithmetic,
@@ -389,7 +405,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "init_positions": q_init_positions,
     "vector_sum": q_vector_sum,
     "topk_unseen": q_topk_unseen,
-    "unseen_candidates": q_unseen_candidates,
     "precision_recall_at_k": q_precision_recall_at_k,
     "ranking_metrics": q_ranking_metrics,
     "rank_gain": q_rank_gain,
@@ -399,6 +414,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sample_batches": q_sample_batches,
     "approx_rank": q_approx_rank,
     "gradient_round": q_gradient_round,
+    "gradient_round_dropout": q_gradient_round_dropout,
     "adagrad_round": q_adagrad_round,
     "train_model": q_train_model,
 }

@@ -93,10 +93,8 @@ def read_positions(spark: SparkSession, path: str, id_col: str = "id", vec_col:
 
 
 def write_test_set(df: DataFrame, path: str, num_files: int | None = None) -> None:
-    """``u|i,i,...|j,j,...`` for (u, used, target)."""
-    def ints(c):
-        return F.concat_ws(",", F.transform(F.array_sort(c), lambda x: x.cast("string")))
-    out = df.select(F.concat_ws("|", F.col("u").cast("string"), ints(F.col("used")), ints(F.col("target"))).alias("value"))
+    """S8 in long form, ``u|part|i`` with part used or target: a user with very many items stays many rows."""
+    out = df.select(F.concat_ws("|", F.col("u").cast("string"), "part", F.col("i").cast("string")).alias("value"))
     if num_files:
         out = out.repartition(num_files)
     out.write.mode("overwrite").text(path)
@@ -104,12 +102,5 @@ def write_test_set(df: DataFrame, path: str, num_files: int | None = None) -> No
 
 def read_test_set(spark: SparkSession, path: str) -> DataFrame:
     p = F.split(F.col("value"), _PIPE)
-
-    def ints(k):
-        return F.transform(F.split(F.element_at(p, k), ","), lambda x: x.cast("bigint"))
-    return spark.read.text(path).select(F.element_at(p, 1).cast("bigint").alias("u"),
-                                        ints(2).alias("used"), ints(3).alias("target"))
-
-
-def write_parquet(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    return spark.read.text(path).select(_field(p, 0, "bigint").alias("u"), _field(p, 1, "string").alias("part"),
+                                        _field(p, 2, "bigint").alias("i"))

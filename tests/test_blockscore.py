@@ -4,15 +4,16 @@ Tiny block sizes force many item blocks and, with probe_chunk = 1, one probe
 sub-block per probe: the path a user with very many test items takes.
 """
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
 from nearmark.functions.vectors import sqdist
-from nearmark.operators.blockscore import block_scan
+from nearmark.operators.blockscore import block_scan, counts_in_block, exact_sqdist, layout, minima_in_block, nearest_in_block
 from nearmark.plans import queries as Q
 
-SMALL = dict(user_block=7, item_block=3, probe_chunk=1, row_chunk=2)
+SMALL = dict(user_block=7, item_block=3, probe_chunk=1, row_chunk=2, item_tile=2)
 
 
 @pytest.fixture(scope="module")
@@ -30,8 +31,7 @@ def _rows(df):
     return sorted(rows, key=lambda r: tuple((x is None, x if x is not None else 0) for x in r))
 
 
-@pytest.mark.parametrize("mode,kw", [("topk", dict(k=4)), ("emit", {}), ("min", dict(offset=0.5)),
-                                     ("count", dict(strict=True)), ("countmin", dict(offset=0.5))])
+@pytest.mark.parametrize("mode,kw", [("topk", dict(k=4)), ("count", dict(strict=True)), ("count", {}), ("countmin", dict(offset=0.5))])
 def test_blocking_does_not_change_results(inputs, mode, kw):
     users, items, ex, probes = inputs
     pr = probes if mode in ("count", "countmin") else None
@@ -39,3 +39,36 @@ def test_blocking_does_not_change_results(inputs, mode, kw):
     b = block_scan(users, items, mode, excluded=ex, probes=pr, **kw, **SMALL)
     assert _rows(a) == _rows(b)
     assert len(_rows(a)) > 0
+
+
+@pytest.mark.parametrize("values", [[0.0, 0.5, 1.0], [0.1, 0.2, 0.3], None])
+def test_kernel_equals_the_fold_with_many_ties(values):
+    """Few distinct coordinates make most distances equal, and thresholds are distances themselves."""
+    rng = np.random.default_rng(5)
+    make = (lambda n: rng.normal(size=(n, 7))) if values is None else (lambda n: rng.choice(values, (n, 7)))
+    W, H, J = make(30), make(200), rng.permutation(200)
+    fold = np.zeros((30, 200))
+    for k in range(7):
+        fold += (W[:, k][:, None] - H[:, k][None, :]) ** 2
+    assert (exact_sqdist(np.repeat(W, 200, axis=0), np.tile(H, (30, 1))).reshape(30, 200) == fold).all()
+    gone = rng.random((30, 200)) < 0.2
+    masked = np.where(gone, np.inf, fold)
+    r, c, d = nearest_in_block(W, H, J, *np.nonzero(gone), 9)
+    for u in range(30):
+        want = sorted((masked[u, i], J[i]) for i in range(200))[:9]
+        assert [(x, J[y]) for x, y in zip(d[r == u], c[r == u])] == want
+    assert (minima_in_block(W, H, *np.nonzero(gone), 0.5) == (masked - 0.5).min(axis=1)).all()
+    rows, cols = rng.integers(30, size=300), rng.integers(200, size=300)
+    thr, tid = fold[rows, cols], J[cols]
+    strict = [(((fold[u] < t) | ((fold[u] == t) & (J < i))).sum()) for u, t, i in zip(rows, thr, tid)]
+    assert counts_in_block(W, H, J, rows, thr, tid, 0.0, True).tolist() == strict
+    loose = [((fold[u] - 0.5) <= t).sum() for u, t in zip(rows, thr)]
+    assert counts_in_block(W, H, J, rows, thr, tid, 0.5, False).tolist() == loose
+
+
+def test_layout_follows_the_sizes_alone():
+    assert layout(10, 10) == (1, 1)
+    for n_users, n_items in ((16_000, 1_000), (10**8, 10**6), (10**6, 10**8), (3, 10**9)):
+        ub, ib = layout(n_users, n_items)
+        assert ub * 16384 >= n_users and ib * 16384 >= n_items
+    assert layout(16_000, 1_000)[0] > layout(16_000, 1_000)[1]

@@ -64,8 +64,8 @@ def test_one_training_step_golden(spark):
     ranked = training.approx_rank(draws, negs, users, items, s.margin, s.neg_num, 4)
     r = ranked.first()
     assert (r.nk, r.j_near, r.rank) == (1, 2, 3)
-    assert r.kui == pytest.approx(math.log2(5))
-    gu, gi = training.gradient_round(ranked, users, items, s, seed=0, rnd=0)
+    assert r.rank_weight == pytest.approx(math.log2(5))
+    gu, gi = training.gradient_round(ranked, s, seed=0, rnd=0)
     g = {("u", x.u): x.g for x in gu.collect()} | {("i", x.i): x.g for x in gi.collect()}
     assert g[("u", 0)] == pytest.approx([1.543157, 0.0], abs=1e-6)
     assert g[("i", 1)] == pytest.approx([-1.310964, 0.0], abs=1e-6)
@@ -103,6 +103,14 @@ def test_ranking_metrics_golden(spark):
     assert pr[20] == (pytest.approx(0.15), 1.0)
 
 
+def test_used_items_without_position_take_no_candidates(spark):
+    """Used items 90 and 91 have no position: both items stay candidates, and target 1 is the nearest of them."""
+    users = spark.createDataFrame([(7, [0.0, 0.0])], "u bigint, w array<double>")
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0])], "i bigint, h array<double>")
+    test = spark.createDataFrame([(7, "used", 90), (7, "used", 91), (7, "target", 1)], "u bigint, part string, i bigint")
+    assert tuple(evaluate.ranking_metrics(users, items, test).first()) == (1.0, 1.0, 1.0)
+
+
 def test_topk_and_rank_gain(spark):
     users, items = _line_positions(spark)
     train = spark.createDataFrame([(7, 9)], "u bigint, i bigint")

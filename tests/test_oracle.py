@@ -3,11 +3,10 @@
 import pytest
 
 from conftest import SF001
+from nearmark.plans import oracle, queries
 from oracle_compare import compare, duck
 
-QUICK = ["scan_log", "interaction_filter", "split_train_valid", "renumber_ids", "tfidf_scores",
-         "jaccard_scores", "aa_scores", "item_jaccard", "topk_unseen", "precision_recall_at_k",
-         "ranking_metrics", "rank_gain", "push_loss", "sample_batches", "adagrad_round"]
+ALL = sorted(oracle.SQL)
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +14,7 @@ def con():
     return duck(SF001)
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", ALL)
 def test_query_matches_oracle(spark, con, name):
     import __spark_entry__ as E
     df = E.queries()[name](spark, SF001)
@@ -30,5 +29,4 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_oracle_or_is_iterative():
-    import __spark_entry__ as E
-    assert set(E.queries()) - set(E.oracle_sql()) == {"train_model"}
+    assert set(queries.registered()) - set(oracle.SQL) == {"train_model"}

@@ -4,7 +4,7 @@ import pytest
 
 from conftest import SF001
 
-HEAVY = ["jaccard_scores", "aa_scores", "item_aa", "tfidf_scores", "topk_unseen", "unseen_candidates",
+HEAVY = ["jaccard_scores", "aa_scores", "item_aa", "tfidf_scores", "topk_unseen",
          "precision_recall_at_k", "ranking_metrics", "rank_gain", "push_loss", "approx_rank", "adagrad_round"]
 
 
@@ -15,3 +15,20 @@ def test_no_cross_product(spark, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_push_loss_scans_once(spark, monkeypatch):
+    """One cogroup in the plan that is written, none in the plan after it."""
+    import __spark_entry__ as E
+    frame = type(spark.range(0))
+    plans, cut = [], frame.checkpoint
+
+    def spy(self, eager=True):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return cut(self, eager)
+
+    monkeypatch.setattr(frame, "checkpoint", spy)
+    last = E.queries()["push_loss"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    cogroups = [p.count("FlatMapCoGroupsInPandas") for p in plans]
+    assert sum(cogroups) == 1 and "FlatMapCoGroupsInPandas" not in last
+    assert not any("CartesianProduct" in p for p in plans)

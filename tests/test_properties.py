@@ -60,10 +60,10 @@ def test_filter_boundary(spark):
     assert prepare.interaction_filter(df, 10).count() == 0
 
 
-def test_jaccard_symmetric_diagonal_and_range(kc):
+def test_jaccard_half_form_diagonal_and_range(kc):
     s = similarity.item_jaccard(kc)
     m = {(r.i, r.j): r.sij for r in s.collect()}
-    assert all(abs(m[(j, i)] - v) < 1e-12 for (i, j), v in m.items())
+    assert all(i <= j for i, j in m)
     assert all(abs(v - 1.0) < 1e-12 for (i, j), v in m.items() if i == j)
     assert all(0 <= v <= 1 for v in m.values())
 
@@ -143,7 +143,7 @@ def test_user_with_every_item_has_no_candidates(spark):
     users = spark.createDataFrame([(1, [0.0]), (2, [0.0])], "u bigint, w array<double>")
     items = spark.createDataFrame([(10, [1.0]), (11, [2.0])], "i bigint, h array<double>")
     train = spark.createDataFrame([(1, 10), (1, 11), (2, 10)], "u bigint, i bigint")
-    c = {tuple(r) for r in evaluate.unseen_candidates(users, items, train).collect()}
+    c = {(r.u, r.i) for r in evaluate.topk_unseen(users, items, train, k=5).collect()}
     assert c == {(2, 11)}
 
 
@@ -179,9 +179,39 @@ def test_missing_input_fails_and_bad_csv_cell_fails(spark):
 
 
 def test_test_set_text_roundtrip(spark):
-    rows = spark.createDataFrame([(1, [3, 2], [5]), (2, [7], [8, 9])],
-                                 "u bigint, used array<bigint>, target array<bigint>")
+    rows = [(1, "used", 3), (1, "used", 2), (1, "target", 5), (2, "used", 7), (2, "target", 8)]
     p = scratch_path(spark, "testset")
-    text.write_test_set(rows, p, num_files=2)
-    back = {r.u: (r.used, r.target) for r in text.read_test_set(spark, p).collect()}
-    assert back == {1: ([2, 3], [5]), 2: ([7], [8, 9])}
+    text.write_test_set(spark.createDataFrame(rows, "u bigint, part string, i bigint"), p, num_files=2)
+    assert sorted(map(tuple, text.read_test_set(spark, p).collect())) == sorted(rows)
+
+
+def test_overwrite_replaces_the_target(spark):
+    p = scratch_path(spark, "twice")
+    for rows in ([(1, 2), (3, 4)], [(5, 6)]):
+        text.write_pairs(spark.createDataFrame(rows, "u bigint, i bigint"), p)
+    assert [tuple(r) for r in text.read_pairs(spark, p).collect()] == [(5, 6)]
+
+
+def test_checkpoint_folder_rule():
+    """A temporary folder only where everything runs in one process."""
+    from nearmark.session import single_machine
+    assert all(map(single_machine, ("local", "local[4]", "local[*]", "local[2,3]")))
+    assert not any(map(single_machine, ("yarn", "spark://host:7077", "k8s://x", "local-cluster[2,1,1024]")))
+
+
+def test_uniform_reaches_far_rows(spark):
+    """52 bits: positions beyond 2**32 rows are drawn, without steps of several rows."""
+    from nearmark.functions.hashing import uniform
+    n = 1 << 40
+    at = [r.p for r in spark.range(4000).select(F.floor(uniform(1, F.col("id")) * F.lit(float(n))).alias("p")).collect()]
+    assert max(at) > 0.99 * n and len(set(at)) == 4000
+    assert len({p % 256 for p in at}) == 256  # a 32-bit draw would leave only multiples of 256
+
+
+def test_flagged_before_hot_group(spark):
+    from nearmark.operators.indexing import flagged_before
+    rows = [(1 if k % 3 else k % 5, k * 7 % 101, k, k % 4 == 0) for k in range(900)]
+    df = spark.createDataFrame(rows, "g bigint, v bigint, x bigint, f boolean")
+    got = {r.x: r.n for r in flagged_before(df, "g", ["v", "x"], "f", "n").collect()}
+    want = {x: sum(1 for h, w, y, o in rows if o and h == g and (w, y) < (v, x)) for g, v, x, f in rows if not f}
+    assert got == want
