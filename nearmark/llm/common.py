@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -33,3 +34,18 @@ def slices(batches: Iterable[pa.RecordBatch], size: int = 16 << 20, column: str
                 lo, total = i, 0
             total += x
         yield batch.slice(lo)
+
+
+def is_latin(text: str) -> bool:
+    """Whether all code points are below 256."""
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of finished steps now: it does so once nothing on the driver refers to
+    them, and the driver may not collect its garbage for long. Call it after a checkpoint has cut the lineage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearmark.llm.common import slices
+from nearmark.llm.common import release, slices
 from nearmark.session import scratch_path
 
 SHINGLE = 5
@@ -37,7 +37,7 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-6
-TILE = 512
+TILE, GROUP_ROWS, PAIRS = 512, 8192, 1 << 17
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.random.default_rng(20240229).integers(1, 1 << 63, size=(2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 32, size=(2, HASHES, 1), dtype=np.uint32) | np.uint32(1)
@@ -110,16 +110,16 @@ def least_equal(threshold: float, miss: float = MISS) -> list[int]:
     return [next(m for m in range(n + 1) if tail(m, n, threshold) >= miss) for n in range(BATCH, HASHES + 1, BATCH)]
 
 
-def survives(a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
-    """Which rows of two signature matrices the posterior bounds leave, batch by batch."""
-    rows, equal = np.arange(len(a)), np.zeros(len(a), np.int64)
+def survives(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, least: list[int]) -> np.ndarray:
+    """Which pairs of rows a[x[k]], b[y[k]] of signature matrices the posterior bounds leave, batch by batch."""
+    pairs, equal = np.arange(len(x)), np.zeros(len(x), np.int64)
     for k, m in enumerate(least):
         cols = slice(k * BATCH, (k + 1) * BATCH)
-        equal = equal + (a[rows, cols] == b[rows, cols]).sum(axis=1)
+        equal = equal + (a[x[pairs], cols] == b[y[pairs], cols]).sum(axis=1)
         go = equal >= m
-        rows, equal = rows[go], equal[go]
-    out = np.zeros(len(a), bool)
-    out[rows] = True
+        pairs, equal = pairs[go], equal[go]
+    out = np.zeros(len(x), bool)
+    out[pairs] = True
     return out
 
 
@@ -141,7 +141,10 @@ def _digest(shingles: bytes) -> bytes | None:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, signature) of the shingle set of each row of docs; both null for an empty set."""
+    """(doc_id, n_shingles, digest, signature) of the shingle set of each row of docs; both null for an empty set.
+
+    A signature keeps 16 bits of each minimum.
+    """
 
     def run(batches):
         for b in slices(batches, 8 << 20):
@@ -149,32 +152,19 @@ def sets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id"), pa.array([len(s) for s in found], pa.int64()),
                 pa.array([_digest(s.tobytes()) for s in found], pa.binary()),
-                pa.array([signature(s).tobytes() if len(s) else None for s in found], pa.binary()),
+                pa.array([signature(s).astype("<u2").tobytes() if len(s) else None for s in found], pa.binary()),
             ], ["doc_id", "n_shingles", "digest", "signature"])
 
     return _doc_rows(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, signature binary")
 
 
-def whole_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of some classes, made again from the text of the document that holds each."""
-
-    def run(batches):
-        for b in slices(batches, 8 << 20):
-            raw = [shingle_set(t.encode("utf-8")).tobytes() for t in b.column("text").to_pylist()]
-            same = pa.array([_digest(r) == d for r, d in zip(raw, b.column("digest").to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(raw, pa.binary())], ["node", "shingles"]).filter(same)
-
-    wanted = classes.join(nodes, "node").select("node", "digest", F.col("first").alias("doc_id"))
-    return _doc_rows(docs).join(wanted, "doc_id").select("node", "digest", "text").mapInArrow(run, "node bigint, shingles binary").dropDuplicates(["node"])
-
-
 def bands(classes: DataFrame) -> DataFrame:
     """(bucket, node): a row for each band of each class. A bucket is the band's number and a digest of its minima."""
 
     def run(batches):
         for b in batches:
             nodes = b.column("node").to_numpy()
-            sig = np.frombuffer(b"".join(b.column("signature").to_pylist()), "<u4").reshape(-1, BANDS, ROWS).astype(np.uint64)
+            sig = np.frombuffer(b"".join(b.column("signature").to_pylist()), "<u2").reshape(-1, BANDS, ROWS).astype(np.uint64)
             h = np.zeros(sig.shape[:2], np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
             for r in range(ROWS):
                 h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
@@ -189,8 +179,9 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     def prune(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(-1, HASHES) for c in ("sa", "sb"))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(survives(x, y, least)))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, HASHES) for c in ("sa", "sb"))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(
+                pa.array(survives(x, np.arange(len(x)), y, np.arange(len(x)), least)))
 
     sig = classes.select("node", "signature")
     return pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(prune, "a bigint, b bigint")
@@ -199,24 +190,37 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity.
 
-    The sets of b travel to those of a, in groups of TILE pairs at most on average, so a class with very many partners is
-    spread over tasks.
+    The sets are made again from the text of the document that holds each class and sent to groups of TILE pairs of one a at
+    most on average: the set of a once to each of its groups, that of b with each pair. So a class with very many partners
+    is spread over tasks.
     """
     pairs = pairs.checkpoint()
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    whole = whole_sets(docs, classes, nodes).checkpoint()
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("k"))
-    right = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "k").cast("int")).drop("k")
-    right = right.join(whole.toDF("b", "shingles"), "b")
-    left = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part")).join(whole.toDF("a", "shingles"), "a").toDF("x", "p", "shingles")
-
-    def check(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        if not len(ours) or not len(theirs):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        x = ours["shingles"].iloc[0]
-        return theirs.loc[[linked(x, y, percent) for y in theirs["shingles"]], ["a", "b"]]
+    theirs = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "k").cast("int").alias("part"), F.col("b").alias("node"))
+    ours = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), F.col("a").alias("node"))
+    wanted = ours.unionByName(theirs).join(classes.select("node", "digest", F.col("first").alias("doc_id")), "node").checkpoint()
 
-    return left.groupBy("x", "p").cogroup(right.groupBy("a", "part")).applyInPandas(check, "a bigint, b bigint").checkpoint()
+    def make(batches):
+        for b in slices(batches, 8 << 20):
+            raw = [shingle_set(t.encode("utf-8")).tobytes() for t in b.column("text").to_pylist()]
+            same = pa.array([_digest(r) == d for r, d in zip(raw, b.column("digest").to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "part", "node")), pa.array(raw, pa.binary())],
+                                             ["a", "part", "node", "shingles"]).filter(same)
+
+    def check(group: pd.DataFrame) -> pd.DataFrame:
+        a = group["a"].iloc[0]
+        mine = group[group["node"] == a]
+        rest = group[group["node"] != a]
+        if not len(mine):
+            rest = rest[:0]
+        ok = rest[[linked(mine["shingles"].iloc[0], x, percent) for x in rest["shingles"]]]
+        return pd.DataFrame({"a": ok["a"], "b": ok["node"]})
+
+    made = _doc_rows(docs).join(wanted, "doc_id").select("a", "part", "node", "digest", "text").mapInArrow(
+        make, "a bigint, part int, node bigint, shingles binary")
+    out = made.groupBy("a", "part").applyInPandas(check, "a bigint, b bigint").distinct().checkpoint()
+    release(docs.sparkSession)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -244,36 +248,41 @@ def components(edges: DataFrame) -> DataFrame:
 def tile_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) from different components of the same bucket that the signatures leave.
 
-    members: (bucket, n, node, component, signature). A bucket of n rows is dealt into k = ceil(n / TILE) parts and each pair
-    of parts is a group, so a group has at most about 2 * TILE rows whatever the size of the bucket.
+    members: (bucket, n, node, component, signature). A bucket of n rows is dealt into k = ceil(n / TILE) parts and each pair of
+    parts is a tile of at most about 2 * TILE rows, whatever the size of the bucket. A task compares some GROUP_ROWS rows of
+    tiles, PAIRS pairs at a time.
     """
     least = least_equal(percent / 100)
     k = F.ceil(F.col("n") / TILE).cast("int")
     part = F.pmod(F.xxhash64("node", "bucket"), k).cast("int")
     rows = members.withColumn("k", k).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component", "signature")
+    rows = rows.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component",
+                       "signature").checkpoint()
+    groups = max(1, -(-rows.count() // GROUP_ROWS))
+    rows = rows.withColumn("task", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups)))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        node, comp = group["node"].to_numpy(), group["component"].to_numpy()
-        sig = np.frombuffer(b"".join(group["signature"]), "<u4").reshape(-1, HASHES)
-        left = np.flatnonzero(group["part"].to_numpy() == i)
-        right = np.flatnonzero(group["part"].to_numpy() == j)
+        group = group.sort_values(["bucket", "i", "j"])
+        key = group[["bucket", "i", "j"]].to_numpy()
+        last = np.append(np.any(key[1:] != key[:-1], axis=1), True)
+        end = (np.flatnonzero(last) + 1)[np.cumsum(last) - last]
+        node, comp, part = (group[c].to_numpy() for c in ("node", "component", "part"))
+        whole = key[:, 1] == key[:, 2]  # both parts are one: every pair of its rows, else only those across
+        sig = np.frombuffer(b"".join(group["signature"]), "<u2").reshape(-1, HASHES)
+        each = end - np.arange(len(end)) - 1
+        chunk = (np.cumsum(each) - each) // PAIRS
         out = []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & ((node[right] > node[x]) if i == j else True)]
-            y = y[survives(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], least)]
-            out.append(pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-
-    return rows.groupBy("bucket", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
+        for c in np.unique(chunk):
+            first = np.flatnonzero(chunk == c)
+            x = np.repeat(first, each[first])
+            y = np.arange(len(x)) - np.repeat(np.cumsum(each[first]) - each[first], each[first]) + x + 1
+            go = (comp[x] != comp[y]) & (whole[x] | (part[x] != part[y]))
+            x, y = x[go], y[go]
+            go = survives(sig, x, sig, y, least)
+            out.append(pd.DataFrame({"a": np.minimum(node[x[go]], node[y[go]]), "b": np.maximum(node[x[go]], node[y[go]])}))
+        return pd.concat(out).drop_duplicates()
 
-
-def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are not in one component yet."""
-    labels = comp.select("node", "component")
-    out = pairs.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left")
-    return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    return rows.groupBy("task").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -289,30 +298,29 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = spark.read.parquet(f"{base}-classes")
 
     # buckets with two classes or more, and the pair of each class with its bucket's smallest
-    bands(classes).write.parquet(f"{base}-bands")
-    rows = spark.read.parquet(f"{base}-bands")
+    rows = bands(classes)
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1").checkpoint()
     shared = rows.join(sizes, "bucket").checkpoint()
+    release(spark)
     star = shared.where("node <> least").groupBy(F.col("least").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
     star = likely(star.select("a", "b"), classes, percent).join(star, ["a", "b"]).checkpoint()
+    release(spark)
 
-    # first the pair of each class on which most bands agree, then the pairs that are still apart
+    # first the pair of each class on which most bands agree
     best = star.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", "b")
     edges = verified(best, docs, classes, percent)
     ids = some.select("doc_id", "digest").distinct().join(classes.select("digest", "node"), "digest").select("doc_id", "node")
     same_id = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
     edges = edges.unionByName(same_id.join(ids, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()).checkpoint()
     comp = components(edges)
-    rest = apart(star.select("a", "b"), comp).join(best, ["a", "b"], "left_anti")
-    edges = edges.unionByName(verified(rest, docs, classes, percent))
-    comp = components(edges)
 
-    # then all pairs of different components in one bucket that are none of these
+    # then all pairs of a bucket that are still apart
     label = shared.join(comp, "node", "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("component"))
     mixed = label.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     members = label.join(mixed, "bucket").join(classes.select("node", "signature"), "node")
-    more = tile_pairs(members, percent).join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    edges = edges.unionByName(verified(more, docs, classes, percent))
+    done = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = tile_pairs(members, percent).join(done, ["a", "b"], "left_anti")
+    edges = edges.unionByName(verified(more, docs, classes, percent)).checkpoint()
     comp = components(edges)
 
     # a component's name is the smallest doc_id of its classes
@@ -328,6 +336,5 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of docs of which no other document with a smaller id is a near-duplicate; one of several equal doc_ids."""
     gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
-    one = rest.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return one.unionByName(rest.where("doc_id is null"))
+    rest = docs.join(gone, "doc_id", "left_anti").withColumn("_one", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    return rest.dropDuplicates(["doc_id", "_one"]).select(*docs.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer
 from tokenizers.pre_tokenizers import Split
 
-from nearmark.llm.common import slices, texts_of
+from nearmark.llm.common import is_latin, slices, texts_of
 
 CACHE = 600_000
 # What the vocabulary's pre-tokenizer splits on, for text of the first 256 code points.
@@ -110,7 +110,7 @@ class WordBpe:
             elif part.isascii():
                 out += WORD_1.findall(part.lower())
             elif part:
-                if max(part) <= "\xff":  # composed already
+                if is_latin(part):  # composed already
                     out += WORD_1.findall(part.lower())
                 else:  # the library's own Unicode tables, which differ from Python's
                     out += [w for w, _ in self.cut.pre_tokenize_str(self.normal.normalize_str(part))]
