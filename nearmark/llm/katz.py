@@ -169,13 +169,13 @@ def ask_pairs(tokens: DataFrame, answers: DataFrame, uni: Unigrams, word_buckets
         doc = np.repeat(np.arange(len(lens)), lens)
         first = np.cumsum(lens) - lens
         c = count[place]
-        base = np.bincount(doc, uni.base(c), len(lens))
+        base = np.bincount(doc, uni.base(c), len(lens)).astype(float)
         known = np.bincount(doc, c > 0, len(lens)).astype(np.int64)
         before = np.concatenate([[0], place[:-1]]) + 1
         before[first] = 0  # the start mark
         hist_count, hist_number = np.concatenate([[starts_seen], count]), np.concatenate([[START], number])
         alone = hist_count[before] == 0  # h unknown: P(w) at once
-        fixed = np.bincount(doc[alone], np.log10(uni.p(c[alone])), len(lens))
+        fixed = np.bincount(doc[alone], np.log10(uni.p(c[alone])), len(lens)).astype(float)  # integers if there are none
         rest = ~alone
         pair, inverse = np.unique(before[rest] * len(number) + place[rest], return_inverse=True)
         h, w = pair // len(number), pair % len(number)
@@ -239,7 +239,7 @@ def sum_pairs(asks: DataFrame, uni: Unigrams, split: int) -> DataFrame:
                 continue
             docs, refs, holder, times = int(g[0][0]), g[6], g[7], g[8]
             entry = np.repeat(np.arange(size), refs)
-            score = np.bincount(holder, worth[mine][entry] * times, docs)
+            score = np.bincount(holder, worth[mine][entry] * times, docs).astype(float)
             rr = r[mine][entry]
             few = (rr > 0) & (rr <= K)
             by = np.bincount(holder[few] * (K + 1) + rr[few], times[few], docs * (K + 1)).astype(np.int64)
