@@ -1,22 +1,54 @@
-"""The corpus pipeline: stages over documents, each fed with what the one before kept."""
+"""The corpus pipeline: documents to training sequences.
+
+Each stage gets what the one before kept, written and read again as Parquet, and all but the last return the columns of
+documents: quality rules drop documents, line dedup takes lines that an earlier document holds out of their text, one document
+of each group of near-duplicates stays, secrets are replaced in the text, and packing makes the pieces of training sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearmark.llm import divergence, linededup, neardup, packing, secrets
+from nearmark.llm.registry import vocabulary
+from nearmark.session import scratch_path
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return divergence.keep(docs.select(*COLUMNS))
 
-from nearmark.llm import secrets
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(docs, "lang", "source")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_one(docs.select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redact(docs)
+    return secrets.redact(docs.select(*COLUMNS))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
-STAGES = [("secret_scan", secret_scan)]
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("secret_scan", secret_scan),
+          ("packing", pack_sequences)]
+#: SQL can't say what the stages do; tests hold each against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to the documents of a folder; the rows of the last."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

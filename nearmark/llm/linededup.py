@@ -149,8 +149,8 @@ def as_keys(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(-1, 16) if len(column) else np.zeros((0, 16), np.uint8)
 
 
-def _ids(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def _ids(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
 class LineStore:
@@ -258,8 +258,8 @@ class LineStore:
         lost = self.refs().join(shared, "key").select("key", "owner", F.explode("docs").alias("doc_id"))
         return lost.where("doc_id <> owner").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
-    def clean(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, kept text, n_lines, n_dropped) for each row of docs, of documents that the store holds."""
+    def clean(self, docs: DataFrame, *more: str) -> DataFrame:
+        """(doc_id, kept text, n_lines, n_dropped, *more) for each row of docs, of documents that the store holds."""
         min_chars = self.min_chars
 
         def run(batches):
@@ -274,17 +274,20 @@ class LineStore:
                     out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
                 text, n, dropped = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(text, pa.string()), pa.array(n, pa.int64()),
-                                                  pa.array(dropped, pa.int64())], ["doc_id", "text", "n_lines", "n_dropped"])
+                                                  pa.array(dropped, pa.int64()), *[b.column(c) for c in more]],
+                                                 ["doc_id", "text", "n_lines", "n_dropped", *more])
 
-        out = _ids(docs).join(self.losses(), "doc_id", "left").select("doc_id", "text", "keys") \
-            .mapInArrow(run, "doc_id bigint, text string, n_lines bigint, n_dropped bigint")
+        rows = _ids(docs, *more)
+        kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in more)
+        out = rows.join(self.losses(), "doc_id", "left").select("doc_id", "text", "keys", *more) \
+            .mapInArrow(run, f"doc_id bigint, text string, n_lines bigint, n_dropped bigint{kinds}")
         return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, *more: str, min_chars: int = MIN_CHARS) -> DataFrame:
     """``LineStore.clean`` of documents put into a new store."""
     spark = docs.sparkSession
-    return LineStore(spark, scratch_path(spark, "lines"), min_chars=min_chars).insert(docs).clean(docs)
+    return LineStore(spark, scratch_path(spark, "lines"), min_chars=min_chars).insert(docs).clean(docs, *more)
 
 
 def digest(cleaned: DataFrame) -> DataFrame:
