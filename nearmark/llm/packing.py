@@ -7,7 +7,7 @@ end, and, inside a stretch of more than ``stride`` ids without one, every
 
     padding of the window  +  penalty of the cut (none at a document end)
 
-where a window of a power of two ids needs no padding (a short one costs SHORT). With positions p and
+where a window of a power of two ids, a quarter of the size at least, needs no padding (a short one costs SHORT). With positions p and
 best costs c, the padded transition is min over the last ``size`` ids of
 c[i] + (size - (p[j] - p[i])), so a queue of candidates with rising c[i] +
 p[i] gives it in constant time; the unpadded ones look up p[j] - 2**k.
@@ -21,21 +21,25 @@ are packed each; an empty table gives no piece.
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 from collections import deque
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from nearmark.llm.common import slices, texts_of
+from nearmark.llm.common import is_latin, slices, texts_of
+from nearmark.llm.wordbpe import byte_symbols
 
 SIZE = 1024
-CACHE = 500_000
+CACHE = 800_000
 SENTENCE, INSIDE = 0.5, 6.0  # penalties, in ids of padding
 SHORT = 30.0  # for each unpadded window below the full size, so that there are few of them
 STRIDE = 16
@@ -47,6 +51,21 @@ SPACE = "\t-\r\x20\x85\xa0"
 PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[{DIGIT}]+| ?[^{SPACE}{LATIN}{DIGIT}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
+def ranked(path: str) -> tiktoken.Encoding | None:
+    """The same vocabulary by ranks, which is quicker for single pieces, where ids follow the order of the merges."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    if any(vocab[a + b] != 256 + i for i, (a, b) in enumerate(merges)):
+        return None
+    byte = {c: b for b, c in enumerate(byte_symbols())}
+    return tiktoken.Encoding("ranked", pat_str=r"[\s\S]+", mergeable_ranks={bytes(map(byte.__getitem__, t)): i for t, i in vocab.items()}, special_tokens={})
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Ids:
     """Token ids of texts as little-endian 32-bit bytes; pieces met before come from a bounded cache."""
 
@@ -56,6 +75,7 @@ class Ids:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.ranked = ranked(path)
         ends = re.compile(r"[.!?]+$|Ċ")  # Ċ stands for a line end
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -66,16 +86,19 @@ class Ids:
         if len(self.known) > CACHE:
             self.known.clear()
         known = self.known
-        plain = [(t.isascii() or max(t) <= "\xff") and not any(s in t for s in self.special) for t in texts]
+        plain = [is_latin(t) and not any(s in t for s in self.special) for t in texts]
         cut = [PIECE.findall(t) if p else None for t, p in zip(texts, plain, strict=True)]
-        new = list({w for ws in cut if ws for w in ws if w not in known})
-        for lo in range(0, len(new), 8192):
-            some = new[lo:lo + 8192]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
+        new = list(set().union(*filter(None, cut)).difference(known))
+        if self.ranked:
+            for w in new:
+                known[w] = pack_ids(self.ranked.encode_ordinary(w))
+        else:
+            for lo in range(0, len(new), 8192):
+                some = new[lo:lo + 8192]
+                known.update(zip(some, (pack_ids(e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
         get = known.__getitem__
         return [b"".join(map(get, ws)) if ws is not None else
-                np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                pack_ids(self.tokenizer.encode(t, add_special_tokens=False).ids)
                 for t, ws in zip(texts, cut, strict=True)]
 
 
@@ -91,9 +114,7 @@ def choose_cuts(at: list[int], penalty: list[float], size: int = SIZE) -> list[i
     """
     n = len(at)
     best, came = [0.0] * n, [0] * n
-    powers = [1 << k for k in range(size.bit_length()) if 1 << k < size]
-    if size & (size - 1) == 0:
-        powers.append(size)
+    powers = [p for p in (1 << k for k in range(size.bit_length())) if 4 * p >= size]
     index = {p: i for i, p in enumerate(at)}
     queue: deque[int] = deque([0])  # candidates i with rising best[i] + at[i]
     for j in range(1, n):
