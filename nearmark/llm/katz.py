@@ -39,8 +39,8 @@ from nearmark.llm.neardup import LOWER, mix64, word_hashes
 from nearmark.session import scratch_path
 
 K = 5
-BLOCK_BYTES = 16 << 20
-WORDS_PER_BUCKET, PAIRS_PER_BUCKET, SPLIT = 1_000_000, 5_000_000, 1_000_000
+BLOCK_BYTES = 8 << 20
+WORDS_PER_BUCKET, PAIRS_PER_BUCKET, SPLIT = 1_000_000, 2_000_000, 1_000_000
 END, START = np.uint64(0xE5D0_0000_0000_0001), (1 << 40) - 1
 
 
