@@ -34,10 +34,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, f"{WHITE}+"), "")
 
 
-def count_class(text: Column, pattern: str) -> Column:
-    return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
-
-
 def with_words(docs: DataFrame) -> DataFrame:
     """The columns text and lang as _t and _l, and the words."""
     return docs.withColumn("_t", F.coalesce(F.col("text"), F.lit(""))).withColumn("_l", F.col("lang").cast("string")) \
@@ -63,34 +59,39 @@ def repeated_words(df: DataFrame) -> DataFrame:
         F.flatten(F.transform("_p", lambda i: F.array(i, i + 1, i + 2)))))), F.lit(0)).cast("long"))
 
 
-def class_counts(text: Column) -> Column:
-    counts = [count_class(text, p) for p in CLASSES]
-    return F.array(*counts)
+def class_counts(df: DataFrame) -> DataFrame:
+    """Adds _c, the characters of _t by class. Each class is deleted from what the ones before have left."""
+    left = "_t"
+    for i, pattern in enumerate(CLASSES):
+        df = df.withColumn(f"_c{i}", F.regexp_replace(left, pattern, ""))
+        left = f"_c{i}"
+    lengths = [F.length("_t"), *[F.length(f"_c{i}") for i in range(len(CLASSES))], F.lit(0)]
+    df = df.withColumn("_c", F.array(*[(x - y).cast("long") for x, y in zip(lengths, lengths[1:], strict=False)]))
+    return df.drop(*[f"_c{i}" for i in range(len(CLASSES))])
 
 
 def histograms(df: DataFrame) -> DataFrame:
-    """Adds _c and _f, the class and word histograms, and _n, the characters in words, to rows with _t, _w and common."""
+    """Adds _c and _f, the class and word histograms, and _n, the characters in words, to rows with _t, _w, common and longest."""
     def times(w):
         mark = F.concat(F.lit(" "), w, F.lit(" "))
         return ((F.length("_j") - F.length(F.replace(F.col("_j"), mark, F.lit("")))) / F.length(mark)).cast("long")
 
-    df = df.withColumn("_j", F.concat(F.lit(" "), F.array_join("_w", "  "), F.lit(" "))) \
-        .withColumn("_k", class_counts(F.col("_t"))).withColumn("_m", F.transform("common", times))
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
-    return df.withColumn("_c", F.concat("_k", F.array(F.length("_t") - total("_k")))) \
-        .withColumn("_f", F.concat("_m", F.array(F.size("_w") - total("_m")))) \
-        .withColumn("_n", F.length("_t") - F.col("_k")[3]).drop("_j", "_k", "_m")
+    df = class_counts(df).withColumn("_j", F.array_join(F.filter("_w", lambda w: F.length(w) <= F.col("longest")), "  "))
+    df = df.withColumn("_j", F.concat(F.lit(" "), "_j", F.lit(" "))).withColumn("_m", F.transform("common", times))
+    found = F.aggregate("_m", F.lit(0).cast("long"), lambda x, y: x + y)
+    return df.withColumn("_f", F.concat("_m", F.array(F.size("_w") - found))).withColumn("_n", F.length("_t") - F.col("_c")[3]).drop("_j", "_m")
 
 
 def common_words(docs: DataFrame) -> DataFrame:
-    """(lang, common) of each language with a reference of its own: its commonest short lower-case words, ties by the word."""
+    """(lang, common, longest) of each language with a reference of its own: its commonest short lower-case words, ties by the word."""
     langs = docs.groupBy(F.col("lang").cast("string").alias("_l")).count().where("_l is not null")
     langs = langs.orderBy(F.desc("count"), "_l").limit(LANGUAGES).select("_l")
     words = with_words(docs.select("text", "lang")).join(F.broadcast(langs), "_l").select("_l", F.explode("_w").alias("word"))
     words = words.where((F.length("word") <= WORD_LETTERS) & F.col("word").rlike(r"^\p{Ll}+$"))
     each = words.groupBy("_l", "word").agg(F.count(F.lit(1)).alias("n"))
     top = each.withColumn("rank", F.row_number().over(Window.partitionBy("_l").orderBy(F.desc("n"), "word")))
-    return top.where(F.col("rank") <= COMMON).groupBy(F.col("_l").alias("lang")).agg(F.array_sort(F.collect_list("word")).alias("common"))
+    return top.where(F.col("rank") <= COMMON).groupBy(F.col("_l").alias("lang")).agg(
+        F.array_sort(F.collect_list("word")).alias("common"), F.max(F.length("word")).alias("longest"))
 
 
 def with_language(df: DataFrame, refs: DataFrame, *cols: str) -> DataFrame:
@@ -120,17 +121,17 @@ def references(docs: DataFrame, max_chars_js: float, max_words_js: float) -> Dat
     make its own reference.
     """
     common = common_words(docs).checkpoint()
-    each = histograms(with_language(with_words(docs.select("text", "lang")), common, "common")).drop("_t") \
-        .select("_l", "common", "_c", "_f", "_n", F.slice("_w", 1, MIN_WORDS_JS).alias("_w")) \
+    each = histograms(with_language(with_words(docs.select("text", "lang")), common, "common", "longest")).drop("_t") \
+        .select("_l", "common", "longest", "_c", "_f", "_n", F.slice("_w", 1, MIN_WORDS_JS).alias("_w")) \
         .withColumn("_w", F.transform("_w", lambda x: F.lit(0))).checkpoint()
 
     def sums(rows: DataFrame) -> DataFrame:
-        own = rows.where("common is not null").groupBy(F.col("_l").alias("lang"), "common").agg(
+        own = rows.where("common is not null").groupBy(F.col("_l").alias("lang"), "common", "longest").agg(
             F.array(*[F.sum(F.col("_c")[i]) for i in range(len(CLASSES) + 1)]).alias("chars"),
             F.filter(F.array(*[F.sum(F.get("_f", F.lit(i))) for i in range(COMMON + 1)]), lambda x: x.isNotNull()).alias("words"))
         none = F.lit(None)
         whole = rows.agg(F.array(*[F.sum(F.col("_c")[i]) for i in range(len(CLASSES) + 1)]).alias("chars"))
-        return own.unionByName(whole.select(none.cast("string").alias("lang"), none.cast("array<string>").alias("common"), "chars",
+        return own.unionByName(whole.select(none.cast("string").alias("lang"), none.cast("array<string>").alias("common"), none.cast("int").alias("longest"), "chars",
                                             none.cast("array<bigint>").alias("words")))
 
     first = sums(each).checkpoint()
@@ -141,9 +142,14 @@ def js_distance(a: Column, b: Column) -> Column:
     """Jensen-Shannon distance of two histograms with as many bins; null if one is empty."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
     part = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
-    terms = F.zip_with(a, b, lambda x, y: F.struct((x / total(a)).alias("p"), (y / total(b)).alias("q")))
-    half = F.transform(terms, lambda t: part(t["p"], (t["p"] + t["q"]) / 2) + part(t["q"], (t["p"] + t["q"]) / 2))
-    return F.when((total(a) > 0) & (total(b) > 0), F.sqrt(F.greatest(total(half) / 2, F.lit(0.0))))
+
+    def distance(of):
+        terms = F.zip_with(a, b, lambda x, y: F.struct((x / of["a"]).alias("p"), (y / of["b"]).alias("q")))
+        half = F.transform(terms, lambda t: part(t["p"], (t["p"] + t["q"]) / 2) + part(t["q"], (t["p"] + t["q"]) / 2))
+        return F.when((of["a"] > 0) & (of["b"] > 0), F.sqrt(F.greatest(total(half) / 2, F.lit(0.0))))
+
+    # the totals are bound as the one element of an array, so that they are made once and not for each bin
+    return F.transform(F.array(F.struct(total(a).alias("a"), total(b).alias("b"))), distance)[0]
 
 
 def judge(docs: DataFrame, max_chars_js: float = MAX_CHARS_JS, max_words_js: float = MAX_WORDS_JS) -> DataFrame:
@@ -153,7 +159,7 @@ def judge(docs: DataFrame, max_chars_js: float = MAX_CHARS_JS, max_words_js: flo
     refs = references(docs, max_chars_js, max_words_js)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "text", "lang")
     rows = with_words(rows).drop("text", "lang")
-    rows = with_language(repeated_words(rows).drop("_z", "_h", "_s", "_p"), refs.where("lang is not null"), "common")
+    rows = with_language(repeated_words(rows).drop("_z", "_h", "_s", "_p"), refs.where("lang is not null"), "common", "longest")
     rows = distances(histograms(rows), refs)
     rows = rows.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     failed = (F.size("_w") < MIN_WORDS) | (100 * F.col("_rep") > REPEAT_PERCENT * F.size("_w"))
