@@ -87,8 +87,8 @@ def common_words(docs: DataFrame) -> DataFrame:
     langs = docs.groupBy(F.col("lang").cast("string").alias("_l")).count().where("_l is not null")
     langs = langs.orderBy(F.desc("count"), "_l").limit(LANGUAGES).select("_l")
     words = with_words(docs.select("text", "lang")).join(F.broadcast(langs), "_l").select("_l", F.explode("_w").alias("word"))
-    words = words.where((F.length("word") <= WORD_LETTERS) & F.col("word").rlike(r"^\p{Ll}+$"))
-    each = words.groupBy("_l", "word").agg(F.count(F.lit(1)).alias("n"))
+    each = words.where(F.length("word") <= WORD_LETTERS).groupBy("_l", "word").agg(F.count(F.lit(1)).alias("n"))
+    each = each.where(F.col("word").rlike(r"^\p{Ll}+$") & (F.col("n") > 0))  # with n, so that it stays behind the sum
     top = each.withColumn("rank", F.row_number().over(Window.partitionBy("_l").orderBy(F.desc("n"), "word")))
     return top.where(F.col("rank") <= COMMON).groupBy(F.col("_l").alias("lang")).agg(
         F.array_sort(F.collect_list("word")).alias("common"), F.max(F.length("word")).alias("longest"))
@@ -110,20 +110,16 @@ def distances(df: DataFrame, refs: DataFrame) -> DataFrame:
 def odd(max_chars_js: float, max_words_js: float) -> Column:
     """Whether a row stands apart from its language; short rows and those without a reference never do."""
     return F.coalesce(((F.col("_n") >= MIN_CHARS_JS) & (F.col("chars_js") > max_chars_js))
-                      | ((F.size("_w") >= MIN_WORDS_JS) & (F.col("words_js") > max_words_js)), F.lit(False))
+                      | ((F.col("_nw") >= MIN_WORDS_JS) & (F.col("words_js") > max_words_js)), F.lit(False))
 
 
-def references(docs: DataFrame, max_chars_js: float, max_words_js: float) -> DataFrame:
-    """(lang, common, chars, words): common words and histograms of each language, and with lang null those of all documents
-    together (characters only). At most LANGUAGES + 1 rows.
+def references(each: DataFrame, max_chars_js: float, max_words_js: float) -> DataFrame:
+    """(lang, common, longest, chars, words): common words and histograms of each language, and with lang null those of all
+    documents together (characters only). At most LANGUAGES + 1 rows. ``each`` has the histograms of every document.
 
     The first sums are over all documents; the second leave out those that stand apart from the first, so that junk does not
     make its own reference.
     """
-    common = common_words(docs).checkpoint()
-    each = histograms(with_language(with_words(docs.select("text", "lang")), common, "common", "longest")).drop("_t") \
-        .select("_l", "common", "longest", "_c", "_f", "_n", F.slice("_w", 1, MIN_WORDS_JS).alias("_w")) \
-        .withColumn("_w", F.transform("_w", lambda x: F.lit(0))).checkpoint()
 
     def sums(rows: DataFrame) -> DataFrame:
         own = rows.where("common is not null").groupBy(F.col("_l").alias("lang"), "common", "longest").agg(
@@ -152,29 +148,46 @@ def js_distance(a: Column, b: Column) -> Column:
     return F.transform(F.array(F.struct(total(a).alias("a"), total(b).alias("b"))), distance)[0]
 
 
-def judge(docs: DataFrame, max_chars_js: float = MAX_CHARS_JS, max_words_js: float = MAX_WORDS_JS) -> DataFrame:
-    """The rows of docs with the column _q: a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, chars_js and words_js."""
-    names = docs.columns
-    refs = references(docs, max_chars_js, max_words_js)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "text", "lang")
-    rows = with_words(rows).drop("text", "lang")
-    rows = with_language(repeated_words(rows).drop("_z", "_h", "_s", "_p"), refs.where("lang is not null"), "common", "longest")
-    rows = distances(histograms(rows), refs)
-    rows = rows.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    failed = (F.size("_w") < MIN_WORDS) | (100 * F.col("_rep") > REPEAT_PERCENT * F.size("_w"))
-    verdict = F.struct(F.size("_w").cast("long").alias("n_words"), F.col("_n").cast("long").alias("word_chars"),
-                       F.col("_c")[5].cast("long").alias("n_symbols"),
-                       (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-                       F.col("_rep").alias("n_repeat_words"), failed.alias("base_failed"),
-                       (~failed & ~odd(max_chars_js, max_words_js)).alias("kept"), "chars_js", "words_js")
-    return rows.select("_row.*", verdict.alias("_q"))
+def with_histograms(docs: DataFrame, common: DataFrame) -> DataFrame:
+    """docs with _w, _t, _l, the language's common words, _nw (how many words), _n, _c and _f."""
+    rows = with_language(with_words(docs), common, "common", "longest")
+    return histograms(rows).withColumn("_nw", F.size("_w").cast("long"))
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    return judge(docs.select("doc_id", "text", "lang")).select("doc_id", "_q.*")
+def with_base(rows: DataFrame) -> DataFrame:
+    """Adds _rep and _dup, the words in repeated windows and the repeated lines."""
+    rows = repeated_words(rows).withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    return rows.withColumn("_dup", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
+
+
+def verdict(max_chars_js: float, max_words_js: float) -> Column:
+    """The struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, chars_js and words_js."""
+    failed = (F.col("_nw") < MIN_WORDS) | (100 * F.col("_rep") > REPEAT_PERCENT * F.col("_nw"))
+    return F.struct(F.col("_nw").alias("n_words"), F.col("_n").cast("long").alias("word_chars"), F.col("_c")[5].alias("n_symbols"),
+                    F.col("_dup").alias("n_dup_lines"), F.col("_rep").alias("n_repeat_words"), failed.alias("base_failed"),
+                    (~failed & ~odd(max_chars_js, max_words_js)).alias("kept"), "chars_js", "words_js")
 
 
-def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep."""
-    return judge(docs).where("_q.kept").drop("_q")
+def judge(docs: DataFrame, max_chars_js: float = MAX_CHARS_JS, max_words_js: float = MAX_WORDS_JS) -> DataFrame:
+    """doc_id and the verdict's fields for each row of docs. The measures are made in one pass and written; no text is."""
+    d = docs.select("doc_id", "text", "lang")
+    each = with_base(with_histograms(d, common_words(d).checkpoint()))
+    each = each.select("doc_id", "_l", "common", "longest", "_nw", "_n", "_c", "_f", "_rep", "_dup").checkpoint()
+    return distances(each, references(each, max_chars_js, max_words_js)).select("doc_id", verdict(max_chars_js, max_words_js).alias("_q")) \
+        .select("doc_id", "_q.*")
+
+
+def keep(docs: DataFrame, max_chars_js: float = MAX_CHARS_JS, max_words_js: float = MAX_WORDS_JS) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns. The texts are read twice rather than written."""
+    common = common_words(docs.select("text", "lang")).checkpoint()
+    each = with_histograms(docs.select("text", "lang"), common).select("_l", "common", "longest", "_nw", "_n", "_c", "_f").checkpoint()
+    refs = references(each, max_chars_js, max_words_js)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", "lang")
+    rows = with_base(with_histograms(rows, common)).drop("text", "lang")
+    rows = distances(rows, refs).withColumn("_kept", verdict(max_chars_js, max_words_js)["kept"])
+    # a filter would be pushed through all these columns and make them again inside each other; it stops at a row number
+    return rows.withColumn("_at", F.monotonically_increasing_id()).where("_kept and _at >= 0").select("_row.*")
+
+
+def digest(docs: DataFrame) -> DataFrame:
+    return judge(docs)
