@@ -40,7 +40,7 @@ from nearmark.session import scratch_path
 
 K = 5
 BLOCK_BYTES = 8 << 20
-WORDS_PER_BUCKET, PAIRS_PER_BUCKET, SPLIT = 1_000_000, 2_000_000, 1_000_000
+DOCS_PER_BUCKET, PAIRS_PER_BUCKET, SPLIT = 8192, 2_000_000, 1_000_000
 END, START = np.uint64(0xE5D0_0000_0000_0001), (1 << 40) - 1
 
 
@@ -294,7 +294,7 @@ def finish(sums: DataFrame, d: np.ndarray) -> DataFrame:
         run, "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
-def score(docs: DataFrame, words_per_bucket: int = WORDS_PER_BUCKET, pairs_per_bucket: int = PAIRS_PER_BUCKET, split: int = SPLIT) -> DataFrame:
+def score(docs: DataFrame, docs_per_bucket: int = DOCS_PER_BUCKET, pairs_per_bucket: int = PAIRS_PER_BUCKET, split: int = SPLIT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs."""
     spark = docs.sparkSession
     path = scratch_path(spark, "katz")
@@ -302,7 +302,7 @@ def score(docs: DataFrame, words_per_bucket: int = WORDS_PER_BUCKET, pairs_per_b
     kind = d.schema["doc_id"].dataType.simpleString()
     train_docs = docs.select(F.sum((F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0).cast("long")),
                              F.count(F.lit(1))).first()
-    word_buckets = max(4, train_docs[1] // 8192)
+    word_buckets = max(4, train_docs[1] // docs_per_bucket)
     count_words(ask_words(d, word_buckets)).write.parquet(f"{path}-words")
     answers = spark.read.parquet(f"{path}-words")
     stats = [unpack(r["data"]) for r in answers.where("block is null").select("data").collect()]  # a row per bucket

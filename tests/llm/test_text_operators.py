@@ -359,7 +359,7 @@ def _katz(texts, split):
 @pytest.mark.parametrize("split", [50, 10**6])
 def test_katz_query(docs, rows, split):
     # a document that comes twice is counted twice
-    out = katz.score(docs.dropDuplicates(["doc_id"]).orderBy("doc_id").transform(_as_file), words_per_bucket=100, pairs_per_bucket=500, split=split)
+    out = katz.score(docs.dropDuplicates(["doc_id"]).orderBy("doc_id").transform(_as_file), docs_per_bucket=10, pairs_per_bucket=500, split=split)
     got = {r.doc_id: r for r in out.collect()}
     texts = {doc: [*WORD.findall((t or "").translate(LOW)), "</s>"] for doc, t, *_ in rows}
     train, total, want = _katz(texts, split)
