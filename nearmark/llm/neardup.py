@@ -2,9 +2,10 @@
 
 1. Each document becomes the set of its distinct 5-word shingles (64-bit hashes) and a signature of ``HASHES`` minima.
    Documents with equal sets are one class from here on, held by the smallest id.
-2. Signatures are cut into bands; classes that agree on a band are candidates. A bucket never emits all its pairs: first
-   every class is paired with the smallest of its buckets, then, in the buckets that still hold several components, the
-   rows are dealt into tiles and only pairs of different components are compared, inside a task, on signatures.
+2. Half the signature is cut into bands; classes that agree on a band are candidates. A bucket never emits all its pairs:
+   first every class is paired with the smallest of its buckets; then, in the buckets that still hold several components, the
+   rows are dealt into tiles and only pairs of different components are compared, inside a task, on signatures. Of those the
+   likeliest of each two components is verified first, then some more, at last every one that is left.
 3. A candidate pair is compared in batches of minima. With m of n equal the similarity has a Beta(m + 1, n - m + 1)
    posterior (uniform prior); the pair is dropped once the chance that it reaches the threshold is below ``MISS``.
    The bound m(n) is a small table made once.
@@ -34,9 +35,10 @@ from nearmark.session import scratch_path
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
-HASHES = BANDS * ROWS
-BATCH = 32
-MISS = 1e-6
+HASHES = 2 * BANDS * ROWS  # the bands take the first half, verification all
+BATCH = 64
+MISS = 1e-5
+TOP = (1, 8, None)  # pairs compared for each two components of a bucket part, round by round; None: all
 TILE, GROUP_ROWS, PAIRS = 512, 8192, 1 << 17
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.random.default_rng(20240229).integers(1, 1 << 63, size=(2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -110,17 +112,16 @@ def least_equal(threshold: float, miss: float = MISS) -> list[int]:
     return [next(m for m in range(n + 1) if tail(m, n, threshold) >= miss) for n in range(BATCH, HASHES + 1, BATCH)]
 
 
-def survives(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, least: list[int]) -> np.ndarray:
-    """Which pairs of rows a[x[k]], b[y[k]] of signature matrices the posterior bounds leave, batch by batch."""
+def survives(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of rows a[x[k]], b[y[k]] of signature matrices the posterior bounds leave, batch by batch, and how many of
+    their minima are equal."""
     pairs, equal = np.arange(len(x)), np.zeros(len(x), np.int64)
     for k, m in enumerate(least):
         cols = slice(k * BATCH, (k + 1) * BATCH)
         equal = equal + (a[x[pairs], cols] == b[y[pairs], cols]).sum(axis=1)
         go = equal >= m
         pairs, equal = pairs[go], equal[go]
-    out = np.zeros(len(x), bool)
-    out[pairs] = True
-    return out
+    return pairs, equal
 
 
 def linked(a: bytes, b: bytes, percent: int) -> bool:
@@ -159,18 +160,19 @@ def sets(docs: DataFrame) -> DataFrame:
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(bucket, node): a row for each band of each class. A bucket is the band's number and a digest of its minima."""
+    """(bucket, band, node): a row for each band of each class. A bucket is a digest of the band's number and its minima."""
 
     def run(batches):
         for b in batches:
             nodes = b.column("node").to_numpy()
-            sig = np.frombuffer(b"".join(b.column("signature").to_pylist()), "<u2").reshape(-1, BANDS, ROWS).astype(np.uint64)
+            sig = np.frombuffer(b"".join(b.column("signature").to_pylist()), "<u2").reshape(-1, HASHES)[:, :BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
             h = np.zeros(sig.shape[:2], np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
             for r in range(ROWS):
                 h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
-            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(nodes, BANDS))], ["bucket", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int8), len(nodes))),
+                                              pa.array(np.repeat(nodes, BANDS))], ["bucket", "band", "node"])
 
-    return classes.select("node", "signature").mapInArrow(run, "bucket bigint, node bigint")
+    return classes.select("node", "signature").mapInArrow(run, "bucket bigint, band tinyint, node bigint")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -180,8 +182,8 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def prune(batches):
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, HASHES) for c in ("sa", "sb"))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(
-                pa.array(survives(x, np.arange(len(x)), y, np.arange(len(x)), least)))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).take(
+                pa.array(survives(x, np.arange(len(x)), y, np.arange(len(x)), least)[0]))
 
     sig = classes.select("node", "signature")
     return pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(prune, "a bigint, b bigint")
@@ -245,19 +247,20 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
-def tile_pairs(members: DataFrame, percent: int) -> DataFrame:
+def tile_pairs(members: DataFrame, percent: int, top: int | None = None) -> DataFrame:
     """Pairs (a, b) from different components of the same bucket that the signatures leave.
 
-    members: (bucket, n, node, component, signature). A bucket of n rows is dealt into k = ceil(n / TILE) parts and each pair of
-    parts is a tile of at most about 2 * TILE rows, whatever the size of the bucket. A task compares some GROUP_ROWS rows of
-    tiles, PAIRS pairs at a time.
+    members: (bucket, band, n, node, component, signature). A bucket of n rows is dealt into k = ceil(n / TILE) parts and each
+    pair of parts is a tile of at most about 2 * TILE rows, whatever the size of the bucket. A task compares some GROUP_ROWS
+    rows of tiles, PAIRS pairs at a time. A pair that meets in several buckets counts in its first band only. With ``top``, a
+    tile gives at most so many pairs of each two components, those with most equal minima.
     """
     least = least_equal(percent / 100)
     k = F.ceil(F.col("n") / TILE).cast("int")
     part = F.pmod(F.xxhash64("node", "bucket"), k).cast("int")
     rows = members.withColumn("k", k).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component",
-                       "signature").checkpoint()
+    rows = rows.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "band", "node",
+                       "component", "signature").checkpoint()
     groups = max(1, -(-rows.count() // GROUP_ROWS))
     rows = rows.withColumn("task", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups)))
 
@@ -265,22 +268,34 @@ def tile_pairs(members: DataFrame, percent: int) -> DataFrame:
         group = group.sort_values(["bucket", "i", "j"])
         key = group[["bucket", "i", "j"]].to_numpy()
         last = np.append(np.any(key[1:] != key[:-1], axis=1), True)
-        end = (np.flatnonzero(last) + 1)[np.cumsum(last) - last]
-        node, comp, part = (group[c].to_numpy() for c in ("node", "component", "part"))
+        tile = np.cumsum(last) - last
+        end = (np.flatnonzero(last) + 1)[tile]
+        node, comp, part, band = (group[c].to_numpy() for c in ("node", "component", "part", "band"))
         whole = key[:, 1] == key[:, 2]  # both parts are one: every pair of its rows, else only those across
         sig = np.frombuffer(b"".join(group["signature"]), "<u2").reshape(-1, HASHES)
         each = end - np.arange(len(end)) - 1
         chunk = (np.cumsum(each) - each) // PAIRS
-        out = []
+        out = [np.zeros((6, 0), np.int64)]
         for c in np.unique(chunk):
             first = np.flatnonzero(chunk == c)
             x = np.repeat(first, each[first])
             y = np.arange(len(x)) - np.repeat(np.cumsum(each[first]) - each[first], each[first]) + x + 1
             go = (comp[x] != comp[y]) & (whole[x] | (part[x] != part[y]))
             x, y = x[go], y[go]
-            go = survives(sig, x, sig, y, least)
-            out.append(pd.DataFrame({"a": np.minimum(node[x[go]], node[y[go]]), "b": np.maximum(node[x[go]], node[y[go]])}))
-        return pd.concat(out).drop_duplicates()
+            go, equal = survives(sig, x, sig, y, least)
+            x, y = x[go], y[go]
+            same = (sig[x, :BANDS * ROWS] == sig[y, :BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(axis=2)
+            go = same.argmax(axis=1) == band[x]
+            x, y, equal = x[go], y[go], equal[go]
+            out.append(np.stack([tile[x], np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y]), -equal, np.minimum(node[x], node[y]),
+                                 np.maximum(node[x], node[y])]))
+        found = np.concatenate(out, axis=1)
+        found = found[:, np.lexsort(found[::-1])]
+        if top:
+            new = np.append(True, np.any(found[:3, 1:] != found[:3, :-1], axis=0)) if found.shape[1] else np.zeros(0, bool)
+            start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)) if len(new) else new
+            found = found[:, np.arange(len(new)) - start < top]
+        return pd.DataFrame({"a": found[4], "b": found[5]})
 
     return rows.groupBy("task").applyInPandas(run, "a bigint, b bigint").distinct()
 
@@ -314,14 +329,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     edges = edges.unionByName(same_id.join(ids, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()).checkpoint()
     comp = components(edges)
 
-    # then all pairs of a bucket that are still apart
-    label = shared.join(comp, "node", "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("component"))
-    mixed = label.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    members = label.join(mixed, "bucket").join(classes.select("node", "signature"), "node")
-    done = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = tile_pairs(members, percent).join(done, ["a", "b"], "left_anti")
-    edges = edges.unionByName(verified(more, docs, classes, percent)).checkpoint()
-    comp = components(edges)
+    # then the pairs of a bucket that are still apart: the likeliest first, as they make most others needless, and at last all
+    done = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).checkpoint()
+    for top in TOP:
+        label = shared.join(comp, "node", "left").select("bucket", "band", "n", "node", F.coalesce("component", "node").alias("component"))
+        mixed = label.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+        mixed = mixed.checkpoint()
+        if not mixed.limit(1).count():
+            break
+        members = label.join(mixed, "bucket").join(classes.select("node", "signature"), "node")
+        more = tile_pairs(members, percent, top).join(done, ["a", "b"], "left_anti").checkpoint()
+        if not more.limit(1).count():
+            continue
+        done = done.unionByName(more).checkpoint()
+        found = verified(more, docs, classes, percent)
+        if found.limit(1).count():
+            edges = edges.unionByName(found).checkpoint()
+            comp = components(edges)
 
     # a component's name is the smallest doc_id of its classes
     named = classes.select("node", "first").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
