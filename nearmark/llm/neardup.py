@@ -5,7 +5,7 @@
 2. Half the signature is cut into bands; classes that agree on a band are candidates. A bucket never emits all its pairs:
    first every class is paired with the smallest of its buckets; then, in the buckets that still hold several components, the
    rows are dealt into tiles and only pairs of different components are compared, inside a task, on signatures. Of those the
-   likeliest of each two components is verified first, then some more, at last every one that is left.
+   likeliest of each two components is verified first, then every one that is left.
 3. A candidate pair is compared in batches of minima. With m of n equal the similarity has a Beta(m + 1, n - m + 1)
    posterior (uniform prior); the pair is dropped once the chance that it reaches the threshold is below ``MISS``.
    The bound m(n) is a small table made once.
@@ -38,8 +38,8 @@ BANDS, ROWS = 32, 4
 HASHES = 2 * BANDS * ROWS  # the bands take the first half, verification all
 BATCH = 64
 MISS = 1e-5
-TOP = (1, 8, None)  # pairs compared for each two components of a bucket part, round by round; None: all
-TILE, GROUP_ROWS, PAIRS = 512, 8192, 1 << 17
+TOP = (1, None)  # pairs compared for each two components of a bucket part, round by round; None: all
+TILE, GROUP_ROWS, PAIRS, BLOCK = 512, 8192, 1 << 17, 256
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.random.default_rng(20240229).integers(1, 1 << 63, size=(2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 32, size=(2, HASHES, 1), dtype=np.uint32) | np.uint32(1)
@@ -189,38 +189,43 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(prune, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def families(best: DataFrame) -> DataFrame:
+    """(node, block): classes by the one that most bands agree with, in blocks of BLOCK at most on average, so that pairs of
+    near copies meet in few blocks. ``best``: (a, b), b's likeliest partner a."""
+    of = best.select(F.col("b").alias("node"), F.col("a").alias("family")).unionByName(best.select(F.col("a").alias("node"), F.col("a").alias("family")))
+    of = of.groupBy("node").agg(F.min("family").alias("family"))
+    sizes = of.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
+    return of.join(sizes, "family").select("node", F.xxhash64("family", F.pmod(F.xxhash64("node"), "k")).alias("block"))
+
+
+def verified(pairs: DataFrame, blocks: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity.
 
-    The sets are made again from the text of the document that holds each class and sent to groups of TILE pairs of one a at
-    most on average: the set of a once to each of its groups, that of b with each pair. So a class with very many partners
-    is spread over tasks.
+    Pairs are grouped by the blocks of their two classes (a class without one is its own), and the set of a class travels once
+    to each of its groups, not with each pair. It is made again from the text of the document that holds the class.
     """
-    pairs = pairs.checkpoint()
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("k"))
-    theirs = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "k").cast("int").alias("part"), F.col("b").alias("node"))
-    ours = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), F.col("a").alias("node"))
-    wanted = ours.unionByName(theirs).join(classes.select("node", "digest", F.col("first").alias("doc_id")), "node").checkpoint()
+    pairs = pairs.join(blocks.toDF("a", "x"), "a", "left").join(blocks.toDF("b", "y"), "b", "left")
+    pairs = pairs.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+    pairs = pairs.select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).checkpoint()
+    wanted = pairs.select("x", "y", F.col("a").alias("node")).unionByName(pairs.select("x", "y", F.col("b").alias("node"))).distinct()
+    wanted = wanted.join(classes.select("node", "digest", F.col("first").alias("doc_id")), "node").checkpoint()
 
     def make(batches):
         for b in slices(batches, 8 << 20):
             raw = [shingle_set(t.encode("utf-8")).tobytes() for t in b.column("text").to_pylist()]
             same = pa.array([_digest(r) == d for r, d in zip(raw, b.column("digest").to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "part", "node")), pa.array(raw, pa.binary())],
-                                             ["a", "part", "node", "shingles"]).filter(same)
-
-    def check(group: pd.DataFrame) -> pd.DataFrame:
-        a = group["a"].iloc[0]
-        mine = group[group["node"] == a]
-        rest = group[group["node"] != a]
-        if not len(mine):
-            rest = rest[:0]
-        ok = rest[[linked(mine["shingles"].iloc[0], x, percent) for x in rest["shingles"]]]
-        return pd.DataFrame({"a": ok["a"], "b": ok["node"]})
-
-    made = _doc_rows(docs).join(wanted, "doc_id").select("a", "part", "node", "digest", "text").mapInArrow(
-        make, "a bigint, part int, node bigint, shingles binary")
-    out = made.groupBy("a", "part").applyInPandas(check, "a bigint, b bigint").distinct().checkpoint()
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("x", "y", "node")), pa.array(raw, pa.binary())],
+                                             ["x", "y", "node", "shingles"]).filter(same)
+
+    def check(made: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        held = dict(zip(made["node"], made["shingles"], strict=True))
+        ok = [a in held and b in held and linked(held[a], held[b], percent) for a, b in zip(asked["a"], asked["b"], strict=True)]
+        return asked.loc[ok, ["a", "b"]]
+
+    made = _doc_rows(docs).join(wanted, "doc_id").select("x", "y", "node", "digest", "text").mapInArrow(
+        make, "x bigint, y bigint, node bigint, shingles binary")
+    out = made.groupBy("x", "y").cogroup(pairs.toDF("a", "b", "px", "py").groupBy("px", "py")).applyInPandas(check, "a bigint, b bigint")
+    out = out.distinct().checkpoint()
     release(docs.sparkSession)
     return out
 
@@ -322,8 +327,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     release(spark)
 
     # first the pair of each class on which most bands agree
-    best = star.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", "b")
-    edges = verified(best, docs, classes, percent)
+    best = star.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", "b").checkpoint()
+    blocks = families(best).checkpoint()
+    edges = verified(best, blocks, docs, classes, percent)
     ids = some.select("doc_id", "digest").distinct().join(classes.select("digest", "node"), "digest").select("doc_id", "node")
     same_id = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
     edges = edges.unionByName(same_id.join(ids, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()).checkpoint()
@@ -342,7 +348,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         if not more.limit(1).count():
             continue
         done = done.unionByName(more).checkpoint()
-        found = verified(more, docs, classes, percent)
+        found = verified(more, blocks, docs, classes, percent)
         if found.limit(1).count():
             edges = edges.unionByName(found).checkpoint()
             comp = components(edges)
