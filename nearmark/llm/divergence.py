@@ -43,7 +43,8 @@ def with_words(docs: DataFrame) -> DataFrame:
 def repeated_words(df: DataFrame) -> DataFrame:
     """Adds _rep: how many of the words _w stand in a 3-word window that the text has twice or more.
 
-    Hashes of the windows tell which texts repeat none; only the others sort the windows themselves.
+    Hashes of the windows tell which texts repeat none; the others sort the hashes, and neighbours with one hash are compared
+    as windows. (Two windows of one text with the same 64-bit hash could hide a repeat between them.)
     """
     n = F.size("_w")
     df = df.withColumn("_z", F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", 2, F.greatest(n, F.lit(1))).alias("b"),
@@ -51,8 +52,8 @@ def repeated_words(df: DataFrame) -> DataFrame:
     df = df.withColumn("_z", F.slice("_z", 1, F.greatest(n - 2, F.lit(0))))
     df = df.withColumn("_h", F.transform("_z", lambda x: F.xxhash64(x)))
     df = df.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"),
-                                    F.sort_array(F.transform("_z", lambda x, i: F.struct(x.alias("t"), i.alias("i"))))))
-    same = lambda x, y: F.coalesce(x["t"] == y["t"], F.lit(False))
+                                    F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    same = lambda x, y: F.coalesce((x["h"] == y["h"]) & (F.get("_z", x["i"]) == F.get("_z", y["i"])), F.lit(False))
     df = df.withColumn("_p", F.transform(
         F.filter("_s", lambda x, k: same(x, F.get("_s", k - 1)) | same(x, F.get("_s", k + 1))), lambda x: x["i"]))
     return df.withColumn("_rep", F.coalesce(F.when(F.col("_p").isNotNull(), F.size(F.array_distinct(
