@@ -7,7 +7,9 @@ something. Before that the base rules hold: too few words, or too many words in
 
 References come from all documents: one pass counts short lower-case words by language and keeps the commonest, a second
 makes the histograms, which are summed twice, the second time without the documents that stand apart from the first sums. Only a few numbers per language are broadcast; at most ``LANGUAGES`` languages (those with most
-documents) have a reference of their own; the rest and null are held against the characters of all documents.
+documents) have common words. Every language has a reference for characters. Rows with null lang, and those of a language of
+which every row stands apart from the first sums, get their distance from the characters of all documents, which is only told
+and rejects nothing.
 
 DataFrame functions only. Null text: no words, fails the base rules. A table without words has no reference; then the
 distances are null and reject nothing. Every row is judged by itself, so repeated rows agree.
@@ -26,6 +28,7 @@ MIN_CHARS_JS, MAX_CHARS_JS = 200, 0.18
 MIN_WORDS_JS, MAX_WORDS_JS = 80, 0.3
 WHITE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
+LOWER = r"^[\p{L}\p{M}&&[^\p{Lu}\p{Lt}]]+$"  # letters without case count as lower case
 # The classes of characters, as patterns of a run; what is in none is the last class.
 CLASSES = ("[a-z]+", "[A-Z]+", "[0-9]+", rf"{WHITE}+", r"[.,;:'\"()-]+", rf"{SYMBOLS}+", "[^\\x00-\\x7F]+")
 
@@ -84,12 +87,12 @@ def histograms(df: DataFrame) -> DataFrame:
 
 
 def common_words(docs: DataFrame) -> DataFrame:
-    """(lang, common, longest) of each language with a reference of its own: its commonest short lower-case words, ties by the word."""
+    """(lang, common, longest) of each language that has any: its commonest short words without upper case, ties by the word."""
     langs = docs.groupBy(F.col("lang").cast("string").alias("_l")).count().where("_l is not null")
     langs = langs.orderBy(F.desc("count"), "_l").limit(LANGUAGES).select("_l")
     words = with_words(docs.select("text", "lang")).join(F.broadcast(langs), "_l").select("_l", F.explode("_w").alias("word"))
     each = words.where(F.length("word") <= WORD_LETTERS).groupBy("_l", "word").agg(F.count(F.lit(1)).alias("n"))
-    each = each.where(F.col("word").rlike(r"^\p{Ll}+$") & (F.col("n") > 0))  # with n, so that it stays behind the sum
+    each = each.where(F.col("word").rlike(LOWER) & (F.col("n") > 0))  # with n, so that it stays behind the sum
     top = each.withColumn("rank", F.row_number().over(Window.partitionBy("_l").orderBy(F.desc("n"), "word")))
     return top.where(F.col("rank") <= COMMON).groupBy(F.col("_l").alias("lang")).agg(
         F.array_sort(F.collect_list("word")).alias("common"), F.max(F.length("word")).alias("longest"))
@@ -101,29 +104,30 @@ def with_language(df: DataFrame, refs: DataFrame, *cols: str) -> DataFrame:
 
 
 def distances(df: DataFrame, refs: DataFrame) -> DataFrame:
-    """Adds chars_js and words_js to rows with _l, _c and _f. refs has lang null for the one over all documents."""
+    """Adds chars_js, words_js and _own (whether chars_js is from the row's language) to rows with _l, _c and _f. refs has lang
+    null for the one over all documents."""
     whole = refs.where("lang is null").select(F.col("chars").alias("_all"))
     df = with_language(df, refs.where("lang is not null"), "chars", "words").join(F.broadcast(whole), how="left")
-    return df.withColumn("chars_js", js_distance(F.col("_c"), F.coalesce("chars", "_all"))) \
+    return df.withColumn("_own", F.col("chars").isNotNull()).withColumn("chars_js", js_distance(F.col("_c"), F.coalesce("chars", "_all"))) \
         .withColumn("words_js", js_distance(F.col("_f"), F.col("words"))).drop("chars", "words", "_all")
 
 
 def odd(max_chars_js: float, max_words_js: float) -> Column:
-    """Whether a row stands apart from its language; short rows and those without a reference never do."""
-    return F.coalesce(((F.col("_n") >= MIN_CHARS_JS) & (F.col("chars_js") > max_chars_js))
+    """Whether a row stands apart from its language; short rows and those whose language has no reference never do."""
+    return F.coalesce((F.col("_own") & (F.col("_n") >= MIN_CHARS_JS) & (F.col("chars_js") > max_chars_js))
                       | ((F.col("_nw") >= MIN_WORDS_JS) & (F.col("words_js") > max_words_js)), F.lit(False))
 
 
 def references(each: DataFrame, max_chars_js: float, max_words_js: float) -> DataFrame:
-    """(lang, common, longest, chars, words): common words and histograms of each language, and with lang null those of all
-    documents together (characters only). At most LANGUAGES + 1 rows. ``each`` has the histograms of every document.
+    """(lang, common, longest, chars, words): histograms and common words (null and [] where there are none) of each language, and
+    with lang null those of all documents together (characters only). At most LANGUAGES + 1 rows. ``each`` has the histograms of every document.
 
     The first sums are over all documents; the second leave out those that stand apart from the first, so that junk does not
     make its own reference.
     """
 
     def sums(rows: DataFrame) -> DataFrame:
-        own = rows.where("common is not null").groupBy(F.col("_l").alias("lang"), "common", "longest").agg(
+        own = rows.where("_l is not null").groupBy(F.col("_l").alias("lang"), "common", "longest").agg(
             F.array(*[F.sum(F.col("_c")[i]) for i in range(len(CLASSES) + 1)]).alias("chars"),
             F.filter(F.array(*[F.sum(F.get("_f", F.lit(i))) for i in range(COMMON + 1)]), lambda x: x.isNotNull()).alias("words"))
         none = F.lit(None)

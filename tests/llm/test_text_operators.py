@@ -262,6 +262,34 @@ def test_quality_query(docs, rows, empty, odd):
     assert divergence.keep(odd).columns == odd.columns
 
 
+def _scripts(langs, copies=12):
+    """Clean documents of invented words in each language's letters, 120 words each."""
+    out = []
+    for lang, letters in langs:
+        vocab = [letters[k % len(letters)] + letters[(3 * k + 1) % len(letters)] + letters[(7 * k + 2) % len(letters)] for k in range(30)]
+        for k in range(copies):
+            rng = np.random.default_rng(k)
+            out.append((len(out), " ".join(vocab[i] for i in rng.permutation(np.arange(120) % 30)), lang, "s", 0))
+    return out
+
+
+def test_quality_of_scripts_without_case(spark):
+    latin, arabic, thai = "etaoinshrdlu", "\u0627\u0628\u062a\u062b\u062c\u062d\u062e\u062f\u0630\u0631\u0632\u0633", "\u0e01\u0e02\u0e04\u0e07\u0e08\u0e09\u0e0a\u0e0b\u0e14\u0e15"
+    rows = _scripts([("en", latin)], 30) + _scripts([("ar", arabic)], 6)
+    rows += [(0, "".join(t.split()), "th", s, c) for _, t, _, s, c in _scripts([("th", thai)], 6)]  # no spaces, so no short words
+    rows += [(0, t, None, s, c) for _, t, _, s, c in _scripts([("en", latin), ("ar", arabic)], 3)]
+    rows = [(k, *r[1:]) for k, r in enumerate(rows)]
+    docs = _as_file(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    got = {r.doc_id: r for r in divergence.judge(docs).collect()}
+    for k, _, lang, *_ in rows:
+        r = got[k]
+        assert r.kept == (lang != "th")  # one word in a Thai text here: fails the base rules only
+        assert (r.words_js is not None) == (lang in ("en", "ar"))
+        if lang is not None:
+            assert r.chars_js < 0.05
+    assert max(r.chars_js for k, r in got.items() if rows[k][2] is None) > divergence.MAX_CHARS_JS
+
+
 # ---- classifier -----------------------------------------------------------------------------
 
 def test_cnn_gradients():
