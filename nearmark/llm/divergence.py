@@ -6,8 +6,8 @@ of the language with one bin for all others. The distance is the square root of
 something. Before that the base rules hold: too few words, or too many words in repeated 3-word windows.
 
 References come from all documents: one pass counts short lower-case words by language and keeps the commonest, a second
-makes the histograms, which are summed twice, the second time without the documents that stand apart from the first sums. Only a few numbers per language are broadcast; at most ``LANGUAGES`` languages (those with most
-documents) have common words. Every language has a reference for characters. Rows with null lang, and those of a language of
+makes the histograms, which are summed twice, the second time without the documents that stand apart from the first sums. Every language has a reference, however many there are: the table of them (``COMMON`` words and
+some sums a language) is written and joined by language, and Spark chooses the join by its size. Rows with null lang, and those of a language of
 which every row stands apart from the first sums, get their distance from the characters of all documents, which is only told
 and rejects nothing.
 
@@ -20,9 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearmark.session import scratch_path
+
 COMMON = 24
 WORD_LETTERS = 8
-LANGUAGES = 256
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 MIN_CHARS_JS, MAX_CHARS_JS = 200, 0.18
 MIN_WORDS_JS, MAX_WORDS_JS = 80, 0.3
@@ -88,9 +89,7 @@ def histograms(df: DataFrame) -> DataFrame:
 
 def common_words(docs: DataFrame) -> DataFrame:
     """(lang, common, longest) of each language that has any: its commonest short words without upper case, ties by the word."""
-    langs = docs.groupBy(F.col("lang").cast("string").alias("_l")).count().where("_l is not null")
-    langs = langs.orderBy(F.desc("count"), "_l").limit(LANGUAGES).select("_l")
-    words = with_words(docs.select("text", "lang")).join(F.broadcast(langs), "_l").select("_l", F.explode("_w").alias("word"))
+    words = with_words(docs.select("text", "lang")).where("_l is not null").select("_l", F.explode("_w").alias("word"))
     each = words.where(F.length("word") <= WORD_LETTERS).groupBy("_l", "word").agg(F.count(F.lit(1)).alias("n"))
     each = each.where(F.col("word").rlike(LOWER) & (F.col("n") > 0))  # with n, so that it stays behind the sum
     top = each.withColumn("rank", F.row_number().over(Window.partitionBy("_l").orderBy(F.desc("n"), "word")))
@@ -100,7 +99,14 @@ def common_words(docs: DataFrame) -> DataFrame:
 
 def with_language(df: DataFrame, refs: DataFrame, *cols: str) -> DataFrame:
     """Adds columns of the row's language, null without a reference."""
-    return df.join(F.broadcast(refs.select(F.col("lang").alias("_l"), *cols)), "_l", "left")
+    return df.join(refs.select(F.col("lang").alias("_l"), *cols), "_l", "left")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df from files, whose size Spark knows when it plans a join (that of a checkpoint it guesses from what made it)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def distances(df: DataFrame, refs: DataFrame) -> DataFrame:
@@ -120,7 +126,7 @@ def odd(max_chars_js: float, max_words_js: float) -> Column:
 
 def references(each: DataFrame, max_chars_js: float, max_words_js: float) -> DataFrame:
     """(lang, common, longest, chars, words): histograms and common words (null and [] where there are none) of each language, and
-    with lang null those of all documents together (characters only). At most LANGUAGES + 1 rows. ``each`` has the histograms of every document.
+    with lang null those of all documents together (characters only). ``each`` has the histograms of every document.
 
     The first sums are over all documents; the second leave out those that stand apart from the first, so that junk does not
     make its own reference.
@@ -135,8 +141,8 @@ def references(each: DataFrame, max_chars_js: float, max_words_js: float) -> Dat
         return own.unionByName(whole.select(none.cast("string").alias("lang"), none.cast("array<string>").alias("common"), none.cast("int").alias("longest"), "chars",
                                             none.cast("array<bigint>").alias("words")))
 
-    first = sums(each).checkpoint()
-    return sums(distances(each, first).where(~odd(max_chars_js, max_words_js))).checkpoint()
+    first = written(sums(each), "quality-first")
+    return written(sums(distances(each, first).where(~odd(max_chars_js, max_words_js))), "quality-refs")
 
 
 def js_distance(a: Column, b: Column) -> Column:
@@ -176,7 +182,7 @@ def verdict(max_chars_js: float, max_words_js: float) -> Column:
 def judge(docs: DataFrame, max_chars_js: float = MAX_CHARS_JS, max_words_js: float = MAX_WORDS_JS) -> DataFrame:
     """doc_id and the verdict's fields for each row of docs. The measures are made in one pass and written; no text is."""
     d = docs.select("doc_id", "text", "lang")
-    each = with_base(with_histograms(d, common_words(d).checkpoint()))
+    each = with_base(with_histograms(d, written(common_words(d), "quality-common")))
     each = each.select("doc_id", "_l", "common", "longest", "_nw", "_n", "_c", "_f", "_rep", "_dup").checkpoint()
     return distances(each, references(each, max_chars_js, max_words_js)).select("doc_id", verdict(max_chars_js, max_words_js).alias("_q")) \
         .select("doc_id", "_q.*")
@@ -184,7 +190,7 @@ def judge(docs: DataFrame, max_chars_js: float = MAX_CHARS_JS, max_words_js: flo
 
 def keep(docs: DataFrame, max_chars_js: float = MAX_CHARS_JS, max_words_js: float = MAX_WORDS_JS) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns. The texts are read twice rather than written."""
-    common = common_words(docs.select("text", "lang")).checkpoint()
+    common = written(common_words(docs.select("text", "lang")), "quality-common")
     each = with_histograms(docs.select("text", "lang"), common).select("_l", "common", "longest", "_nw", "_n", "_c", "_f").checkpoint()
     refs = references(each, max_chars_js, max_words_js)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", "lang")

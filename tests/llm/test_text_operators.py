@@ -290,6 +290,20 @@ def test_quality_of_scripts_without_case(spark):
     assert max(r.chars_js for k, r in got.items() if rows[k][2] is None) > divergence.MAX_CHARS_JS
 
 
+def test_quality_of_many_languages(spark):
+    arabic = "\u0627\u0628\u062a\u062b\u062c\u062d\u062e\u062f\u0630\u0631\u0632\u0633"
+    rows = _scripts([("en", "etaoinshrdlu")], 40) + 2 * _scripts([(f"l{k:03}", "etaoinshrdlu") for k in range(260)], 1) + _scripts([("zz", arabic)], 1)
+    docs = _as_file(spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4))
+    got = sorted(divergence.judge(docs).collect())
+    assert all(r.kept and r.chars_js < 0.05 and r.words_js < 0.05 for r in got)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with more languages than can be broadcast
+    try:
+        assert sorted(divergence.judge(docs).collect()) == got
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 # ---- classifier -----------------------------------------------------------------------------
 
 def test_cnn_gradients():
