@@ -6,8 +6,8 @@ cover the whole text; a text's features are the mean and the maximum over its ch
 probability of them.
 
 The network is trained on the driver with Adam on at most ``ROWS_PER_CLASS`` labelled rows of either class (those with the
-smallest hash of the id, held-out rows excluded), each with at most ``CHUNKS`` chunks spread over its text: a few MB at any
-size of the input. Scoring reads every text whole, one pass without a shuffle.
+smallest hash of the id, held-out rows excluded). Their texts are whole, so that training and scoring have the same features;
+the driver holds those texts, whatever the size of the input. Scoring reads every text whole, one pass without a shuffle.
 
 Null text: empty. Empty texts have no chunk and get the score of zero features. Rows are scored by themselves, so repeated
 rows agree. Labels that are null do not count; of several labels of an id the largest does. Without both classes among the
@@ -25,7 +25,7 @@ from nearmark.llm.common import slices, texts_of
 
 DIM, WIDTH, FILTERS, HOP = 6, 10, 32, 256
 STRIDE = 2
-CHUNKS, ROWS_PER_CLASS = 6, 1500
+BLOCK_HOPS, ROWS_PER_CLASS = 1024, 1500
 STEPS, BATCH_DOCS, RATE, SEED = 400, 32, 0.01, 11
 THRESHOLD = 0.3
 
@@ -35,14 +35,6 @@ def held_out(doc_id, folds: int = 5):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def sample_chunks(raw: bytes, chunks: int = CHUNKS, size: int = 2 * HOP) -> bytes:
-    """At most ``chunks`` stretches of ``size`` bytes, evenly spread and together; short texts whole."""
-    if len(raw) <= chunks * size:
-        return raw
-    step = (len(raw) - size) / (chunks - 1)
-    return b"".join(raw[int(k * step):int(k * step) + size] for k in range(chunks))
-
-
 class ByteCnn:
     def __init__(self, seed: int = SEED):
         rng = np.random.default_rng(seed)
@@ -56,16 +48,17 @@ class ByteCnn:
         return [self.table, self.filters, self.shift, self.weights, self.bias]
 
     def hops(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each hop of a padded text the largest answer of each filter, and the window that gave it."""
-        x = self.table[data]
-        n = (len(data) - WIDTH) // STRIDE + 1
-        windows = np.lib.stride_tricks.as_strided(x, (n, WIDTH * DIM), (STRIDE * DIM * 4, 4))
-        out = windows @ self.filters
+        """For each hop of padded texts the largest answer of each filter, and the window that gave it; ``BLOCK_HOPS`` at a time."""
         per = HOP // STRIDE
-        full = np.full((-(-n // per) * per, FILTERS), -np.inf, np.float32)
-        full[:n] = out
-        full = full.reshape(-1, per, FILTERS)
-        return full, x
+        hops = (len(data) - WIDTH + STRIDE) // HOP
+        top, where = np.empty((hops, FILTERS), np.float32), np.empty((hops, FILTERS), np.uint8)
+        for lo in range(0, hops, BLOCK_HOPS):
+            n = min(BLOCK_HOPS, hops - lo)
+            x = self.table[data[lo * HOP:(lo + n) * HOP + WIDTH - STRIDE]]
+            windows = np.lib.stride_tricks.as_strided(x, (n * per, WIDTH * DIM), (STRIDE * DIM * 4, 4))
+            out = (windows @ self.filters).reshape(n, per, FILTERS)
+            top[lo:lo + n], where[lo:lo + n] = out.max(axis=1), out.argmax(axis=1)
+        return top, where
 
     def features(self, texts: list[bytes], back: bool = False):
         """Features (texts, 2 * FILTERS); with ``back`` also what a backward step needs."""
@@ -73,8 +66,8 @@ class ByteCnn:
         if not sum(lengths):
             return np.zeros((len(texts), 2 * FILTERS), np.float32), None
         data = np.frombuffer(b"".join(t.ljust(n * HOP, b"\0") for t, n in zip(texts, lengths, strict=True)) + bytes(WIDTH), np.uint8)
-        full, _ = self.hops(data[:sum(lengths) * HOP + WIDTH - STRIDE])
-        top = full.max(axis=1) + self.shift
+        top, where = self.hops(data[:sum(lengths) * HOP + WIDTH - STRIDE])
+        top = top + self.shift
         first = np.concatenate([[0], np.cumsum(lengths)])
         last = np.zeros(len(top), bool)
         last[[e - 1 for e, n in zip(first[1:], lengths, strict=True) if n]] = True
@@ -88,7 +81,7 @@ class ByteCnn:
         out[used] = np.concatenate([mean, most], axis=1)
         if not back:
             return out, None
-        return out, (data, full.argmax(axis=1), top, follow, chunk, used, start, np.array(lengths), most)
+        return out, (data, where, top, follow, chunk, used, start, np.array(lengths), most)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         f, _ = self.features(texts)
@@ -112,17 +105,16 @@ class ByteCnn:
         dtop = np.where(own, dchunk, 0)
         np.add.at(dtop, nxt, np.where(own, 0, dchunk))
         grads[2] = dtop.sum(axis=0)
-        hop, filt = np.nonzero(dtop)
-        g = dtop[hop, filt]
-        at = hop * HOP + where[hop, filt] * STRIDE
-        seen = data[at[:, None] + np.arange(WIDTH)]  # (hits, WIDTH) bytes under each winning window
-        x = self.table[seen].reshape(len(g), WIDTH * DIM)
         for k in range(FILTERS):
-            mine = filt == k
-            grads[1][:, k] = g[mine] @ x[mine]
-        spread = (g[:, None] * self.filters.T[filt]).reshape(-1, DIM)
-        for k in range(DIM):
-            grads[0][:, k] = np.bincount(seen.ravel(), spread[:, k], 256)
+            hop = np.flatnonzero(dtop[:, k])
+            g = dtop[hop, k]
+            at = hop * HOP + where[hop, k].astype(np.int64) * STRIDE
+            seen = data[at[:, None] + np.arange(WIDTH)]  # (hits, WIDTH) bytes under each winning window
+            grads[1][:, k] = g @ self.table[seen].reshape(len(g), WIDTH * DIM)
+            hits = np.zeros((WIDTH, 256))
+            for i in range(WIDTH):
+                hits[i] = np.bincount(seen[:, i], g, 256)
+            grads[0] += (hits.T @ self.filters[:, k].reshape(WIDTH, DIM)).astype(np.float32)
         return grads
 
 
@@ -143,19 +135,14 @@ def train(texts: list[bytes], labels: list[int], steps: int = STEPS, seed: int =
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> tuple[list[bytes], list[int]]:
-    """The bounded training sample: text stretches and labels, on the driver."""
+    """The training sample, a bounded number of rows: whole texts and labels, on the driver."""
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).withColumn("_o", F.xxhash64("doc_id", F.lit(SEED)))
     some = [known.where(F.col("quality") == q).orderBy("_o", "doc_id").limit(rows_per_class) for q in (0, 1)]
     picked = some[0].unionByName(some[1]).select("doc_id", F.col("quality").alias("_q"))
 
-    def run(batches):
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([sample_chunks(t.encode()) for t in b.column("text").to_pylist()], pa.binary()),
-                                              b.column("_q")], ["doc_id", "raw", "quality"])
-
-    d = texts_of(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.col("_q").cast("int").alias("_q"))
-    found = d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, raw binary, quality int").dropDuplicates(["doc_id"]).toPandas()
+    d = texts_of(docs).join(F.broadcast(picked), "doc_id").select("doc_id", F.col("text").cast("binary").alias("raw"), F.col("_q").cast("int").alias("quality"))
+    found = d.dropDuplicates(["doc_id"]).toPandas()
     found = found.sort_values("doc_id")
     return [bytes(x) for x in found["raw"]], found["quality"].tolist()
 

@@ -337,6 +337,15 @@ def test_cnn_features_cover_the_whole_text():
     assert net.features([b"", text])[0][1] == pytest.approx(want, abs=1e-4)
 
 
+def test_training_texts_are_whole(spark):
+    texts = {k: "".join(chr(97 + (i * i + k * i // 7) % 26) for i in range(4000 + 997 * k)) + "\u00e9" for k in range(12)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in texts], "doc_id bigint, quality int")
+    raw, y = bytecnn.training_rows(docs, labels)
+    use = [k for k in texts if zlib.crc32(str(k).encode()) % 5]
+    assert raw == [texts[k].encode() for k in use] and y == [k % 2 for k in use]
+
+
 def test_classifier_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     out = {r.doc_id: r for r in registry.op2_classifier(spark, sf).collect()}
