@@ -5,7 +5,8 @@ distinct vectors, scaled to length one, and a tree over them. A node has a vanta
 nearer points are inside, the others outside. Queries go down in blocks, all queries of a block at once: the near side
 first, the far side only if ``|d - median| <= factor * r`` for the distance r of the k-th best so far. That is the triangle
 inequality for ``factor`` 1 (exact search); a smaller factor prunes more and may miss. Neighbours of length-one vectors by
-distance are those by cosine. The candidates of all shards are scored again on the original vectors in double precision.
+distance are those by cosine. Distances are kept squared and compared with the slack of ``slack``, a bound of their rounding
+(near 0 a root would blow it up), so vectors of one direction are all candidates of each other. The candidates of all shards are scored again on the original vectors in double precision.
 
 A task holds one shard and one block of ``QUERY_BLOCK`` queries. Equal vectors are one point of the tree with its smallest
 ids, so a very common vector costs nothing and ties go to smaller ids.
@@ -24,7 +25,15 @@ from pyspark.sql import functions as F
 from nearmark.session import scratch_path
 
 SHARD, QUERY_BLOCK, LEAF = 16384, 8192, 256
-NEAR_TIE = 1e-9
+
+def slack(dim: int) -> float:
+    """Twice the most by which a computed squared distance can differ from 2 - 2 * (the score that ``cosine`` computes).
+
+    With unit roundoff u = eps / 2: a dot product of length-one vectors is off by dim * u at most, each scaling to length one by
+    (dim / 2 + 4) * u, and ``cosine`` by (2 * dim + 5) * u; twice their sum is under (4 * dim + 16) * eps, here with room.
+    """
+    return (16 * dim + 64) * float(np.finfo(np.float64).eps)
+
 
 
 def length_one(x: np.ndarray) -> np.ndarray:
@@ -39,7 +48,7 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class VpTree:
-    """Over the rows of ``points`` (length one). ``nodes`` rows: first, last, vantage point, radius, inside, outside; the
+    """Over the rows of ``points`` (length one). ``nodes`` rows: first, last, vantage point, squared radius, inside, outside; the
     points of a leaf (vantage -1) are order[first:last]."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
@@ -68,10 +77,12 @@ class VpTree:
             build(0, len(points))
 
     def distance(self, queries: np.ndarray, rows) -> np.ndarray:
-        return np.sqrt(np.maximum(2 - 2 * (queries @ self.points[rows].T), 0))
+        """Squared."""
+        return np.maximum(2 - 2 * (queries @ self.points[rows].T), 0)
 
     def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray, int]:
         """(query, point) pairs of the k nearest points of each query, with near ties of the last; distances computed."""
+        more = slack(self.points.shape[1])
         best = np.full((len(queries), k), np.inf)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         work = 0
@@ -81,7 +92,7 @@ class VpTree:
             d = self.distance(queries[q], rows)
             work += d.size
             best[q] = np.sort(np.concatenate([best[q], np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]], axis=1), axis=1)[:, :k]
-            x, y = np.nonzero(d <= best[q][:, -1:] + NEAR_TIE)
+            x, y = np.nonzero(d <= best[q][:, -1:] + more)
             found.append((q[x], rows[y], d[x, y]))
             return d
 
@@ -94,16 +105,18 @@ class VpTree:
                 return
             d = meet(q, np.array([vantage]))[:, 0]
             near = d < radius
+            # the least distance of the query from points of the far side
+            gap = np.sqrt(np.maximum(np.maximum(d, radius) - more, 0)) - np.sqrt(np.minimum(d, radius) + more)
             for mine, first, second in ((near, inside, outside), (~near, outside, inside)):
                 visit(first, q[mine])
-                visit(second, q[mine][np.abs(d[mine] - radius) <= factor * best[q[mine], -1] + NEAR_TIE])
+                visit(second, q[mine][gap[mine] <= factor * np.sqrt(best[q[mine], -1] + 2 * more)])
 
         if len(self.points):
             visit(0, np.arange(len(queries)))
         if not found:
             return np.zeros(0, int), np.zeros(0, int), work
         q, p, d = (np.concatenate(x) for x in zip(*found, strict=True))
-        keep = d <= best[q, -1] + NEAR_TIE
+        keep = d <= best[q, -1] + more
         return q[keep], p[keep], work
 
 

@@ -267,6 +267,19 @@ def test_exact_neighbours(spark, shard, block):
     assert not got
 
 
+@pytest.mark.parametrize("leaf", [8, 256])
+def test_scaled_copies_are_ranked_by_exact_score(leaf):
+    rng = np.random.default_rng(1)
+    one = rng.normal(size=64)
+    x = np.concatenate([one * rng.uniform(0.1, 10, (200, 1)), rng.normal(size=(300, 64))])[rng.permutation(500)]
+    u = vptree.length_one(x)
+    q, p, _ = vptree.VpTree(u, leaf=leaf).search(u, 6)
+    for k in range(500):
+        score = vptree.cosine(np.repeat(x[k][None], 500, axis=0), x)
+        best = lambda some: sorted((i for i in some if i != k), key=lambda i: (-score[i], i))[:5]  # noqa: B023, E731
+        assert best(p[q == k]) == best(range(500))
+
+
 def test_relaxed_search_does_less_and_keeps_recall():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(60, 16))
