@@ -30,9 +30,16 @@ MIN_LOG10 = 8.0
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
+# A quoted value goes to its closing quote, a bare one to white space or to a quote that does not follow a value's character.
+QUOTED = r"""(?:"((?:\\.|[^"\\\x00-\x1f])*)"|'((?:\\.|[^'\\\x00-\x1f])*)'|`((?:\\.|[^`\\\x00-\x1f])*)`)"""
+BARE = r"""((?:[^\x00-\x20"'`]|(?<![,:;=(){}\[\]\x00-\x20"'`])["'`])+)"""
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret(?:_?key)?|token|api_?key|access_?key|private_?key|auth|credentials?|bearer|login)"""
-    r"""["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*["']?([^\x00-\x20"'`<>,;(){}\[\]]{6,})""", re.I | re.A)
+    r"""(?:(?:pass(?:[-_\x20]?(?:word|wd|phrase|code))?|pwd|secret(?:[-_\x20]?key)?|token|(?:api|access|private)[-_\x20]?key|auth(?:orization)?|credentials?"""
+    r"""|bearer|login)["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*(?:["']?(?:bearer|basic)[\x20\t]+)?"""
+    # without a key before it only what has a digit, since "bearer" and "basic" are words as well
+    r"""|\b(?:bearer|basic)[\x20\t]+(?=[^\x00-\x20]*\d))(?:""" + QUOTED + r"""|["'`]?""" + BARE + ")", re.I | re.A)
+TRAILING = ".,;:()[]{}<>\"'`"
+MIN_LENGTH = 6
 
 # Common passwords, placeholders and words in them, most common first.
 WORDS = """
@@ -104,12 +111,24 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def context_values(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the values in a credential context: quoted ones whole, bare ones without trailing punctuation."""
+    out = []
+    for m in CONTEXT.finditer(text):
+        lo, hi = m.span(m.lastindex)
+        if m.lastindex == 4:
+            hi = lo + len(text[lo:hi].rstrip(TRAILING))
+        if hi - lo >= MIN_LENGTH:
+            out.append((lo, hi))
+    return out
+
+
 def find_spans(text: str, min_log10: float = MIN_LOG10) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then kind as in ``KINDS``."""
     out = []
     if ":" in text or "=" in text:
         out += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
-        out += [("guess", m.start(1), m.end(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1]) >= min_log10]
+    out += [("guess", lo, hi) for lo, hi in context_values(text) if guess_cost(text[lo:hi]) >= min_log10]
     if "AKIA" in text:
         out += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     out += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]

@@ -74,6 +74,21 @@ def test_secrets_query(docs, rows, empty, odd):
     assert secrets.redact(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("text,value", [
+    ("Authorization: Bearer Zk3v9QpLm2XwT7", "Zk3v9QpLm2XwT7"), ('"Authorization": "Basic Zk3v9QpLm2XwT7"', "Zk3v9QpLm2XwT7"), ("sent bearer Zk3v9QpLm2XwT7.", "Zk3v9QpLm2XwT7"),
+    ("x-api-key: Zk3v9QpLm2XwT7", "Zk3v9QpLm2XwT7"), ("client-secret-key: Zk3v9QpLm2XwT7, x", "Zk3v9QpLm2XwT7"), ("api key = Zk3v9QpLm2XwT7;", "Zk3v9QpLm2XwT7"),
+    ('pwd: "aB3(xY9,kL7q"', "aB3(xY9,kL7q"), ("pwd: aB3$xY9(kL7q and", "aB3$xY9(kL7q"), ("pwd: 'aB3 xY9 kL7q', b", "aB3 xY9 kL7q"), ('pwd: "aB3(xY9,kL7q', "aB3(xY9,kL7q"),
+    ('{"login":1,"pwd":"aB3$xY9kL7q","n":2}', "aB3$xY9kL7q"), ('pwd: aB3"xY9kL7q', 'aB3"xY9kL7q')])
+def test_context_values_are_whole(text, value):
+    lo = text.index(value)
+    assert secrets.find_spans(text)[-1] == ("guess", lo, lo + len(value))
+    assert secrets.redact_text(text, secrets.find_spans(text)).count("[SECRET]") == 1
+
+
+def test_bearer_and_basic_as_words():
+    assert not secrets.find_spans("the bearer certificate and basic understanding; token: none.")
+
+
 def test_redaction_merges_overlaps():
     assert secrets.redact_text("ab cdef gh", [("assign", 0, 6), ("guess", 3, 7), ("hex", 8, 10)]) == "[SECRET] [SECRET]"
 
