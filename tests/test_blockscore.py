@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from support import SF001
 from nearmark.functions.vectors import sqdist
 from nearmark.operators.blockscore import block_scan, counts_in_block, exact_sqdist, layout, minima_in_block, nearest_in_block
 from nearmark.plans import queries as Q

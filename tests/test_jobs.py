@@ -1,6 +1,6 @@
 """The three jobs end to end on text directories (the reference's formats)."""
 
-from conftest import SF001
+from support import SF001
 from nearmark.operators import training
 from nearmark.plans import jobs
 from nearmark.session import scratch_path

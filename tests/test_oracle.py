@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF001
+from support import SF001
 from nearmark.plans import oracle, queries
 from oracle_compare import compare, duck
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF001
+from support import SF001
 
 HEAVY = ["jaccard_scores", "aa_scores", "item_aa", "tfidf_scores", "topk_unseen",
          "precision_recall_at_k", "ranking_metrics", "rank_gain", "push_loss", "approx_rank", "adagrad_round"]

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from support import SF001
 from nearmark.operators import evaluate, prepare, similarity, training
 from nearmark.operators.indexing import ordinal_within, sorted_index
 from nearmark.sources import fixtures, text
