@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearmark.llm import bytecnn, divergence, katz, linededup, neardup, packing, secrets, vptree, warc, wordbpe
+from nearmark.llm import bytecnn, divergence, fim, katz, linededup, neardup, notices, packing, secrets, variants, vptree, warc, wordbpe
 from nearmark.llm.common import load
 
 
@@ -54,7 +54,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(load(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_revisits, op2_classifier, op3_katz, op4_quality, op5_pack, op6_lines, op7_bpe, op8_neardup, op9_neighbours, op10_secrets)}
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(load(spark, sf_dir, "documents")))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notices.digest(notices.scan(load(spark, sf_dir, "documents")))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_revisits, op2_classifier, op3_katz, op4_quality, op5_pack, op6_lines, op7_bpe, op8_neardup, op9_neighbours, op10_secrets,
+                                   op11_fim, op12_licenses, op13_variants)}
 
 ORACLE_SQL = {
     "op1_revisits": r"""
@@ -116,5 +129,24 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op11_fim": """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), r AS (
+  SELECT doc_id, t, n, ('0x' || h[1:8])::BIGINT % (n + 1) AS a, ('0x' || h[9:16])::BIGINT % (n + 1) AS b,
+         n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 AS plain,
+         ('0x' || h[25:32])::BIGINT % 100 < 20 AS spm
+  FROM d
+), p AS (
+  SELECT doc_id, t, n, plain, spm, least(a, b) AS x, greatest(a, b) AS y FROM r
+), c AS (
+  SELECT *, substr(t, 1, x) AS prefix, substr(t, x + 1, y - x) AS middle, substr(t, y + 1) AS suffix FROM p
+)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN x END AS prefix_chars, CASE WHEN NOT plain THEN y - x END AS middle_chars,
+       sha256(CASE WHEN plain THEN t WHEN spm THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+              ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM c
 """,
 }
