@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -10,6 +9,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearmark.session import scratch_path
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,8 +45,15 @@ def is_latin(text: str) -> bool:
         return False
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of finished steps now: it does so once nothing on the driver refers to
-    them, and the driver may not collect its garbage for long. Call it after a checkpoint has cut the lineage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+class Steps:
+    """Writes tables of one run to the shared folder and gives them as read: Spark then knows their sizes, keeps no plan or lineage
+    of how they were made, and a lost executor costs no earlier step."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base, self.n = spark, scratch_path(spark, name), 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.base}-{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)

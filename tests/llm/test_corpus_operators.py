@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from nearmark.llm import linededup, neardup, registry, vptree, warc
+from nearmark.llm.common import Steps
 from nearmark.session import scratch_path
 from oracle_compare import compare, duck
 
@@ -198,19 +199,71 @@ def test_tiles_lose_no_pair(spark, monkeypatch):
     sig = [np.where(rng.random(neardup.HASHES) < rng.choice([0.1, 0.5]), rng.integers(0, 1 << 16, neardup.HASHES), base).astype("<u2") for _ in range(60)]
     for s in sig:
         s[:4] = base[:4]  # all agree on the first band
-    members = spark.createDataFrame([(1, 0, 60, k, k % 7, bytearray(s.tobytes())) for k, s in enumerate(sig)],
-                                    "bucket bigint, band int, n bigint, node bigint, component bigint, signature binary")
+    members = spark.createDataFrame([(1, 0, 60, k, k % 7, k % 3, bytearray(s.tobytes())) for k, s in enumerate(sig)],
+                                    "bucket bigint, band int, n bigint, node bigint, component bigint, block bigint, signature binary")
+    none, keep = spark.createDataFrame([], "bucket bigint, n bigint, a bigint, b bigint"), Steps(spark, "tiles")
+
+    def all_pairs(rows, done=none):
+        out = []
+        for r in neardup.packed_pairs(rows, done, 75, keep).collect():
+            assert r.x <= r.y and all({k % 3 for k in (r.nodes[a], r.nodes[b])} == {r.x, r.y} for a, b in zip(r.left, r.right))
+            assert [k % 7 for k in r.nodes] == r.components
+            out += [(r.nodes[a], r.nodes[b]) for a, b in zip(r.left, r.right)]
+        assert len(out) == len(set(out))
+        return set(out)
+
+    def first_pairs(done=none):
+        return [(r.a, r.b) for r in neardup.likeliest_pairs(members, done, 75, keep).collect()]
+
     all_sig, least = np.stack(sig), neardup.least_equal(0.75)
     likely = {(a, b): equal[0] for b in range(60) for a in range(b) if a % 7 != b % 7
               for go, equal in [neardup.survives(all_sig, np.array([a]), all_sig, np.array([b]), least)] if len(go)}
-    assert {(r.a, r.b) for r in neardup.tile_pairs(members, 75).collect()} == set(likely) and likely
-    assert neardup.tile_pairs(members.withColumn("band", F.lit(1)), 75).count() == 0
-    few = [(r.a, r.b) for r in neardup.tile_pairs(members, 75, 1).collect()]
-    assert set(few) < set(likely)
-    for x in range(7):
-        for y in range(x):  # the likeliest of each two components is among them
-            both = [(n, p) for p, n in likely.items() if {p[0] % 7, p[1] % 7} == {x, y}]
-            assert not both or max(n for n, _ in both) in [likely[p] for p in few if {p[0] % 7, p[1] % 7} == {x, y}]
+    assert all_pairs(members) == set(likely) and likely
+    assert not all_pairs(members.withColumn("band", F.lit(1)))
+    def likeliest(pairs):
+        out = {}
+        for p in pairs:
+            for c in {p[0] % 7, p[1] % 7}:
+                out[c] = min(out.get(c, (0, p)), (-likely[p], p))
+        return {p for _, p in out.values()}
+
+    first = first_pairs()
+    assert set(first) == likeliest(likely) and len(first) <= 7
+    done = spark.createDataFrame([(1, 60, a, b) for a, b in first], "bucket bigint, n bigint, a bigint, b bigint")
+    assert all_pairs(members, done) == set(likely) - set(first)
+    assert set(first_pairs(done)) == likeliest(set(likely) - set(first))
+
+
+@pytest.mark.parametrize("size", [100, 200, 400])
+def test_a_family_is_verified_in_proportion(spark, monkeypatch, size):
+    """Copies of one text that differ from each other by about the threshold: the components of brute force, without all pairs verified."""
+    rnd = random.Random(size)
+    base = [f"w{rnd.randrange(4000)}" for _ in range(300)]
+    rows = []
+    for k in range(size):
+        words = list(base)
+        for _ in range(rnd.randrange(3, 9)):
+            words[rnd.randrange(len(words))] = f"x{rnd.random()}"
+        rows.append((k, " ".join(words)))
+    asked, plain = [], neardup.verified
+
+    def spy(pairs, *more):
+        asked.append(pairs.count())
+        return plain(pairs, *more)
+
+    monkeypatch.setattr(neardup, "verified", spy)
+    path = scratch_path(spark, "family")
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(path)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.read.parquet(path)).collect()}
+    assert got == _components(rows)[1]
+    assert sum(asked) <= 4 * size, asked
+
+
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    rows = [(1, text, "b"), (1, text, "a"), (1, "quite another text", "c"), (2, text + " x", "d"), (2, "some more words here", "e"), (None, text, "f"), (None, text, "f")]
+    got = neardup.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    assert Counter(map(tuple, got)) == Counter([rows[1], rows[2], rows[5], rows[6]])
 
 
 def test_posterior_bound():
@@ -226,7 +279,7 @@ def test_posterior_bound():
 def test_components_of_chains_and_stars(spark):
     rnd = random.Random(4)
     edges = [(k, k + 1) for k in range(100, 140)] + [(500, 500 + k) for k in range(1, 60)] + [(rnd.randrange(900, 990), rnd.randrange(900, 990)) for _ in range(50)]
-    got = {r.node: r.component for r in neardup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {r.node: r.component for r in neardup.components(spark.createDataFrame(edges, "a bigint, b bigint"), Steps(spark, "edges")).collect()}
     name = {x: x for e in edges for x in e}
     for _ in range(200):
         for a, b in edges:
