@@ -42,6 +42,7 @@ BATCH = 64
 MISS = 1e-5
 ROUNDS, FEW = 8, 8  # rounds of likeliest pairs at most; they end when under one in FEW of a round's pairs is a link
 TILE, GROUP_ROWS, PAIRS, BLOCK = 512, 8192, 1 << 17, 256
+BITS_EACH, PIECE, MOST_BITS = 16, 1 << 15, 1 << 27
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.random.default_rng(20240229).integers(1, 1 << 63, size=(2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 32, size=(2, HASHES, 1), dtype=np.uint32) | np.uint32(1)
@@ -202,10 +203,29 @@ def families(best: DataFrame) -> DataFrame:
     return of.join(sizes, "family").select("node", F.xxhash64("family", F.pmod(F.xxhash64("node"), "k")).alias("block"))
 
 
+def maybe_among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be among those of ``wanted``: all that are and, of the others, about one in BITS_EACH.
+
+    The keys' hashes are bits of a map that is broadcast in pieces; it has BITS_EACH bits for each key up to MOST_BITS (16 MB), beyond
+    which more rows pass.
+    """
+    bits = min(MOST_BITS, PIECE << max(0, -(-wanted.count() * BITS_EACH // PIECE) - 1).bit_length())
+
+    def at(df):
+        h = F.pmod(F.xxhash64(key), F.lit(bits))
+        return df.withColumn("_piece", F.floor(h / PIECE)).withColumn("_bit", (h % PIECE).cast("int"))
+
+    pieces = at(wanted.select(key)).groupBy("_piece").agg(F.bitmap_construct_agg(F.col("_bit").cast("bigint")).alias("_map"))
+    byte = F.conv(F.hex(F.substring("_map", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    passed = at(rows).join(F.broadcast(pieces), "_piece").where(F.getbit(byte, F.col("_bit") % 8) == 1)
+    return passed.select(*rows.columns)
+
+
 def made_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, keep: Steps) -> DataFrame:
     """(x, y, node, shingles) for the rows (x, y, node) of ``wanted``, the sets made again from the text of the document that holds the
-    class. The wanted ids are a written table, so Spark sends them to the documents where they are few and shuffles both where not."""
+    class. Documents that a bitmap of the wanted ids rules out aren't shuffled."""
     wanted = keep(wanted.distinct().join(classes.select("node", "digest", F.col("first").alias("doc_id")), "node"))
+    rows = maybe_among(_doc_rows(docs), wanted, "doc_id")
 
     def make(batches):
         for b in slices(batches, 8 << 20):
@@ -214,7 +234,7 @@ def made_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, keep: Step
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("x", "y", "node")), pa.array(raw, pa.binary())],
                                              ["x", "y", "node", "shingles"]).filter(same)
 
-    return _doc_rows(docs).join(wanted, "doc_id").select("x", "y", "node", "digest", "text").mapInArrow(
+    return rows.join(wanted, "doc_id").select("x", "y", "node", "digest", "text").mapInArrow(
         make, "x bigint, y bigint, node bigint, shingles binary")
 
 

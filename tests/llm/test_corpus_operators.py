@@ -259,6 +259,15 @@ def test_a_family_is_verified_in_proportion(spark, monkeypatch, size):
     assert sum(asked) <= 4 * size, asked
 
 
+@pytest.mark.parametrize("size", [0, 1, 7, 3000])
+def test_bitmap_lets_wanted_rows_pass(spark, size):
+    rows = spark.range(40_000).withColumn("text", F.lit("t"))
+    wanted = spark.range(size).select((F.col("id") * 13).alias("id"))
+    got = {r.id for r in neardup.maybe_among(rows, wanted, "id").collect()}
+    assert got >= {13 * k for k in range(size)} and len(got) <= size + 40_000 / 10
+    assert neardup.maybe_among(rows, wanted, "id").columns == ["id", "text"]
+
+
 def test_rows_of_one_id_with_different_texts_stay(spark):
     text = " ".join(f"w{k}" for k in range(50))
     rows = [(1, text, "b"), (1, text, "a"), (1, "quite another text", "c"), (2, text + " x", "d"), (2, "some more words here", "e"), (None, text, "f"), (None, text, "f")]
