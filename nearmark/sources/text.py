@@ -1,11 +1,15 @@
 """Pipe-delimited text formats of the reference.
 
 Readers parse with ``split`` + ANSI ``cast``: a malformed id fails the job,
-trailing extra fields are ignored. Writers overwrite their target.
+trailing extra fields are ignored. Writers put their result in the place of an
+earlier one, once it is whole.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,17 +66,45 @@ def read_scored_csv(spark: SparkSession, path: str, headers=("u", "i", "sui")) -
 
 # ---- sinks ----------------------------------------------------------------------
 
+def replace_with(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Runs ``write`` on a path beside ``path`` and, once that is whole, puts its result in the place of what ``path`` holds.
+
+    A write that fails leaves the old data as they are. The swap is two renames; a driver lost between them leaves the new data
+    whole beside the target and the old ones under ``<path>.old-...``.
+    """
+    jvm = spark._jvm.org.apache.hadoop.fs
+    tag = uuid.uuid4().hex
+    new, old = (f"{path.rstrip('/')}.{kind}-{tag}" for kind in ("new", "old"))
+    target = jvm.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        write(new)
+    except BaseException:
+        fs.delete(jvm.Path(new), True)
+        raise
+    there = fs.exists(target)
+    if there and not fs.rename(target, jvm.Path(old)):
+        raise OSError(f"cannot move {path} away")
+    if not fs.rename(jvm.Path(new), target):
+        if there:
+            fs.rename(jvm.Path(old), target)
+        raise OSError(f"cannot move {new} to {path}")
+    if there:
+        fs.delete(jvm.Path(old), True)
+
+
+
 def write_pairs(df: DataFrame, path: str, num_files: int | None = None) -> None:
     """``u|i`` text; ``num_files`` fixes the output file count."""
     out = df.select(F.concat_ws("|", F.col("u").cast("string"), F.col("i").cast("string")).alias("value"))
     if num_files:
         out = out.repartition(num_files)
-    out.write.mode("overwrite").text(path)
+    replace_with(df.sparkSession, path, out.write.text)
 
 
 def write_scores(df: DataFrame, path: str) -> None:
     """Headerless ``|`` CSV of the frame's columns."""
-    df.write.mode("overwrite").option("sep", "|").option("header", "false").csv(path)
+    replace_with(df.sparkSession, path, df.write.option("sep", "|").option("header", "false").csv)
 
 
 def format_positions(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -82,7 +114,7 @@ def format_positions(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 def write_positions(df: DataFrame, path: str, id_col: str = "id", vec_col: str = "p", num_files: int = 8) -> None:
     """``id:x1,x2,...`` text in ``num_files`` files."""
-    format_positions(df, id_col, vec_col).repartition(num_files).write.mode("overwrite").text(path)
+    replace_with(df.sparkSession, path, format_positions(df, id_col, vec_col).repartition(num_files).write.text)
 
 
 def read_positions(spark: SparkSession, path: str, id_col: str = "id", vec_col: str = "p") -> DataFrame:
@@ -97,7 +129,7 @@ def write_test_set(df: DataFrame, path: str, num_files: int | None = None) -> No
     out = df.select(F.concat_ws("|", F.col("u").cast("string"), "part", F.col("i").cast("string")).alias("value"))
     if num_files:
         out = out.repartition(num_files)
-    out.write.mode("overwrite").text(path)
+    replace_with(df.sparkSession, path, out.write.text)
 
 
 def read_test_set(spark: SparkSession, path: str) -> DataFrame:
