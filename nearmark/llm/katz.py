@@ -17,7 +17,9 @@ Nothing is held per key on the driver or in one task:
 
 So shuffles carry distinct words and pairs per block, as compressed columns, never a row per token. Words are told apart by
 64-bit hashes. Discounts outside (0, 1), as small tables give, are replaced by (r - 0.5) / r. An h whose followers were all
-seen more than K times, or which is split, has one occurrence added to its count, so that something is left for the rest.
+seen more than K times has one occurrence added to its count, so that something is left for the rest. Whether that is so of a
+split word is known once its parts are summed up; its pairs, seen and unseen, travel on with the documents until then. So ``SPLIT`` says
+how the work is dealt and changes no score.
 
 The input must read the same rows in the same order when read again (files do): blocks are cut from its partitions twice, and
 a block that differs raises. Null text: empty, one token (the end). Null doc_id: the text ''. Repeated rows are scored each.
@@ -226,11 +228,11 @@ def sum_pairs(asks: DataFrame, uni: Unigrams, split: int) -> DataFrame:
         n = np.bincount(of[low] * (K + 1) + total[low], minlength=len(words) * (K + 1)).reshape(-1, K + 1)
         share = np.bincount(of, np.where(total > 0, uni.p(some), 0), len(words))
         is_split = count > split
-        extra = (is_split | (n.sum(axis=1) == 0)).astype(np.int64)
+        extra = (~is_split & (n.sum(axis=1) == 0)).astype(np.int64)  # of split words: not known yet
         r = total[place]
         worth = np.where(r > 0, np.log10(np.maximum(r, 1) / (count + extra)[hl]), np.log10(uni.p(cw)))
         rows = [("stats", -1, None, None, pack(np.bincount(np.minimum(total, K + 2), minlength=K + 3)[:K + 2]))]
-        rows += [("tail", int(words[i]), None, None, pack(n[i], np.array([count[i], extra[i]]), share[i:i + 1])) for i in np.flatnonzero(is_split)]
+        rows += [("tail", int(words[i]), None, None, pack(n[i], count[i:i + 1], share[i:i + 1])) for i in np.flatnonzero(is_split)]
         lo = 0
         for g, size, block in zip(got, sizes, group["block"], strict=True):
             mine = slice(lo, lo + size)
@@ -248,9 +250,11 @@ def sum_pairs(asks: DataFrame, uni: Unigrams, split: int) -> DataFrame:
             plain = ~is_split[whose]
             table, local = np.unique(whose[plain], return_inverse=True)
             rows.append(("part", -1, block, None, pack(score, by, holder[un][plain], times[un][plain], local, n[table].ravel(), count[table], extra[table], share[table])))
-            for i in np.unique(whose[~plain]):
-                at = whose == i
-                rows.append(("share", int(words[i]), block, None, pack(holder[un][at], times[un][at])))
+            late = np.flatnonzero(is_split[hl[mine][entry]])  # what waits for the split words' sums: unseen pairs, then seen ones
+            for i in np.unique(hl[mine][entry][late]):
+                at = late[hl[mine][entry][late] == i]
+                no, yes = at[un[at]], at[~un[at]]
+                rows.append(("share", int(words[i]), block, None, pack(holder[no], times[no], holder[yes], times[yes])))
         return pd.DataFrame(rows, columns=names).astype({"block": "Int64"})
 
     return asks.groupBy("bucket").applyInPandas(run, "kind string, word bigint, block bigint, ids array<string>, data binary")
@@ -267,30 +271,32 @@ def finish(sums: DataFrame, d: np.ndarray) -> DataFrame:
 
     def alphas(group: pd.DataFrame) -> pd.DataFrame:
         got = [unpack(x) for x in group["data"]]
-        a = log_alpha(sum(g[0] for g in got)[None], got[0][1][:1], got[0][1][1:], sum(g[2] for g in got), d)
-        return pd.DataFrame({"word": [group["word"].iloc[0]], "log_alpha": a})
+        n, count = sum(g[0] for g in got), got[0][1]
+        extra = np.array([n.sum() == 0], np.int64)
+        a = log_alpha(n[None], count, extra, sum(g[2] for g in got), d)
+        return pd.DataFrame({"word": [group["word"].iloc[0]], "log_alpha": a, "log_size": np.log10(count / (count + extra))})
 
-    tails = sums.where("kind = 'tail'").select("word", "data").groupBy("word").applyInPandas(alphas, "word bigint, log_alpha double")
+    tails = sums.where("kind = 'tail'").select("word", "data").groupBy("word").applyInPandas(alphas, "word bigint, log_alpha double, log_size double")
     shares = sums.where("kind = 'share'").select("kind", "word", "block", "ids", "data").join(tails, "word")
-    rows = sums.where("kind in ('docs', 'part')").withColumn("log_alpha", F.lit(0.0)).unionByName(shares)
+    rows = sums.where("kind in ('docs', 'part')").withColumn("log_alpha", F.lit(0.0)).withColumn("log_size", F.lit(0.0)).unionByName(shares)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         own = group[group["kind"] == "docs"].iloc[0]
         lens, train, known, base, score = unpack(own["data"])
         score = score.copy()
         logs = np.concatenate([[0], np.log10(d[1:])])
-        for kind, data, a in zip(group["kind"], group["data"], group["log_alpha"], strict=True):
+        for kind, data, a, size in zip(group["kind"], group["data"], group["log_alpha"], group["log_size"], strict=True):
             if kind == "part":
                 part, by, holder, times, local, n, count, extra, share = unpack(data)
                 score += part + by.reshape(-1, K + 1) @ logs
                 if len(holder):
                     score += np.bincount(holder, log_alpha(n.reshape(-1, K + 1), count, extra, share, d)[local] * times, len(score))
             elif kind == "share":
-                holder, times = unpack(data)
-                score += np.bincount(holder, times * a, len(score))
+                unseen, times, seen, often = unpack(data)
+                score += np.bincount(unseen, times * a, len(score)) + np.bincount(seen, often * size, len(score))
         return pd.DataFrame({"doc_id": own["ids"], "held_out": train == 0, "n_tokens": lens, "n_known": known, "base_score": base, "score": score})
 
-    return rows.select("kind", "block", "ids", "data", "log_alpha").groupBy("block").applyInPandas(
+    return rows.select("kind", "block", "ids", "data", "log_alpha", "log_size").groupBy("block").applyInPandas(
         run, "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
 
 

@@ -383,7 +383,7 @@ def test_classifier_without_labels(spark, docs, empty, odd):
 
 # ---- language model -------------------------------------------------------------------------
 
-def _katz(texts, split):
+def _katz(texts):
     k = katz.K
     train = {d for d in texts if zlib.crc32(str(d).encode()) % 10}
     c1, c2, ch = Counter(), Counter(), Counter()
@@ -408,7 +408,7 @@ def _katz(texts, split):
     followers = defaultdict(list)
     for (h, w), c in c2.items():
         followers[h].append((w, c))
-    size = {h: ch[h] + (ch[h] > split or all(c > k for _, c in f)) for h, f in followers.items()}
+    size = {h: ch[h] + all(c > k for _, c in f) for h, f in followers.items()}
     alpha = {h: (1 - sum(d2(c) for _, c in f) / size[h]) / (1 - sum(one[w] for w, _ in f)) for h, f in followers.items()}
 
     def p(h, w):
@@ -422,13 +422,13 @@ def _katz(texts, split):
                           for d, t in texts.items()}
 
 
-@pytest.mark.parametrize("split", [50, 10**6])
+@pytest.mark.parametrize("split", [1, 50, 10**6])
 def test_katz_query(docs, rows, split):
     # a document that comes twice is counted twice
     out = katz.score(docs.dropDuplicates(["doc_id"]).orderBy("doc_id").transform(_as_file), docs_per_bucket=10, pairs_per_bucket=500, split=split)
     got = {r.doc_id: r for r in out.collect()}
     texts = {doc: [*WORD.findall((t or "").translate(LOW)), "</s>"] for doc, t, *_ in rows}
-    train, total, want = _katz(texts, split)
+    train, total, want = _katz(texts)
     assert set(got) == set(texts)
     for doc, r in got.items():
         known, base, score = want[doc]
