@@ -14,6 +14,7 @@ folded again over the dimensions, bit for bit as ``functions.vectors.sqdist`` do
              plans as a partial ``WindowGroupLimit`` before the shuffle. Candidates of u = items minus the pairs in ``excluded``;
 * ``count``  per probe (u, key, thr, thr_id) how many of all items have ``d - offset <= thr`` (or, with ``strict``,
              ``(d, j) < (thr, thr_id)``). Excluded pairs count too: take them off with ``indexing.flagged_before``;
+* ``counts`` both numbers of ``count`` from one scan: cnt strict, loose not;
 * ``countmin`` as ``count``, and with key null the smallest ``d - offset`` over each user's candidates.
 """
 
@@ -51,6 +52,7 @@ _USER_SIDE = T.StructType([
 _OUT = {
     "topk": "u long, j long, d double",
     "count": "u long, key long, cnt long",
+    "counts": "u long, key long, cnt long, loose long",
     "countmin": "u long, key long, cnt long, dmin double",
 }
 
@@ -119,8 +121,8 @@ def nearest_in_block(W, H, J, ex_r, ex_c, k):
     return r[keep], c[keep], exact[keep]
 
 
-def counts_in_block(W, H, J, rows, thr, tid, offset, strict):
-    """For each probe (row of W, threshold, item id) the number of columns under it."""
+def both_counts_in_block(W, H, J, rows, thr, tid, offset):
+    """For each probe (row of W, threshold, item id) the numbers of columns strictly before it, ties by id, and not above it."""
     d, err = product_sqdist(W, H)
     order = np.argsort(d, axis=1)
     d = np.take_along_axis(d, order, axis=1)
@@ -132,8 +134,13 @@ def counts_in_block(W, H, J, rows, thr, tid, offset, strict):
     if offset:
         exact = exact - offset
     t = thr[probe]
-    under = (exact < t) | ((exact == t) & (J[col] < tid[probe])) if strict else exact <= t
-    return lo + np.bincount(probe[under], minlength=len(rows))
+    before, upto = (exact < t) | ((exact == t) & (J[col] < tid[probe])), exact <= t
+    return tuple(lo + np.bincount(probe[under], minlength=len(rows)) for under in (before, upto))
+
+
+def counts_in_block(W, H, J, rows, thr, tid, offset, strict):
+    """One of ``both_counts_in_block``."""
+    return both_counts_in_block(W, H, J, rows, thr, tid, offset)[0 if strict else 1]
 
 
 def minima_in_block(W, H, ex_r, ex_c, offset):
@@ -174,7 +181,7 @@ def _make_block_fn(mode: str, k: int, offset: float, strict: bool, chunk: int, t
         _, ex_r, ex_c = places(left[left["kind"] == EXCLUDED], ("u", urow), ("j", jcol))
         probes, pr_row = places(left[left["kind"] == PROBE], ("u", urow))
         thr, tid = probes["thr"].to_numpy(dtype=np.float64), probes["thr_id"].to_numpy(dtype=np.int64)
-        cnt = np.zeros(len(probes), np.int64)
+        cnt, loose = np.zeros((2, len(probes)), np.int64)
         smallest = np.full(len(U), np.inf)
         near = []
         for lo in range(0, len(U), chunk):
@@ -191,7 +198,9 @@ def _make_block_fn(mode: str, k: int, offset: float, strict: bool, chunk: int, t
                     continue
                 if len(mine):  # only the rows with a probe are sorted
                     own, row = np.unique(pr_row[mine] - lo, return_inverse=True)
-                    cnt[mine] += counts_in_block(w[own], h, j, row, thr[mine], tid[mine], offset, strict)
+                    before, upto = both_counts_in_block(w[own], h, j, row, thr[mine], tid[mine], offset)
+                    cnt[mine] += before if strict or mode == "counts" else upto
+                    loose[mine] += upto
                 if mode == "countmin" and left["tb"].iloc[0] == 0:
                     smallest[lo:lo + chunk] = np.minimum(smallest[lo:lo + chunk], minima_in_block(w, h, *gone, offset))
         if mode == "topk":
@@ -200,8 +209,8 @@ def _make_block_fn(mode: str, k: int, offset: float, strict: bool, chunk: int, t
             r, j, d = r[order], j[order], d[order]
             keep = np.arange(len(r)) - np.searchsorted(r, r, "left") < k
             return frame(u=U[r[keep]], j=j[keep], d=d[keep])
-        counted = frame(u=probes["u"].to_numpy(), key=probes["j"].to_numpy(), cnt=cnt)
-        if mode == "count":
+        counted = frame(u=probes["u"].to_numpy(), key=probes["j"].to_numpy(), cnt=cnt, **({"loose": loose} if mode == "counts" else {}))
+        if mode != "countmin":
             return counted
         some = np.isfinite(smallest)
         return pd.concat([x for x in (counted, frame(u=U[some], dmin=smallest[some])) if len(x)] or [counted], ignore_index=True)
@@ -217,7 +226,7 @@ def block_scan(users: DataFrame, items: DataFrame, mode: str, *, excluded: DataF
     ``probes`` (u, key, thr, thr_id). See the module doc for the modes."""
     if mode not in _OUT:
         raise ValueError(f"unknown block_scan mode {mode!r}")
-    if mode in ("count", "countmin") and probes is None:
+    if mode != "topk" and probes is None:
         raise ValueError("count mode needs probes")
     # Block counts come from two scalar counts; the data never visits the driver.
     ub_n, ib_n = layout(users.count(), items.count(), user_block, item_block)
@@ -245,7 +254,7 @@ def block_scan(users: DataFrame, items: DataFrame, mode: str, *, excluded: DataF
             .withColumn("ib", all_ib))
     left = uvec.select("ub", "tb", "ib", F.lit(VECTOR).alias("kind"), "u", null_l.alias("j"),
                        "w", null_d.alias("thr"), null_l.alias("thr_id"))
-    if excluded is not None and mode != "count":
+    if excluded is not None and mode in ("topk", "countmin"):
         ex = excluded.select("u", "j").withColumn("ub", ub).withColumn("ib", ib_of_j)
         left = left.unionByName(ex.select("ub", F.lit(0).alias("tb"), "ib", F.lit(EXCLUDED).alias("kind"), "u", "j",
                                           null_w.alias("w"), null_d.alias("thr"), null_l.alias("thr_id")))
@@ -278,5 +287,7 @@ def block_scan(users: DataFrame, items: DataFrame, mode: str, *, excluded: DataF
             .select("u", "rank", "j", "d")
     if mode == "count":
         return out.groupBy("u", "key").agg(F.sum("cnt").alias("cnt"))
+    if mode == "counts":
+        return out.groupBy("u", "key").agg(F.sum("cnt").alias("cnt"), F.sum("loose").alias("loose"))
     # one aggregate for both kinds of row: key is null on the per-user minimum rows
     return out.groupBy("u", "key").agg(F.sum("cnt").alias("cnt"), F.min("dmin").alias("dmin"))

@@ -57,12 +57,13 @@ def train_eval_job(spark: SparkSession, scores_dir: str, test_dir: str, pos_dir:
     test_pairs = text.read_pairs(spark, test_dir)
     test_long = prepare.test_with_used_items(edges.select("u", "i"), test_pairs).checkpoint()
     users, items, history = training.train(edges, test_long, settings, seed)
+    counts = evaluate.target_counts(users, items, test_long)  # one scan for all metrics
     report = {
         "distance_stats": stats,
         "history": history,
-        "gain": evaluate.rank_gain(users, items, test_long).first()[0],
-        "precision_recall": sorted(tuple(r) for r in evaluate.precision_recall_at_k(users, items, test_long, ks).collect()),
-        "ranking": tuple(evaluate.ranking_metrics(users, items, test_long).first()),
+        "gain": evaluate.rank_gain(users, items, test_long, counts).first()[0],
+        "precision_recall": sorted(tuple(r) for r in evaluate.precision_recall_at_k(users, items, test_long, ks, counts).collect()),
+        "ranking": tuple(evaluate.ranking_metrics(users, items, test_long, counts).first()),
     }
     text.write_positions(users, f"{pos_dir.rstrip('/')}/user", "u", "w")
     text.write_positions(items, f"{pos_dir.rstrip('/')}/item", "i", "h")

@@ -283,6 +283,12 @@ def q_rank_gain(spark, sf):
     return evaluate.rank_gain_per_user(users, items, test)
 
 
+def q_evaluation(spark, sf):
+    """All metrics of the three queries above from one scan, as rows."""
+    users, items, _, test = eval_inputs(spark, sf)
+    return evaluate.evaluation(users, items, test)
+
+
 def loss_inputs(spark, sf):
     e = edges(spark, sf)
     return e, user_pos(spark, sf, e).checkpoint(), item_pos(spark, sf, e).checkpoint()
@@ -408,6 +414,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "precision_recall_at_k": q_precision_recall_at_k,
     "ranking_metrics": q_ranking_metrics,
     "rank_gain": q_rank_gain,
+    "evaluation": q_evaluation,
     "pull_loss": q_pull_loss,
     "push_loss": q_push_loss,
     "train_objective": q_train_objective,

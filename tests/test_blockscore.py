@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from support import SF001
 from nearmark.functions.vectors import sqdist
+from nearmark.operators import evaluate
 from nearmark.operators.blockscore import block_scan, counts_in_block, exact_sqdist, layout, minima_in_block, nearest_in_block
 from nearmark.plans import queries as Q
 
@@ -31,10 +32,10 @@ def _rows(df):
     return sorted(rows, key=lambda r: tuple((x is None, x if x is not None else 0) for x in r))
 
 
-@pytest.mark.parametrize("mode,kw", [("topk", dict(k=4)), ("count", dict(strict=True)), ("count", {}), ("countmin", dict(offset=0.5))])
+@pytest.mark.parametrize("mode,kw", [("counts", {}), ("topk", dict(k=4)), ("count", dict(strict=True)), ("count", {}), ("countmin", dict(offset=0.5))])
 def test_blocking_does_not_change_results(inputs, mode, kw):
     users, items, ex, probes = inputs
-    pr = probes if mode in ("count", "countmin") else None
+    pr = None if mode == "topk" else probes
     a = block_scan(users, items, mode, excluded=ex, probes=pr, **kw)
     b = block_scan(users, items, mode, excluded=ex, probes=pr, **kw, **SMALL)
     assert _rows(a) == _rows(b)
@@ -72,3 +73,24 @@ def test_layout_follows_the_sizes_alone():
         ub, ib = layout(n_users, n_items)
         assert ub * 16384 >= n_users and ib * 16384 >= n_items
     assert layout(16_000, 1_000)[0] > layout(16_000, 1_000)[1]
+
+
+def test_joint_evaluation_scans_once(spark, monkeypatch):
+    """The metrics of one scan are those of a scan each, and one cogroup is planned for all."""
+    users, items, _, test = Q.eval_inputs(spark, SF001)
+    frame = type(spark.range(0))
+    plans, cut = [], frame.checkpoint
+
+    def spy(self, eager=True):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return cut(self, eager)
+
+    monkeypatch.setattr(frame, "checkpoint", spy)
+    out = evaluate.evaluation(users, items, test)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum(p.count("FlatMapCoGroupsInPandas") for p in plans) == 1
+    got = {(r.metric, r.k): r.value for r in out.collect()}
+    want = {(m, r.k): r[m] for r in evaluate.precision_recall_at_k(users, items, test).collect() for m in ("precision", "recall")}
+    want |= {(m, None): evaluate.ranking_metrics(users, items, test).first()[m] for m in ("map", "mrr", "ndcg")}
+    want[("gain", None)] = evaluate.rank_gain(users, items, test).first().gain
+    assert got == pytest.approx(want, abs=1e-12)
