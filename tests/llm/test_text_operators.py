@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from nearmark.llm import bytecnn, divergence, katz, packing, registry, secrets, wordbpe
 
@@ -93,6 +94,69 @@ def test_redaction_merges_overlaps():
     assert secrets.redact_text("ab cdef gh", [("assign", 0, 6), ("guess", 3, 7), ("hex", 8, 10)]) == "[SECRET] [SECRET]"
 
 
+CLEAN = ("compass: northern", "bypass: disabled", "login: required", "auth: enabled", "the access key: mountain", "pwd: gardening", "credentials: provided separately")
+
+
+def test_ordinary_words_and_word_starts(spark):
+    """Words of the corpus are cheap, values in a context are not counted as words, however often they are repeated."""
+    prose = "northern required enabled mountain gardening provided disabled"
+    rows = [(i, t) for i, t in enumerate([prose] * 6 + list(CLEAN) + ["pwd: gkvqwzpx"] * 40 + ["the compass at pwd: gkvqwzpxy", None, ""])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    ranks = secrets.corpus_ranks(docs)
+    assert {"northern", "gardening"} <= set(ranks) and "gkvqwzpx" not in ranks
+    assert len(secrets.corpus_ranks(docs, most=2)) <= 2 + len(secrets.RANK)
+    got = {r.doc_id: [s["kind"] for s in r.spans] for r in secrets.scan(docs).collect()}
+    assert [i for i, s in got.items() if s] and {i for i, s in got.items() if s == ["guess"]} == set(range(13, 54))
+    assert all(not s for i, s in got.items() if i < 13)
+    wide = docs.withColumns({"lang": F.lit("x"), "source": F.lit("y"), "n_chars": F.lit(1).cast("bigint"), "word": F.lit(1), "n": F.lit(2)})
+    out = {r.doc_id: r for r in secrets.redact(wide).collect()}
+    assert [out[6 + i].text for i in range(len(CLEAN))] == list(CLEAN) and out[13].text == "pwd: [SECRET]" and out[13].word == 1
+
+
+def test_keys_in_names_and_private_keys():
+    for text, value in (("dbPassword: x9Lq02vTz", "x9Lq02vTz"), ("client_secret=Zk3v9QpLm2", "Zk3v9QpLm2"), ("DB_PWD=aB3$xY9kL7q", "aB3$xY9kL7q")):
+        lo = text.index(value)
+        assert ("guess", lo, lo + len(value)) in secrets.find_spans(text)
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIabc\nx9\n-----END RSA PRIVATE KEY-----"
+    text = "-----BEGIN EC PRIVATE KEY----- cut off, then private key: " + key + " end"
+    at = text.index(key)
+    assert ("pem", at, at + len(key)) in secrets.find_spans(text) and secrets.redact_text(text, secrets.find_spans(text)).endswith("private key: [SECRET] end")
+    assert not secrets.find_spans("-----BEGIN RSA PRIVATE KEY----- without end")
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abqwe12", max_size=11))
+def test_guess_cost_is_the_minimum_over_words_repeats_and_walks(v):
+    """Against all segmentations, each piece priced by its definition."""
+
+    def cheapest(s):
+        best = [0.0] + [math.inf] * len(s)
+        for j in range(1, len(s) + 1):
+            best[j] = best[j - 1] + secrets._brute(s[j - 1])
+            for i in range(j):
+                piece, costs = s[i:j], []
+                if len(piece) >= 3 and (r := secrets.RANK.get(piece) or secrets.RANK.get(piece.translate(secrets.LEET))):
+                    costs.append(math.log10(r) + (piece not in secrets.RANK) * math.log10(4))
+                if len(piece) >= 3 and all(x in secrets.NEXT for x in zip(piece, piece[1:])):
+                    costs.append(math.log10(94) + math.log10(len(piece)))
+                for p in range(1, len(piece) // 2 + 1):
+                    times = len(piece) // p
+                    # a repeat goes on as often as it can, and has the shortest unit that reaches as far
+                    reach = [i + q * t for q in range(1, p) for t in [times_from(s, i, q)] if t >= (2 if q > 2 else 3)]
+                    if times * p == len(piece) and piece[:p] * times == piece and times >= (2 if p > 2 else 3) and times_from(s, i, p) == times and max(reach, default=0) < j:
+                        costs.append(cheapest(piece[:p]) + math.log10(times))
+                best[j] = min([best[j], *(best[i] + c + secrets.PIECE for c in costs)])
+        return best[-1]
+
+    def times_from(s, i, p):
+        t = 1
+        while s[i + p * t:i + p * (t + 1)] == s[i:i + p]:
+            t += 1
+        return t
+
+    assert secrets.guess_cost(v) == pytest.approx(cheapest(v))
+
+
 # ---- BPE ------------------------------------------------------------------------------------
 
 @settings(max_examples=300, deadline=None)
