@@ -313,3 +313,4 @@ SQL["evaluation"] = " UNION ALL ".join([
     *(f"SELECT '{m}' AS metric, k, {m} AS value FROM ({SQL['precision_recall_at_k']})" for m in ("precision", "recall")),
     *(f"SELECT '{m}', NULL, {m} FROM ({SQL['ranking_metrics']})" for m in ("map", "mrr", "ndcg")),
     f"SELECT 'gain', NULL, round(avg(gain), 6) FROM ({_EXACT_GAIN})"])
+SQL["topk_unseen_near"] = SQL["topk_unseen"]

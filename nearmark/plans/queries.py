@@ -268,6 +268,11 @@ def q_topk_unseen(spark, sf):
     return evaluate.topk_unseen(users, items, train, TOP_K)
 
 
+def q_topk_unseen_near(spark, sf):
+    users, items, train, _ = eval_inputs(spark, sf)
+    return evaluate.topk_unseen_near(users, items, train, TOP_K)
+
+
 def q_precision_recall_at_k(spark, sf):
     users, items, _, test = eval_inputs(spark, sf)
     return evaluate.precision_recall_at_k(users, items, test)
@@ -411,6 +416,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "init_positions": q_init_positions,
     "vector_sum": q_vector_sum,
     "topk_unseen": q_topk_unseen,
+    "topk_unseen_near": q_topk_unseen_near,
     "precision_recall_at_k": q_precision_recall_at_k,
     "ranking_metrics": q_ranking_metrics,
     "rank_gain": q_rank_gain,
