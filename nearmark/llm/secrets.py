@@ -36,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearmark.llm.common import slices, texts_of
+from nearmark.llm.common import Steps, slices, texts_of
+from nearmark.operators.indexing import sorted_index
 
 KINDS = ("assign", "access", "hex", "guess", "pem")
 MIN_LOG10 = 8.0
@@ -204,8 +205,10 @@ def corpus_ranks(docs: DataFrame, most: int = MOST_WORDS, least: int = LEAST_DOC
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
     counts = texts_of(docs).select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()
-    ranks = {r.word: i + 2 for i, r in enumerate(top)}
+    # places over a sort of the cluster: a limit would send that many rows of every task to the driver
+    often = Steps(docs.sparkSession, "words")(counts.where(F.col("n") >= least).select((-F.col("n")).alias("less"), "word"))
+    top = sorted_index(often, ["less", "word"], name="place").where(F.col("place") < most).select("word", "place").collect()
+    ranks = {r.word: r.place + 2 for r in top}
     return ranks | {w: min(r, ranks.get(w, r)) for w, r in RANK.items()}
 
 
