@@ -4,7 +4,7 @@ import pytest
 
 from support import SF001
 
-HEAVY = ["jaccard_scores", "aa_scores", "item_aa", "tfidf_scores", "topk_unseen",
+HEAVY = ["jaccard_scores", "aa_scores", "item_aa", "tfidf_scores", "topk_unseen", "topk_unseen_near",
          "precision_recall_at_k", "ranking_metrics", "rank_gain", "push_loss", "approx_rank", "adagrad_round"]
 
 
