@@ -12,19 +12,27 @@ user's items (diagonal included) is emitted once. Users with more than
 ``chunk`` items are split into hash blocks of their items and the pairs of
 block a with block c >= a are formed under key (u, a, c), so a user holding a
 third of all rows is spread over many tasks, each with at most ~chunk^2 pairs.
-Pair statistics are partially aggregated before their shuffle; the join of
-pairs with pair similarities is a shuffle join that AQE can split when one
-pair is very common.
+
+A score needs each pair's statistic back at each of its rows. A pair has at
+most as many rows as its rarer item has users, so that is known before any
+pair is made: pairs with at most ``common`` rows are expanded and shuffled
+once, and their statistic is a window over the pair. Pairs of two items that
+both have more users are expanded from those items' rows alone; there the
+statistic is partially aggregated and joined back, and AQE can split the join
+when one pair is very common.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearmark.operators.prepare import user_degree
 
 PAIR_CHUNK = 1024
+COMMON_PAIR = 1 << 18
 METHODS = ("jaccard", "aa", "tfidf")
 
 
@@ -79,12 +87,14 @@ def tfidf_scores(df: DataFrame, materialize: bool = True) -> DataFrame:
 # ---- the half expansion ---------------------------------------------------------------
 
 def half_pairs(df: DataFrame, weights: DataFrame | None = None, chunk: int = PAIR_CHUNK,
-               distinct: bool = False) -> DataFrame:
+               distinct: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """J3 (half): (u, a, b[, wu]) for each unordered pair a <= b of items of u.
 
     Each pair of distinct items appears once, each diagonal pair (i, i) once.
+    Columns of items named in ``carry`` come as <name>_1 and <name>_2, in
+    either order.
     """
-    d = df.select("u", "i") if distinct else _distinct(df)
+    d = df.select("u", "i", *carry) if distinct else _distinct(df)
     deg = d.groupBy("u").agg(F.count(F.lit(1)).alias("_du"))
     base = d.join(deg, "u")
     if weights is not None:
@@ -94,13 +104,32 @@ def half_pairs(df: DataFrame, weights: DataFrame | None = None, chunk: int = PAI
     extra = ["wu"] if weights is not None else []
     # left row: its own block a, repeated for every partner block c >= a
     left = base.select("u", F.col("i").alias("_li"), F.col("_blk").alias("_a"),
-                       F.explode(F.sequence(F.col("_blk"), F.col("_nb") - 1)).alias("_c"), *extra)
+                       F.explode(F.sequence(F.col("_blk"), F.col("_nb") - 1)).alias("_c"), *extra,
+                       *[F.col(x).alias(f"{x}_1") for x in carry])
     # right row: its own block c, repeated for every partner block a <= c
     right = base.select("u", F.col("i").alias("_rj"), F.col("_blk").alias("_c"),
-                        F.explode(F.sequence(F.lit(0), F.col("_blk"))).alias("_a"))
+                        F.explode(F.sequence(F.lit(0), F.col("_blk"))).alias("_a"),
+                        *[F.col(x).alias(f"{x}_2") for x in carry])
     j = left.join(right, ["u", "_a", "_c"])
     j = j.where((F.col("_a") < F.col("_c")) | (F.col("_li") <= F.col("_rj")))
-    return j.select("u", F.least("_li", "_rj").alias("a"), F.greatest("_li", "_rj").alias("b"), *extra)
+    return j.select("u", F.least("_li", "_rj").alias("a"), F.greatest("_li", "_rj").alias("b"), *extra,
+                    *[f"{x}_{k}" for x in carry for k in (1, 2)])
+
+
+def _scored_pairs(d: DataFrame, items: DataFrame, stat: Column, sim: Callable[[Column, Column, Column], Column],
+                  weights: DataFrame | None, chunk: int, common: int) -> DataFrame:
+    """(u, a, b, sij) for the rows of the half expansion of distinct pairs d.
+
+    ``items`` has (i, ni, t): users and total of each item; ``sim`` makes the
+    similarity of the pair's ``stat`` and the two totals, in either order.
+    """
+    rows = d.join(items, "i")
+    few = half_pairs(rows, weights, chunk, distinct=True, carry=("ni", "t")).where(F.least("ni_1", "ni_2") <= common)
+    few = few.withColumn("_stat", stat.over(Window.partitionBy("a", "b")))
+    many = half_pairs(rows.where(F.col("ni") > common), weights, chunk, distinct=True, carry=("t",))
+    many = many.join(many.groupBy("a", "b").agg(stat.alias("_stat")), ["a", "b"])
+    sij = sim(F.col("_stat"), F.col("t_1"), F.col("t_2")).alias("sij")
+    return few.select("u", "a", "b", sij).unionByName(many.select("u", "a", "b", sij))
 
 
 def _spread(pairs_scored: DataFrame, val: str) -> DataFrame:
@@ -116,17 +145,19 @@ def _named(half: DataFrame, val: str) -> DataFrame:
 
 # ---- Jaccard -----------------------------------------------------------------------------
 
-def _jaccard_half(df: DataFrame, chunk: int, materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+def _jaccard(cn: Column, na: Column, nb: Column) -> Column:
+    return F.when(na + nb == 0, F.lit(0.0)).otherwise(cn / (na + nb - cn))
+
+
+def _jaccard_half(df: DataFrame, chunk: int, materialize: bool = True) -> DataFrame:
     d = _door(df, materialize)
     hp = half_pairs(d, chunk=chunk, distinct=True)
     cn = hp.groupBy("a", "b").agg(F.count(F.lit(1)).alias("cn"))
     ni = _counts(d, "i", "ni")
     na = ni.select(F.col("i").alias("a"), F.col("ni").alias("na"))
     nb = ni.select(F.col("i").alias("b"), F.col("ni").alias("nb"))
-    den = F.col("na") + F.col("nb") - F.col("cn")
-    sim = F.when(F.col("na") + F.col("nb") == 0, F.lit(0.0)).otherwise(F.col("cn") / den)
-    s = cn.join(na, "a").join(nb, "b").select("a", "b", "cn", sim.alias("sij"))
-    return hp, s
+    sim = _jaccard(F.col("cn"), F.col("na"), F.col("nb"))
+    return cn.join(na, "a").join(nb, "b").select("a", "b", "cn", sim.alias("sij"))
 
 
 def item_cooccurrence(df: DataFrame, chunk: int = PAIR_CHUNK) -> DataFrame:
@@ -138,20 +169,24 @@ def item_cooccurrence(df: DataFrame, chunk: int = PAIR_CHUNK) -> DataFrame:
 
 def item_jaccard(df: DataFrame, chunk: int = PAIR_CHUNK) -> DataFrame:
     """(i, j, sij) for every co-occurring pair i <= j."""
-    _, s = _jaccard_half(df, chunk)
-    return _named(s.select("a", "b", "sij"), "sij")
+    return _named(_jaccard_half(df, chunk).select("a", "b", "sij"), "sij")
 
 
-def jaccard_scores(df: DataFrame, chunk: int = PAIR_CHUNK) -> DataFrame:
+def jaccard_scores(df: DataFrame, chunk: int = PAIR_CHUNK, common: int = COMMON_PAIR) -> DataFrame:
     """(u, i, sui) = mean over j in N(u) of sim(i, j), j = i included."""
-    hp, s = _jaccard_half(df, chunk)
-    scored = hp.join(s.select("a", "b", "sij"), ["a", "b"])
+    d = _door(df, True)
+    items = _counts(d, "i", "ni").withColumn("t", F.col("ni"))
+    scored = _scored_pairs(d, items, F.count(F.lit(1)), _jaccard, None, chunk, common)
     return _spread(scored, "sij").groupBy("u", "i").agg(F.avg("sij").alias("sui"))
 
 
 # ---- Adamic-Adar --------------------------------------------------------------------------
 
-def _aa_half(df: DataFrame, alpha: float, chunk: int, materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+def _aa(sab: Column, sa: Column, sb: Column) -> Column:
+    return F.when(sa * sb == 0, F.lit(0.0)).otherwise(sab / F.sqrt(sa * sb))
+
+
+def _aa_half(df: DataFrame, alpha: float, chunk: int, materialize: bool = True) -> DataFrame:
     d = _door(df, materialize)
     wu = user_aa_weight(d, alpha, distinct=True)
     hp = half_pairs(d, weights=wu, chunk=chunk, distinct=True)
@@ -159,22 +194,21 @@ def _aa_half(df: DataFrame, alpha: float, chunk: int, materialize: bool = True)
     si = d.join(wu, "u").groupBy("i").agg(F.sum("wu").alias("si"))
     sa = si.select(F.col("i").alias("a"), F.col("si").alias("sa"))
     sb = si.select(F.col("i").alias("b"), F.col("si").alias("sb"))
-    prod = F.col("sa") * F.col("sb")
-    sim = F.when(prod == 0, F.lit(0.0)).otherwise(F.col("sab") / F.sqrt(prod))
-    s = sab.join(sa, "a").join(sb, "b").select("a", "b", sim.alias("sij"))
-    return hp.drop("wu"), s
+    sim = _aa(F.col("sab"), F.col("sa"), F.col("sb"))
+    return sab.join(sa, "a").join(sb, "b").select("a", "b", sim.alias("sij"))
 
 
 def item_aa(df: DataFrame, alpha: float = 1.0, chunk: int = PAIR_CHUNK) -> DataFrame:
     """(i, j, sij) cosine-normalised Adamic-Adar, every co-occurring pair i <= j."""
-    _, s = _aa_half(df, alpha, chunk)
-    return _named(s, "sij")
+    return _named(_aa_half(df, alpha, chunk), "sij")
 
 
-def aa_scores(df: DataFrame, alpha: float = 1.0, chunk: int = PAIR_CHUNK) -> DataFrame:
+def aa_scores(df: DataFrame, alpha: float = 1.0, chunk: int = PAIR_CHUNK, common: int = COMMON_PAIR) -> DataFrame:
     """(u, i, sui) = mean over j in N(u) of the AA similarity, j = i included."""
-    hp, s = _aa_half(df, alpha, chunk)
-    scored = hp.join(s, ["a", "b"])
+    d = _door(df, True)
+    wu = user_aa_weight(d, alpha, distinct=True)
+    items = d.join(wu, "u").groupBy("i").agg(F.count(F.lit(1)).alias("ni"), F.sum("wu").alias("t"))
+    scored = _scored_pairs(d, items, F.sum("wu"), _aa, wu, chunk, common)
     return _spread(scored, "sij").groupBy("u", "i").agg(F.avg("sij").alias("sui"))
 
 

@@ -1,6 +1,10 @@
 """A user holding a third of all rows: salted expansion against brute force."""
 
+import contextlib
+import io
+import math
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -36,3 +40,46 @@ def test_hot_user_jaccard_matches_brute_force(spark, skewed, chunk):
     want = _brute_jaccard(skewed)
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def _brute_aa(pairs, alpha):
+    items_of, users_of = defaultdict(set), defaultdict(set)
+    for u, i in pairs:
+        items_of[u].add(i)
+        users_of[i].add(u)
+    w = {u: 1 / (alpha + math.log(len(x))) for u, x in items_of.items()}
+    total = {i: sum(w[u] for u in x) for i, x in users_of.items()}
+
+    def sim(i, j):
+        return sum(w[u] for u in users_of[i] & users_of[j]) / math.sqrt(total[i] * total[j])
+    return {(u, i): sum(sim(i, j) for j in items_of[u]) / len(items_of[u]) for u, i in pairs}
+
+
+@pytest.fixture(scope="module")
+def common_pair(skewed):
+    """A third of 300 users hold items 0 and 1, beside the hot user."""
+    rnd = random.Random(8)
+    pairs = set(skewed) | {(u, i) for u in range(100, 200) for i in (0, 1)} | {(u, rnd.randrange(60)) for u in range(100, 400) for _ in range(3)}
+    return sorted(pairs)
+
+
+@pytest.mark.parametrize("common", [0, 20, 1 << 18])
+@pytest.mark.parametrize("chunk", [8])
+def test_a_very_common_pair_is_scored_alike_on_both_ways(spark, common_pair, common, chunk):
+    df = spark.createDataFrame(common_pair, "u bigint, i bigint")
+    for got, want in ((similarity.jaccard_scores(df, chunk, common), _brute_jaccard(common_pair)),
+                      (similarity.aa_scores(df, 1.0, chunk, common), _brute_aa(common_pair, 1.0))):
+        got = got.collect()
+        assert len(got) == len(want)
+        assert all(abs(r.sui - want[r.u, r.i]) < 1e-12 for r in got)
+
+
+@pytest.mark.parametrize("method", ["jaccard", "aa"])
+def test_pairs_are_expanded_once(spark, common_pair, method):
+    """Without items over the limit the executed plan has one expansion."""
+    df = similarity.score(spark.createDataFrame(common_pair, "u bigint, i bigint"), method)
+    df.collect()
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        df.explain()
+    final = out.getvalue().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"Join \[u#\d+L?, _a#\d+, _c#\d+\]", final)) == 1
