@@ -6,26 +6,28 @@ cover the whole text; a text's features are the mean and the maximum over its ch
 probability of them.
 
 The network is trained on the driver with Adam on at most ``ROWS_PER_CLASS`` labelled rows of either class (those with the
-smallest hash of the id, held-out rows excluded). Their texts are whole, so that training and scoring have the same features;
-the driver holds those texts, whatever the size of the input. Scoring reads every text whole, one pass without a shuffle.
+smallest hash of the id, held-out rows excluded), of which only the first count whose texts together stay within
+``BYTES_PER_CLASS``. Their texts are whole, so that training and scoring have the same features; the driver holds no more than
+those bytes, whatever the size of the input. Scoring reads every text whole, one pass without a shuffle.
 
 Null text: empty. Empty texts have no chunk and get the score of zero features. Rows are scored by themselves, so repeated
-rows agree. Labels that are null do not count; of several labels of an id the largest does. Without both classes among the
-labels every score is the share of label 1 with one half added to either side.
+rows agree. Labels that are null do not count; of several labels of an id the largest does, of several texts of a labelled id
+the smallest. Without both classes among the labels every score is the share of label 1 with one half added to either side. An
+empty table gives an empty result. Columns other than doc_id, text and quality are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearmark.llm.common import slices, texts_of
+from nearmark.llm.common import Steps, slices, texts_of
 
 DIM, WIDTH, FILTERS, HOP = 6, 10, 32, 256
 STRIDE = 2
-BLOCK_HOPS, ROWS_PER_CLASS = 1024, 1500
+BLOCK_HOPS, ROWS_PER_CLASS, BYTES_PER_CLASS = 1024, 1500, 128 << 20
 STEPS, BATCH_DOCS, RATE, SEED = 400, 32, 0.01, 11
 THRESHOLD = 0.3
 
@@ -134,17 +136,20 @@ def train(texts: list[bytes], labels: list[int], steps: int = STEPS, seed: int =
     return net
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> tuple[list[bytes], list[int]]:
-    """The training sample, a bounded number of rows: whole texts and labels, on the driver."""
+def training_rows(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS,
+                  bytes_per_class: int = BYTES_PER_CLASS) -> tuple[list[bytes], list[int]]:
+    """The training sample, a bounded number of rows and bytes: whole texts and labels, on the driver."""
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).withColumn("_o", F.xxhash64("doc_id", F.lit(SEED)))
     some = [known.where(F.col("quality") == q).orderBy("_o", "doc_id").limit(rows_per_class) for q in (0, 1)]
-    picked = some[0].unionByName(some[1]).select("doc_id", F.col("quality").alias("_q"))
-
-    d = texts_of(docs).join(F.broadcast(picked), "doc_id").select("doc_id", F.col("text").cast("binary").alias("raw"), F.col("_q").cast("int").alias("quality"))
-    found = d.dropDuplicates(["doc_id"]).toPandas()
-    found = found.sort_values("doc_id")
-    return [bytes(x) for x in found["raw"]], found["quality"].tolist()
+    picked = some[0].unionByName(some[1]).select("doc_id", "_o", F.col("quality").cast("int").alias("_q"))
+
+    found = texts_of(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "_o", "_q").agg(F.min(F.col("text").cast("binary")).alias("raw"))
+    found = Steps(docs.sparkSession, "sample")(found)
+    held = F.sum(F.octet_length("raw")).over(Window.partitionBy("_q").orderBy("_o", "doc_id"))  # of at most rows_per_class rows
+    fits = found.select("doc_id", held.alias("held")).where(F.col("held") <= bytes_per_class)
+    found = found.join(fits, "doc_id", "left_semi").select("doc_id", "raw", "_q").toPandas().sort_values("doc_id")
+    return [bytes(x) for x in found["raw"]], found["_q"].tolist()
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

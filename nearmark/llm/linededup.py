@@ -12,8 +12,9 @@
 ``clean`` gives documents without the lines that a smaller doc_id holds. After a deletion the lines of the next holder are
 back, so the state is the one that inserting only the rest would have given.
 
-A line's key is a 128-bit digest of the line, stripped and in lower case (A-Z). Shards follow the key's digest and their
-number follows the number of documents, so a shard's filter stays in one task's memory.
+A line's key is a 128-bit digest of the line, stripped and in lower case (A-Z). Shards follow a hash of the key and their
+number follows the number of different keys, and counts are summed by key before the shards are made: a shard's task gets one
+row for each of its keys, about ``KEYS_PER_SHARD``, however long the documents are and however common a line is.
 
 Null or empty text: one empty line. Keys under ``min_chars`` code points never go. Rows with the same doc_id are one
 document; null ids are one document that comes last. Of several lines with one key inside a document all stay or all go.
@@ -35,7 +36,7 @@ from nearmark.llm.common import slices
 from nearmark.session import scratch_path
 
 MIN_CHARS = 10
-DOCS_PER_SHARD = 8192
+KEYS_PER_SHARD = 1 << 18
 NO_ID = (1 << 63) - 1
 WHITE = " \t\n\x0b\x0c\r"
 UPPER = re.compile("[A-Z]+")
@@ -135,14 +136,29 @@ class CuckooFilter:
         return keys[homeless]
 
     def remove(self, keys: np.ndarray) -> None:
-        """Takes one fingerprint of each key out; the keys must have been inserted."""
-        for i in range(len(keys)):
-            for t in reversed(self.tables):
-                mark, a, b = self._places(keys[i:i + 1], len(t))
-                hit = next(((x, s) for x in (int(a[0]), int(b[0])) for s in range(4) if t[x, s] == mark[0]), None)
-                if hit:
-                    t[hit] = 0
+        """Takes one fingerprint of each key out; the keys must have been inserted.
+
+        A key whose fingerprint stands in several tables stays: which of them is its own can't be told, and another key's may
+        not go. That costs false hits only.
+        """
+        found = np.zeros((len(self.tables), len(keys)), bool)
+        for k, t in enumerate(self.tables):
+            mark, a, b = self._places(keys, len(t))
+            found[k] = (t[a] == mark[:, None]).any(1) | (t[b] == mark[:, None]).any(1)
+        found &= found.sum(0) == 1
+        for t, here in zip(self.tables, found, strict=True):
+            mark, a, b = self._places(keys, len(t))
+            left = np.flatnonzero(here)
+            while len(left):  # of the keys that point to one slot the first takes it, the others look again
+                hits = np.concatenate([t[a[left]], t[b[left]]], axis=1) == mark[left, None]
+                slot = hits.argmax(1)
+                place = np.where(slot < 4, a[left], b[left]) * 4 + slot % 4
+                has = np.flatnonzero(hits.any(1))
+                first = has[np.unique(place[has], return_index=True)[1]]
+                if not len(first):
                     break
+                t.reshape(-1)[place[first]] = 0
+                left = np.delete(left, first)
 
 
 def as_keys(column) -> np.ndarray:
@@ -172,16 +188,19 @@ class LineStore:
 
     def refs(self) -> DataFrame:
         """The exact references."""
-        return self._read("refs", "shard int, key binary, docs array<bigint>")
+        return self._read("refs", "key binary, docs array<bigint>")
 
     def filters(self) -> DataFrame:
         return self._read("filters", "shard int, filter binary")
 
     def seen(self) -> DataFrame:
-        return self._read("seen", "shard int, key binary")
+        return self._read("seen", "key binary")
+
+    def _shard(self):
+        return F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard")
 
     def _references(self, docs: DataFrame) -> DataFrame:
-        shards, min_chars = self.shards, self.min_chars
+        min_chars = self.min_chars
 
         def run(batches):
             for b in slices(batches):
@@ -190,37 +209,33 @@ class LineStore:
                     for k in line_keys(text, min_chars):
                         if k is not None:
                             held.setdefault(k, {})[doc] = None
-                keys = list(held)
-                shard = (as_keys(keys).view("<u8").reshape(-1, 2)[:, 1] >> np.uint64(16)) % np.uint64(shards)
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(keys, pa.binary()),
-                                                  pa.array([list(d) for d in held.values()], pa.list_(pa.int64()))], ["shard", "key", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()),
+                                                  pa.array([list(d) for d in held.values()], pa.list_(pa.int64()))], ["key", "docs"])
 
-        return _ids(docs).mapInArrow(run, "shard int, key binary, docs array<bigint>")
+        return _ids(docs).mapInArrow(run, "key binary, docs array<bigint>")
 
     def insert(self, docs: DataFrame) -> LineStore:
         """Adds documents whose ids the store doesn't hold."""
-        if self.shards is None:
-            self.shards = max(8, -(-docs.count() // DOCS_PER_SHARD))
         fresh = self._write(self._references(docs))
+        counts = self.spark.read.parquet(self._write(self.spark.read.parquet(fresh).groupBy("key").agg(F.sum(F.size("docs")).alias("n"))))
+        if self.shards is None:
+            self.shards = max(8, -(-counts.count() // KEYS_PER_SHARD))
 
         def run(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
             f = CuckooFilter.load(before["filter"].iloc[0] if len(before) else None)
-            out = []
-            for lo in range(0, len(rows), 1 << 16):
-                part = rows.iloc[lo:lo + (1 << 16)].groupby("key")["n"].sum()
-                keys = as_keys(part.index)
-                known = f.contains(keys)
-                f.insert(np.ascontiguousarray(keys[~known]))
-                out += part.index[known | (part.to_numpy() > 1)].tolist()
+            keys = as_keys(rows["key"])
+            known = f.contains(keys)
+            f.insert(np.ascontiguousarray(keys[~known]))
+            again = rows["key"][known | (rows["n"].to_numpy() > 1)].tolist()
             shard = int((rows if len(rows) else before)["shard"].iloc[0])
-            return pd.DataFrame({"shard": shard, "key": [*out, None], "filter": [None] * len(out) + [f.dump()]})
+            return pd.DataFrame({"shard": shard, "key": [*again, None], "filter": [None] * len(again) + [f.dump()]})
 
-        new = self.spark.read.parquet(fresh).select("shard", "key", F.size("docs").alias("n"))
+        new = counts.select(self._shard(), "key", "n")
         ran = self._write(new.groupBy("shard").cogroup(self.filters().groupBy("shard"))
                           .applyInPandas(run, "shard int, key binary, filter binary"))
         self.tables["refs"].append(fresh)
         self.tables["filters"] = [self._write(self.spark.read.parquet(ran).where("filter is not null").select("shard", "filter"))]
-        self.tables["seen"].append(self._write(self.spark.read.parquet(ran).where("key is not null").select("shard", "key")))
+        self.tables["seen"].append(self._write(self.spark.read.parquet(ran).where("key is not null").select("key")))
         return self
 
     def delete(self, docs: DataFrame) -> LineStore:
@@ -229,12 +244,13 @@ class LineStore:
         A key in ``seen`` may have come in under another key's fingerprint, so its own stays: that costs false hits only.
         """
         gone = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc")).distinct()
-        each = self.refs().select("shard", "key", F.explode("docs").alias("doc"))
-        touched = each.join(gone, "doc", "left_semi").select("shard", "key").distinct()
-        rest = each.join(touched.select("key"), "key", "left_semi").join(gone, "doc", "left_anti")
-        rest = self._write(rest.select("shard", "key", F.array("doc").alias("docs")))
-        dead = touched.join(self.spark.read.parquet(rest).select("key"), "key", "left_anti").join(self.seen().select("key"), "key", "left_anti")
-        kept = self._write(self.refs().join(touched.select("key"), "key", "left_anti").select("shard", "key", "docs"))
+        each = self.refs().select("key", F.explode("docs").alias("doc"))
+        touched = each.join(gone, "doc", "left_semi").select("key").distinct()
+        rest = each.join(touched, "key", "left_semi").join(gone, "doc", "left_anti")
+        rest = self._write(rest.select("key", F.array("doc").alias("docs")))
+        dead = touched.join(self.spark.read.parquet(rest).select("key"), "key", "left_anti").join(self.seen(), "key", "left_anti") \
+            .select(self._shard(), "key")
+        kept = self._write(self.refs().join(touched, "key", "left_anti").select("key", "docs"))
 
         def run(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
             f = CuckooFilter.load(before["filter"].iloc[0] if len(before) else None)
@@ -247,7 +263,7 @@ class LineStore:
 
     def shared(self) -> DataFrame:
         """(key, owner) of the keys that at least two documents hold; owner is the smallest of them."""
-        seen = self.seen().select("key").distinct()
+        seen = self.seen().distinct()
         return self.refs().join(seen, "key", "left_semi").groupBy("key") \
             .agg(F.min(F.array_min("docs")).alias("owner"), F.max(F.array_max("docs")).alias("last")) \
             .where("owner < last").select("key", "owner")

@@ -97,7 +97,8 @@ WITH a AS (
 )
 SELECT n AS page_id, url, status, coalesce(found, -1) AS response_page,
        CASE WHEN status = 'resolved' THEN sha256('cache-control=max-age=600;content-length=' || octet_length(encode(html)) || ';content-type=text/html; charset=utf-8;etag='
-         || CASE WHEN has_tag THEN tag ELSE '"' || then_tag || '"' END || ';last-modified=' || CASE WHEN has_day THEN day ELSE then_day END || ';server=cache') END AS headers_sha256,
+         || CASE WHEN has_tag THEN tag ELSE '"' || then_tag || '"' END || ';last-modified=' || CASE WHEN has_day THEN day ELSE then_day END || ';server=cache;set-cookie=a=' || found || ';set-cookie=b=1;vary='
+         || CASE WHEN n % 3 = 0 THEN 'accept-language;vary=origin' ELSE 'accept-encoding;vary=cookie' END) END AS headers_sha256,
        CASE WHEN status = 'resolved' THEN sha256(html) END AS body_sha256
 FROM v
 """,

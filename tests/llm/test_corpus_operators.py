@@ -56,12 +56,30 @@ def test_revisit_cases(spark):
     assert {n: r.status for n, r in got.items()} == {
         11: "resolved", 12: "resolved", 13: "validator_mismatch", 14: "no_response", 15: "resolved", 16: "resolved", 17: "no_validator",
         18: "no_validator", 19: "no_response", 20: "no_response"}
-    assert got[11].headers == {"etag": 'W/"a"', "content-type": "text/html", "age": "2", "content-length": "3"} and got[11].body == b"old"
+    assert dict(map(tuple, got[11].headers)) == {"etag": 'W/"a"', "content-type": "text/html", "age": "2", "content-length": "3"} and got[11].body == b"old"
     assert got[12].body == b"new \xff" and got[12].response_id == "<urn:page:2:0>" and got[15].response_id == "<urn:page:1:0>"
     assert got[13].body is None
     assert warc.resolve(warc.parse(spark.createDataFrame([], "raw binary"))).count() == 0
 
 
+def test_repeated_fields_stay(spark):
+    """All lines of a repeated field, replaced as a whole by those of the 304; a long body, an empty one and clashing columns."""
+    raw = lambda kind, n, d, status, lines, body=b"": (
+        lambda block: (f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{n}:0>\r\nWARC-Target-URI: http://a.org/{n % 10}\r\nWARC-Date: 2024-01-0{d}T00:00:00Z\r\n"
+                       f"WARC-Profile: x/server-not-modified\r\nContent-Length: {len(block)}\r\n\r\n").encode() + block)(
+        ("\r\n".join([f"HTTP/1.1 {status}", *lines]) + "\r\n\r\n").encode() + body)
+    long = bytes(range(256)) * 20000
+    then = ["ETag: 1", "Set-Cookie: a=1; Path=/", "Vary: Accept", "set-cookie: b=2", "Vary: Cookie", "ETag: 2"]
+    records = [raw("response", 1, 1, "200 OK", then, long), raw("revisit", 11, 2, "304 Not Modified", ["ETag: 1", "VARY: Origin", "Vary: Range"]),
+               raw("response", 2, 1, "200 OK", then), raw("revisit", 12, 2, "304 Not Modified", ["ETag: 1"]), raw("revisit", 22, 2, "304 Not Modified", ["ETag: 2"])]
+    table = spark.createDataFrame([(bytearray(r), "x", 1, "y", True) for r in records], "raw binary, headers string, status int, key string, full boolean")
+    got = {int(r.id.split(":")[2]): r for r in warc.resolve(warc.parse(table)).collect()}
+    cookies = [("set-cookie", "a=1; Path=/"), ("set-cookie", "b=2")]
+    assert list(map(tuple, got[11].headers)) == [*cookies, ("etag", "1"), ("vary", "Origin"), ("vary", "Range")] and got[11].body == long
+    assert list(map(tuple, got[12].headers)) == [cookies[0], ("vary", "Accept"), cookies[1], ("vary", "Cookie"), ("etag", "1")] and got[12].body == b""
+    assert got[22].status == "validator_mismatch" and got[22].headers is None
+
+
 def test_hot_url_is_found_across_parts(spark):
     """One URL with most of all captures, spread over sorted parts; the last response may lie several parts back."""
     rnd = random.Random(1)
@@ -117,6 +135,40 @@ def test_line_store_is_reversible(spark, docs, rows):
     assert Counter((r.doc_id, r.text) for r in store.clean(docs).collect()) == both
 
 
+def test_a_hot_line_is_one_row_of_its_shard(spark, monkeypatch):
+    """A line that all documents hold, documents of thousands of lines, and several batches: each key comes to its shard once."""
+    monkeypatch.setattr(linededup, "KEYS_PER_SHARD", 2000)
+    rows = [(d, "\n".join(["the line that all share", *(f"line {k} of document {d}" for k in range(10000 if d < 3 else 5)), "the line that all share"])) for d in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(16)
+    store = linededup.LineStore(spark, scratch_path(spark, "lines-hot")).insert(docs)
+    assert store.shards == -(-(3 * 10000 + 197 * 5 + 1) // 2000)
+    assert store.refs().count() > store.refs().select("key").distinct().count()  # the hot line has a row per batch
+    assert store.seen().count() < 100
+    out = {r.doc_id: r for r in store.clean(docs).collect()}
+    assert all(r.n_dropped == (0 if d == 0 else 2) for d, r in out.items()) and len(out) == 200
+    store.delete(docs.where("doc_id < 2"))
+    assert {r.doc_id: r.n_dropped for r in store.clean(docs.where("doc_id >= 2")).collect()} == {d: 0 if d == 2 else 2 for d in range(2, 200)}
+
+
+def test_removal_takes_no_other_key(spark):
+    """Filters of several small tables: after removals every key that was not removed is still known."""
+    rng = np.random.default_rng(3)
+    f, keys = linededup.CuckooFilter(), rng.integers(0, 256, (40000, 16)).astype(np.uint8)
+    keys[:, 8] &= 3  # few fingerprints, so that many keys share one
+    keys[:, 9] = 0
+    for lo in range(0, len(keys), 4000):
+        part = keys[lo:lo + 4000]
+        f.insert(np.ascontiguousarray(part))
+    assert len(f.tables) > 1 and f.contains(keys).all()
+    f.remove(keys[::3])
+    assert f.contains(np.delete(keys, np.s_[::3], axis=0)).all()
+    f = linededup.CuckooFilter()
+    wide = rng.integers(0, 256, (5000, 16)).astype(np.uint8)
+    f.insert(wide)
+    f.remove(wide)
+    assert sum(int((t != 0).sum()) for t in f.tables) < 10
+
+
 def test_cuckoo_filter():
     keys = np.random.default_rng(3).integers(0, 256, (30_000, 16), dtype=np.uint8)
     f = linededup.CuckooFilter()
@@ -389,6 +441,21 @@ def test_pipeline(spark, docs, rows):
     assert all(r["sum(length)"] == r["max(doc_tokens)"] for r in pieces)
 
 
+def test_pipeline_of_nothing_and_of_odd_tables(spark, empty, odd):
+    """No stage fails on an empty table, null ids or columns with the names that the operators use."""
+    for table in (empty, odd):
+        kept = table
+        for name, stage in corpus_pipeline.STAGES:
+            path = scratch_path(spark, f"odd-{name}")
+            stage(spark, kept, "unused").write.parquet(path)
+            kept = spark.read.parquet(path)
+            if name != "packing":
+                assert kept.columns == list(corpus_pipeline.COLUMNS)
+        assert kept.count() == 0  # the odd table's texts are too short for the quality rules
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            assert (stage(spark, table, "unused").count() > 0) == (table is odd)
+
+
 def test_entry_lists_these_queries():
     import __spark_entry__ as E
     assert {"pipeline", *registry.QUERIES} <= set(E.queries())

@@ -423,6 +423,10 @@ def test_training_texts_are_whole(spark):
     raw, y = bytecnn.training_rows(docs, labels)
     use = [k for k in texts if zlib.crc32(str(k).encode()) % 5]
     assert raw == [texts[k].encode() for k in use] and y == [k % 2 for k in use]
+    more = docs.unionByName(docs.selectExpr("doc_id", "concat('zz', text) as text")).unionByName(docs.selectExpr("doc_id", "substring(text, 1, 2000) as text"))
+    assert bytecnn.training_rows(more.repartition(5), labels)[0] == [texts[k][:2000].encode() for k in use]
+    some, _ = bytecnn.training_rows(more, labels, bytes_per_class=5000)
+    assert len(some) == 4 and set(some) <= {texts[k][:2000].encode() for k in use}
 
 
 def test_classifier_on_held_out_labels(spark):
