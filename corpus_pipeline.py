@@ -3,6 +3,11 @@
 Each stage gets what the one before kept, written and read again as Parquet, and all but the last return the columns of
 documents: quality rules drop documents, line dedup takes lines that an earlier document holds out of their text, one document
 of each group of near-duplicates stays, secrets are replaced in the text, and packing makes the pieces of training sequences.
+
+Null and empty texts have no words, so the quality rules drop them; later stages, given such rows, keep them (as empty texts
+where they write text). Null ids, languages and sources are carried on; rows with a null id count as one document in line dedup.
+Repeated rows fall together in near-dedup, ties go to the smallest id. Columns other than those of documents are left out,
+whatever their names. An empty table passes all stages and ends as no sequences.
 """
 
 from __future__ import annotations
