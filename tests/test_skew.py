@@ -74,6 +74,43 @@ def test_a_very_common_pair_is_scored_alike_on_both_ways(spark, common_pair, com
         assert all(abs(r.sui - want[r.u, r.i]) < 1e-12 for r in got)
 
 
+@pytest.mark.parametrize("owner_users", [8, 1 << 12])
+@pytest.mark.parametrize("common", [20, 1 << 18])
+def test_item_pairs_match_brute_force_in_blocks_and_parts(spark, common_pair, common, owner_users, monkeypatch):
+    monkeypatch.setattr(similarity, "OWNER_USERS", owner_users)
+    monkeypatch.setattr(similarity, "TASK_PAIRS", 500)
+    users_of = defaultdict(set)
+    for u, i in common_pair:
+        users_of[i].add(u)
+    want = {(i, j): len(users_of[i] & users_of[j]) for i in users_of for j in users_of if i <= j and users_of[i] & users_of[j]}
+    df = spark.createDataFrame(common_pair, "u bigint, i bigint")
+    got = similarity.item_cooccurrence(df, 8, common).collect()
+    assert len(got) == len(want) and {(r.i, r.j): r.cn for r in got} == want
+    got = similarity.item_jaccard(df, 8, common).collect()
+    assert len(got) == len(want)
+    assert all(abs(r.sij - want[r.i, r.j] / (len(users_of[r.i] | users_of[r.j]))) < 1e-12 for r in got)
+    got, want = similarity.jaccard_scores(df, 8, common).collect(), _brute_jaccard(common_pair)
+    assert len(got) == len(want) and all(abs(r.sui - want[r.u, r.i]) < 1e-12 for r in got)
+
+
+@pytest.mark.parametrize("name", ["item_cooccurrence", "item_jaccard", "item_aa", "jaccard_scores", "aa_scores"])
+def test_no_exchange_has_a_row_per_pair(spark, name, monkeypatch):
+    """60 users of 60 items are 109,800 pairs; what is exchanged is a row per (u, i) or, at the end, per (u, i) and part."""
+    pairs = [(u, i) for u in range(60) for i in range(60)]
+    df = getattr(similarity, name)(spark.createDataFrame(pairs, "u bigint, i bigint"))
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().finalPhysicalPlan()
+    rows, todo = [], [final]
+    while todo:
+        p = todo.pop()
+        todo += [p.children().apply(k) for k in range(p.children().size())]
+        if p.nodeName() in ("ShuffleQueryStage", "TableCacheQueryStage"):
+            todo.append(p.plan())
+        elif p.nodeName() == "Exchange":
+            rows.append(p.metrics().apply("shuffleRecordsWritten").value())
+    assert rows and max(rows) <= 2 * len(pairs)
+
+
 @pytest.mark.parametrize("method", ["jaccard", "aa"])
 def test_pairs_are_expanded_once(spark, common_pair, method):
     """Without items over the limit the executed plan has one expansion."""
