@@ -1,0 +1,62 @@
+"""Pairs with both ends' vectors: the rows of two joins, and no exchange of pairs with vectors."""
+
+import numpy as np
+import pytest
+
+from nearmark.operators import blockscore, vectors
+from nearmark.operators.pairjoin import with_ends
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    # user 0 has every item, item 0 every user; ids without a row, null ids and a repeated pair
+    pairs = [(0, i) for i in range(40)] + [(u, 0) for u in range(60)] + [(3, 5), (3, 5), (99, 1), (1, 99), (None, 1), (1, None)]
+    return (spark.createDataFrame(pairs, "u long, i long").checkpoint(),
+            spark.createDataFrame([(u, [float(u), 1.0]) for u in range(60)], "u long, w array<double>"),
+            spark.createDataFrame([(i, [float(i), 2.0]) for i in range(40)], "i long, h array<double>"))
+
+
+@pytest.mark.parametrize("blocks", [(1 << 16, 1 << 17, 1 << 21), (7, 5, 3)])
+def test_with_ends_gives_the_rows_of_two_joins(tables, blocks):
+    pairs, users, items = tables
+    want = sorted(map(tuple, pairs.join(users, "u").join(items, "i").select("u", "i", "w", "h").collect()))
+    got = with_ends(pairs, users, items, *blocks)
+    assert sorted(map(tuple, got.select("u", "i", "w", "h").collect())) == want
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
+    if blocks[0] == 7:  # several cells: one exchange for each table, none behind a join
+        assert plan.count("shufflepartitionidpassthrough") == 3
+
+
+def test_without_pairs_there_are_no_rows(tables):
+    pairs, users, items = tables
+    assert with_ends(pairs.where("u = -1"), users, items).collect() == []
+
+
+@pytest.mark.parametrize("n", [0, 1, 32, 64, 70])
+def test_vector_sum_of_any_length(spark, n):
+    rows = [(k % 3, [float(k * j) for j in range(n)]) for k in range(10)]
+    got = {r.key: r.v for r in vectors.vector_sum(spark.createDataFrame(rows, "key long, v array<double>"), "key", "v").collect()}
+    want = {k: np.sum([v for key, v in rows if key == k], axis=0).tolist() for k in range(3)}
+    assert got == want
+
+
+def test_vector_sum_sorts_no_vectors(spark):
+    df = vectors.vector_sum(spark.createDataFrame([(1, [1.0])], "key long, v array<double>"), "key", "v")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "summar" not in plan.lower()
+    with pytest.raises(Exception, match="vector length mismatch"):
+        vectors.vector_sum(spark.createDataFrame([(1, [1.0]), (1, [1.0, 2.0])], "key long, v array<double>"), "key", "v").collect()
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 2048])
+def test_sorted_rows_carry_their_columns(n):
+    d = np.random.default_rng(n).normal(1.0, 1.0, (20, n))
+    d[:, :2] = -0.0
+    d[3, 0] = np.inf
+    v, order, cut = blockscore.sorted_rows(d)
+    at = np.maximum(np.take_along_axis(d, order, axis=1), 0.0)
+    finite = np.isfinite(at)
+    assert np.array_equal(np.sort(order, axis=1), np.tile(np.arange(n), (20, 1)))
+    assert (np.diff(v, axis=1) >= 0).all()
+    assert ((v <= at) & (v >= at * (1 - cut)))[finite].all() and np.isinf(v[~finite]).all()
