@@ -49,6 +49,12 @@ def test_vector_sum_sorts_no_vectors(spark):
         vectors.vector_sum(spark.createDataFrame([(1, [1.0]), (1, [1.0, 2.0])], "key long, v array<double>"), "key", "v").collect()
 
 
+@pytest.mark.parametrize("bad", [None, [1.0, None]])
+def test_vector_sum_of_nulls_fails(spark, bad):
+    with pytest.raises(Exception, match="null vector or component"):
+        vectors.vector_sum(spark.createDataFrame([(1, [1.0, 2.0]), (1, bad)], "key long, v array<double>"), "key", "v").collect()
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 2048])
 def test_sorted_rows_carry_their_columns(n):
     d = np.random.default_rng(n).normal(1.0, 1.0, (20, n))
