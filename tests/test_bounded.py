@@ -1,0 +1,71 @@
+"""Tasks of a bounded number of rows, and nothing computed for rows that a grouping takes away."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from nearmark.operators import indexing, prepare, vectors
+from nearmark.plans.queries import long_form
+from nearmark.sources import fixtures
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture()
+def small_tasks(monkeypatch):
+    monkeypatch.setattr(indexing, "TASK_ROWS", 100)
+
+
+@pytest.fixture(scope="module")
+def pairs(spark):
+    return spark.createDataFrame([(u, i) for u in range(80) for i in range(25)] + [(0, 0), (0, 0)], "u bigint, i bigint")
+
+
+def test_sorted_parts_follow_the_number_of_rows(spark, pairs, small_tasks):
+    rows = prepare.split_train_valid(pairs).groupBy(F.spark_partition_id()).count().collect()
+    assert indexing._ranged(pairs.distinct(), ["u", "i"]).rdd.getNumPartitions() >= 20
+    assert sum(r["count"] for r in rows) == 2000
+
+
+def test_used_items_in_tasks_that_follow_the_rows(spark, pairs, small_tasks):
+    s = prepare.split_train_valid(pairs)
+    got = prepare.used_items_union(prepare.train_part(s), prepare.valid_part(s))
+    assert got.rdd.getNumPartitions() >= 20 and got.count() == 2000
+
+
+def test_used_and_target_items_without_a_sort(spark, pairs):
+    s = prepare.split_train_valid(pairs)
+    got = prepare.test_with_used_items(prepare.train_part(s), prepare.valid_part(s))
+    assert "SortMergeJoin" not in plan(got)
+    assert {(r.u, r.part, r.n) for r in got.groupBy("u", "part").agg(F.count("*").alias("n")).collect()} == {
+        (u, p, n) for u in range(80) for p, n in (("used", 20), ("target", 5))}
+
+
+def test_parts_of_the_split_are_read_from_one_table(spark, pairs):
+    s = prepare.split_train_valid(pairs)
+    assert "Join" not in plan(s) and "Exchange" not in plan(s)
+
+
+def test_order_lines_are_joined_in_tasks_that_follow_the_rows(spark, tmp_path, small_tasks):
+    spark.createDataFrame([(k % 60, k % 7, k % 5) for k in range(1000)], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint") \
+        .write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, k % 9) for k in range(50)] + [(None, 1), (3, None)], "o_orderkey bigint, o_custkey bigint") \
+        .write.parquet(f"{tmp_path}/orders.parquet")
+    got = fixtures.pairs(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() >= 10
+    want = {(o % 9, k % 7) for k in range(1000) for o in range(50) if k % 60 == o} | {(None, k % 7) for k in range(1000) if k % 60 == 3}
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_long_form_computes_no_vector_below_a_grouping(spark):
+    ids = spark.range(100).select((F.col("id") % 3).alias("u"))
+    got = long_form(vectors.init_positions(ids, "u", 4, 1, "u"), ["u"], "p")
+    below = got._jdf.queryExecution().optimizedPlan().toString().split("Aggregate", 1)[1].split("\n", 1)[1]
+    assert "md5" not in below
+    assert got.count() == 12
+
+
+def test_long_form_of_null_and_empty_vectors(spark):
+    df = spark.createDataFrame([(1, [0.5, None]), (2, []), (3, None)], "u int, p array<double>")
+    assert sorted((tuple(r) for r in long_form(df, ["u"], "p").collect()), key=str) == [(1, 0, 0.5), (1, 1, None)]
