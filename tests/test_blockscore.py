@@ -94,3 +94,35 @@ def test_joint_evaluation_scans_once(spark, monkeypatch):
     want |= {(m, None): evaluate.ranking_metrics(users, items, test).first()[m] for m in ("map", "mrr", "ndcg")}
     want[("gain", None)] = evaluate.rank_gain(users, items, test).first().gain
     assert got == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize("kind", ["independent", "copies", "grid", "far", "huge", "nan"])
+def test_the_nearest_over_tiles_are_the_nearest_of_all(kind):
+    """Tile by tile with products in single precision: items, order and distances are those of one exact pass."""
+    from nearmark.operators.blockscore import Nearest
+    rng = np.random.default_rng(6)
+    W, H = rng.normal(size=(40, 16)), rng.normal(size=(700, 16))
+    if kind == "copies":
+        H = H[rng.integers(0, 9, 700)]
+    if kind == "grid":
+        W, H = (rng.integers(0, 2, x.shape).astype(float) for x in (W, H))
+    if kind == "far":  # single precision tells none of these apart
+        W, H = W * 1e-6 + 1000, H * 1e-6 + 1000
+    if kind == "huge":
+        W, H = W * 1e25, H * 1e25
+    if kind == "nan":
+        W[3], W[4, 2] = np.nan, np.inf
+    J = rng.permutation(700).astype(np.int64)
+    gone = rng.random((40, 700)) < 0.1
+    gone[0], gone[1, 4:] = True, True
+    best = Nearest(W, 9)
+    for lo in range(0, 700, 100):
+        r, c = np.nonzero(gone[:, lo:lo + 100])
+        best.meet(H[lo:lo + 100], J[lo:lo + 100], r, c)
+    got = list(zip(*(x.tolist() for x in best.found()), strict=True))
+    want = []
+    for u in range(40):
+        d = exact_sqdist(np.repeat(W[u:u + 1], 700, axis=0), H)
+        some = [(u, int(J[c]), float(d[c])) for c in range(700) if not gone[u, c] and np.isfinite(d[c])]
+        want += sorted(some, key=lambda x: (x[2], x[1]))[:9]
+    assert got == want
