@@ -95,10 +95,13 @@ def replace_with(spark: SparkSession, path: str, write: Callable[[str], None]) -
 
 
 def write_pairs(df: DataFrame, path: str, num_files: int | None = None) -> None:
-    """``u|i`` text; ``num_files`` fixes the output file count."""
-    out = df.select(F.concat_ws("|", F.col("u").cast("string"), F.col("i").cast("string")).alias("value"))
+    """``u|i`` text; ``num_files`` fixes the output file count.
+
+    A file is written by one task, so what this reads is the two numbers of a pair; the text is made behind the exchange."""
+    out = df.select("u", "i")
     if num_files:
         out = out.repartition(num_files)
+    out = out.select(F.concat_ws("|", F.col("u").cast("string"), F.col("i").cast("string")).alias("value"))
     replace_with(df.sparkSession, path, out.write.text)
 
 
