@@ -66,6 +66,17 @@ def pack_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+class Known(dict):
+    """The ids of pieces met before; a new one is encoded when it is asked for."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = raw = pack_ids(self.encode(piece))
+        return raw
+
+
 class Ids:
     """Token ids of texts as little-endian 32-bit bytes; pieces met before come from a bounded cache."""
 
@@ -74,8 +85,8 @@ class Ids:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
         self.ranked = ranked(path)
+        self.known: dict[str, bytes] = Known(self.ranked.encode_ordinary) if self.ranked else {}
         ends = re.compile(r"[.!?]+$|Ċ")  # Ċ stands for a line end
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -88,11 +99,8 @@ class Ids:
         known = self.known
         plain = [is_latin(t) and not any(s in t for s in self.special) for t in texts]
         cut = [PIECE.findall(t) if p else None for t, p in zip(texts, plain, strict=True)]
-        new = list(set().union(*filter(None, cut)).difference(known))
-        if self.ranked:
-            for w in new:
-                known[w] = pack_ids(self.ranked.encode_ordinary(w))
-        else:
+        if not self.ranked:
+            new = list(set().union(*filter(None, cut)).difference(known))
             for lo in range(0, len(new), 8192):
                 some = new[lo:lo + 8192]
                 known.update(zip(some, (pack_ids(e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))

@@ -520,3 +520,11 @@ def test_katz_awkward_tables(empty, odd, docs, rows):
 def test_katz_beats_the_base_on_held_out_texts(spark):
     out = katz.score(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).where("held_out").toPandas()
     assert out["score"].sum() > 0.8 * out["base_score"].sum()
+
+
+def test_pieces_are_encoded_when_asked_for_and_once():
+    from nearmark.llm.packing import Known, pack_ids
+    asked = []
+    known = Known(lambda piece: asked.append(piece) or [len(piece), 7])
+    assert b"".join(map(known.__getitem__, ["ab", "c", "ab"])) == pack_ids([2, 7, 1, 7, 2, 7])
+    assert asked == ["ab", "c"] and len(known) == 2
