@@ -221,10 +221,10 @@ def maybe_among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return passed.select(*rows.columns)
 
 
-def made_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, keep: Steps) -> DataFrame:
+def made_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, keep: Steps, most: int | None = None) -> DataFrame:
     """(x, y, node, shingles) for the rows (x, y, node) of ``wanted``, the sets made again from the text of the document that holds the
     class. Documents that a bitmap of the wanted ids rules out aren't shuffled."""
-    wanted = keep(wanted.distinct().join(classes.select("node", "digest", F.col("first").alias("doc_id")), "node"))
+    wanted = keep(wanted.distinct().join(classes.select("node", "digest", F.col("first").alias("doc_id")), "node"), most)
     rows = maybe_among(_doc_rows(docs), wanted, "doc_id")
 
     def make(batches):
@@ -238,15 +238,15 @@ def made_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, keep: Step
         make, "x bigint, y bigint, node bigint, shingles binary")
 
 
-def verified(pairs: DataFrame, blocks: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, keep: Steps) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity.
+def verified(pairs: DataFrame, n: int, blocks: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, keep: Steps) -> DataFrame:
+    """The pairs (a, b), of ``n``, whose whole sets reach the similarity.
 
     Pairs are grouped by the blocks of their two classes (a class without one is its own), and the set of a class travels once
     to each of its groups, not with each pair.
     """
     pairs = pairs.join(blocks.toDF("a", "x"), "a", "left").join(blocks.toDF("b", "y"), "b", "left")
     pairs = pairs.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
-    pairs = keep(pairs.select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
+    pairs = keep(pairs.select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), n)
     wanted = pairs.select("x", "y", F.col("a").alias("node")).unionByName(pairs.select("x", "y", F.col("b").alias("node")))
 
     def check(made: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -254,8 +254,8 @@ def verified(pairs: DataFrame, blocks: DataFrame, docs: DataFrame, classes: Data
         ok = [a in held and b in held and linked(held[a], held[b], percent) for a, b in zip(asked["a"], asked["b"], strict=True)]
         return asked.loc[ok, ["a", "b"]]
 
-    made = made_sets(wanted, docs, classes, keep)
-    return keep(made.groupBy("x", "y").cogroup(pairs.toDF("a", "b", "px", "py").groupBy("px", "py")).applyInPandas(check, "a bigint, b bigint").distinct())
+    made = made_sets(wanted, docs, classes, keep, 2 * n)
+    return keep(made.groupBy("x", "y").cogroup(pairs.toDF("a", "b", "px", "py").groupBy("px", "py")).applyInPandas(check, "a bigint, b bigint").distinct(), n)
 
 
 def joining(packed: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, keep: Steps) -> DataFrame:
@@ -289,14 +289,16 @@ def joining(packed: DataFrame, docs: DataFrame, classes: DataFrame, percent: int
     return keep(made.groupBy("x", "y").cogroup(right).applyInPandas(check, "a bigint, b bigint"))
 
 
-def components(edges: DataFrame, keep: Steps) -> DataFrame:
-    """(node, component) of the nodes with an edge (a, b): component is the smallest node that can be reached.
+def components(edges: DataFrame, keep: Steps, most: int | None = None) -> DataFrame:
+    """(node, component) of the nodes with an edge (a, b): component is the smallest node that can be reached. ``most``: twice the
+    number of edges, if known.
 
     Every round hooks each node to the smallest label around it and then follows labels of labels; the rows stay as many as
     the nodes, and each round is written out.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label").checkpoint()
+    both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), most)
+    n = both.count()
+    labels = keep(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), n)
     while True:
         near = both.join(labels.toDF("b", "near"), "b").groupBy("a").agg(F.min("near").alias("near"))
         new = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "near").alias("new"))
@@ -304,7 +306,7 @@ def components(edges: DataFrame, keep: Steps) -> DataFrame:
         pull = new.groupBy("label").agg(F.min("new").alias("pulled")).withColumnRenamed("label", "node")
         new = new.join(pull, "node", "left").select("node", "label", F.least("new", F.coalesce("pulled", "new")).alias("new"))
         jump = new.select(F.col("node").alias("new"), F.col("new").alias("next"))
-        new = keep(new.join(jump, "new", "left").select("node", "label", F.coalesce("next", "new").alias("new")))
+        new = keep(new.join(jump, "new", "left").select("node", "label", F.coalesce("next", "new").alias("new")), n)
         changed = new.where("label <> new").limit(1).count()
         labels = new.select("node", F.col("new").alias("label"))
         if not changed:
@@ -317,9 +319,10 @@ def joined(comp: DataFrame, found: DataFrame, keep: Steps) -> DataFrame:
     of = comp.select("node", "component")
     edges = found.join(of.toDF("a", "x"), "a", "left").join(of.toDF("b", "y"), "b", "left")
     edges = edges.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a <> b").distinct()
-    names = components(edges, keep)
+    n = 2 * found.count()
+    names = components(edges, keep, n)
     old = of.join(names.toDF("component", "name"), "component", "left").select("node", F.coalesce("name", "component").alias("component"))
-    return keep(old.unionByName(names.join(of, "node", "left_anti")))
+    return keep(old.unionByName(names.join(of, "node", "left_anti")), comp.count() + n)
 
 
 def tiled(rows: DataFrame) -> DataFrame:
@@ -454,7 +457,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     best = star.groupBy("b").agg(F.max_by(F.struct("a", "bucket", "n"), F.struct("votes", -F.col("a"))).alias("p"))
     best = keep(best.select("p.bucket", "p.n", "p.a", "b"))
     blocks = keep(families(best))
-    found = verified(best.select("a", "b"), blocks, docs, classes, percent, keep)
+    tried = best.count()
+    found = verified(best.select("a", "b"), tried, blocks, docs, classes, percent, keep)
     ids = keep(some.select("doc_id", "digest").distinct().join(classes.select("digest", "node"), "digest").select("doc_id", "node"))
     same_id = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
     comp = components(found.unionByName(same_id.join(ids, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()), keep)
@@ -462,23 +466,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # then, in the buckets that still hold several components, the likeliest pair of each, and at last all that is left
     done = best.select("bucket", "n", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     members = keep(shared.drop("least").join(blocks, "node", "left").withColumn("block", F.coalesce("block", "node")))
-    turn, rest = 0, False
+    n, turn, rest = members.count(), 0, False
     while True:
         label = members.select("bucket", "band", "n", "node", "block").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = label.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        members = keep(label.join(mixed, "bucket"))
-        if not members.limit(1).count():
+        members = keep(label.join(mixed, "bucket"), n)
+        n = members.count()
+        if not n:
             break
         signed = members.join(classes.select("node", "signature"), "node")
         if rest:
             comp = joined(comp, joining(keep(packed_pairs(signed, done, percent, keep)), docs, classes, percent, keep), keep)
             break
-        more = keep(likeliest_pairs(signed, done, percent, keep))
+        more = keep(likeliest_pairs(signed, done, percent, keep), n)
         asked = more.count()
         if not asked:
             break
-        found = verified(more.select("a", "b"), blocks, docs, classes, percent, keep)
-        done, turn, links = keep(done.unionByName(more)), turn + 1, found.count()
+        found = verified(more.select("a", "b"), asked, blocks, docs, classes, percent, keep)
+        tried += asked
+        done, turn, links = keep(done.unionByName(more), tried), turn + 1, found.count()
         rest = turn == ROUNDS or links * FEW < asked
         if links:
             comp = joined(comp, found, keep)
